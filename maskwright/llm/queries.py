@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op9_warc": op9_warc}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_warc": OP9_SQL}
