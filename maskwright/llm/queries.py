@@ -5,7 +5,8 @@ from __future__ import annotations
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .packing import op4_packing
 from .token_files import op5_token_files
+from .tree_bpe import op6_bpe
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_token_files, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_token_files, op6_bpe, op9_warc)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_warc": OP9_SQL}
