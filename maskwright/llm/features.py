@@ -17,10 +17,10 @@ _WORD = re.compile(r"\w+")
 
 
 class HashedTokens:
-    """Texts to arrays of 32-bit token hashes. kind: `marks` keeps case and runs of marks, `words` lower-cases and drops marks."""
+    """Texts to arrays of 32-bit hashes. kind: `marks` keeps case and runs of marks, one hash a token; `words` lower-cases and drops marks, with three hashes a word: of itself and of its first five and four letters."""
 
     def __init__(self, kind: str):
-        find = {"marks": _TOKEN.findall, "words": lambda s: _WORD.findall(s.lower())}[kind]
+        find = {"marks": _TOKEN.findall, "words": lambda s: [x for w in _WORD.findall(s.lower()) for x in (w, "5" + w[:5], "4" + w[:4])]}[kind]
         self.look = Pieces(lambda w: ids_bytes([crc32(t.encode("utf-8", "replace")) for t in find(w)])).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:

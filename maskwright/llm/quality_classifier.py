@@ -26,10 +26,11 @@ SCALE = 20.0
 
 
 def slots(h: np.ndarray) -> np.ndarray:
-    """Feature slots of a document's token hashes: tokens, then neighbouring pairs."""
+    """Feature slots of a document's token hashes: tokens, then neighbouring pairs (all pairs of equals share a slot)."""
     h = h.astype(np.uint64)
     with np.errstate(over="ignore"):
         pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(1)
+    pairs[h[:-1] == h[1:]] = 0  # whatever the token, its repetition is one feature
     return (mix64(np.concatenate([h, pairs])) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 

@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier on hashed word embeddings, trained in numpy.
 
-Words hash to BUCKETS embeddings (those in fewer than `min_df` training documents share a zero vector). Filters of
+Words hash to BUCKETS embeddings; a word whose bucket is in fewer than `min_df` training documents takes the bucket of
+its first five letters, else of its first four, else a zero vector. Filters of
 widths 1, 2 and 3 slide over the text; each filter's maximum over the whole text, rectified, enters a logistic
 layer. For scoring, each filter's part at each place is tabulated by bucket, so a text costs one table row a word.
 A fifth of the sample is set aside: on it one global cut is found and placed at a score of 0.7, and a threshold for each language
@@ -41,8 +42,13 @@ class Model:
 
 
 def _buckets(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    b = (h % np.uint32(BUCKETS - 1)).astype(np.int64) + 1
-    return np.where(known[b], b, 0)
+    b = _all(h).reshape(-1, 3)
+    ok = known[b]
+    return np.where(ok[:, 0], b[:, 0], np.where(ok[:, 1], b[:, 1], np.where(ok[:, 2], b[:, 2], 0)))
+
+
+def _all(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint32(BUCKETS - 1)).astype(np.int64) + 1
 
 
 def _pooled(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -59,11 +65,11 @@ def _pooled(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: np.nda
 
 
 def _lay(texts: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([t.size + _PAD for t in texts])
+    sizes = np.array([t.size // 3 + _PAD for t in texts])
     starts = np.cumsum(sizes) - sizes
     ids = np.zeros(sizes.sum() + _PAD, np.int64)
     for s, t in zip(starts, texts, strict=True):
-        ids[s : s + t.size] = _buckets(t, known)
+        ids[s : s + t.size // 3] = _buckets(t, known)
     return ids, starts
 
 
@@ -93,7 +99,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[
     df = np.zeros(BUCKETS, np.int64)
     for d, t in zip(docs, test, strict=True):
         if not t:
-            df[np.unique((d % np.uint32(BUCKETS - 1)).astype(np.int64) + 1)] += 1
+            df[np.unique(_all(d))] += 1
     known = df >= min_df
     ids = [np.append(_buckets(d, known), np.zeros(_PAD, np.int64)) for d in docs]
     emb = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
