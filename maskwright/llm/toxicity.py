@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier on hashed word embeddings, trained in numpy.
 
-Words hash to BUCKETS embeddings; a word whose bucket is in fewer than `min_df` training documents takes the bucket of
-its first five letters, else of its first four, else a zero vector. Filters of
+A word's vector is the sum of the embeddings (of BUCKETS) that it and its first five and four letters hash to; buckets in
+fewer than `min_df` training documents (one in 150 of a smaller sample, 3 at least) hold a zero vector. Filters of
 widths 1, 2 and 3 slide over the text; each filter's maximum over the whole text, rectified, enters a logistic
 layer. For scoring, each filter's part at each place is tabulated by bucket, so a text costs one table row a word.
 A fifth of the sample is set aside: on it one global cut is found and placed at a score of 0.7, and a threshold for each language
@@ -42,9 +42,9 @@ class Model:
 
 
 def _buckets(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """words x 3: the buckets of each word and of its first five and four letters, 0 where none is known."""
     b = _all(h).reshape(-1, 3)
-    ok = known[b]
-    return np.where(ok[:, 0], b[:, 0], np.where(ok[:, 1], b[:, 1], np.where(ok[:, 2], b[:, 2], 0)))
+    return np.where(known[b], b, 0)
 
 
 def _all(h: np.ndarray) -> np.ndarray:
@@ -53,8 +53,10 @@ def _all(h: np.ndarray) -> np.ndarray:
 
 def _pooled(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """The rectified maximum of each filter for each text; ids has _PAD zeros after each text and starts where each begins."""
-    g = table[ids]
-    n, at, out = ids.size - _PAD, 0, []
+    g = table[ids[:, 0]]
+    g += table[ids[:, 1]]
+    g += table[ids[:, 2]]
+    n, at, out = ids.shape[0] - _PAD, 0, []
     for i, w in enumerate(WIDTHS):
         z = g[:n, at]
         for j in range(1, w):
@@ -67,7 +69,7 @@ def _pooled(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: np.nda
 def _lay(texts: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([t.size // 3 + _PAD for t in texts])
     starts = np.cumsum(sizes) - sizes
-    ids = np.zeros(sizes.sum() + _PAD, np.int64)
+    ids = np.zeros((sizes.sum() + _PAD, 3), np.int64)
     for s, t in zip(starts, texts, strict=True):
         ids[s : s + t.size // 3] = _buckets(t, known)
     return ids, starts
@@ -90,7 +92,7 @@ def _best_cut(z: np.ndarray, y: np.ndarray, prior: np.ndarray) -> float:
     return float((z[i] + (z[i + 1] if i + 1 < z.size else z[i] - 1)) / 2)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[int, int], epochs: int = 8, min_df: int = 8, rate: float = 0.15) -> Model:
+def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[int, int], epochs: int = 6, min_df: int = 40, rate: float = 0.1, decay: float = 1e-3) -> Model:
     rng = np.random.default_rng(11)
     spans = sum(WIDTHS)
     if not len(docs) or y.min() == y.max():
@@ -100,9 +102,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[
     for d, t in zip(docs, test, strict=True):
         if not t:
             df[np.unique(_all(d))] += 1
-    known = df >= min_df
-    ids = [np.append(_buckets(d, known), np.zeros(_PAD, np.int64)) for d in docs]
-    emb = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
+    known = df >= max(3, min(min_df, len(docs) // 150))
+    ids = [np.concatenate([_buckets(d, known), np.zeros((_PAD, 3), np.int64)]) for d in docs]
+    emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
     conv = rng.normal(0, 0.3, (spans, DIM, FILTERS)).astype(np.float32)
     bias, out = np.zeros((len(WIDTHS), FILTERS)), np.append(rng.normal(0, 0.3, len(WIDTHS) * FILTERS), 0.0)
     ge, gc, gb, go = np.full(emb.shape, 1e-2, np.float32), np.full(conv.shape, 1e-2, np.float32), np.full(bias.shape, 1e-2), np.full(out.shape, 1e-2)
@@ -110,7 +112,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[
     places = np.cumsum([0, *WIDTHS])
     for epoch in range(epochs):
         for i in rng.permutation(np.flatnonzero(~test)):
-            x = emb[ids[i]]
+            x = emb[ids[i]].sum(1)
             n = x.shape[0] - _PAD
             part = (x @ conv.transpose(1, 0, 2).reshape(DIM, -1)).reshape(-1, spans, FILTERS)
             pools, tops = [], []
@@ -123,7 +125,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[
             act = np.append(np.maximum(pool, 0), 1.0)
             p = 1 / (1 + np.exp(-np.clip(act @ out, -30, 30)))
             g = (p - y[i]) * share[y[i]]
-            dout = g * act + 1e-4 * out
+            dout = g * act + decay * out
             dact = (g * out[:-1] * (pool > 0)).reshape(len(WIDTHS), FILTERS)
             go += dout * dout
             out -= rate * dout / np.sqrt(go)
@@ -137,14 +139,14 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str], counts: dict[
                 for j in range(w):
                     at = tops[k] + j
                     dconv[places[k] + j] = x[at].T * dact[k]
-                    rows.append(ids[i][at])
-                    grads.append((conv[places[k] + j] * dact[k]).T)
+                    rows.append(ids[i][at].ravel())
+                    grads.append(np.repeat((conv[places[k] + j] * dact[k]).T, 3, axis=0))
             rows, grads = np.concatenate(rows), np.concatenate(grads)
             u, inv = np.unique(rows, return_inverse=True)
             de = np.zeros((u.size, DIM), np.float32)
             np.add.at(de, inv, grads)
             de[u == 0] = 0
-            de += 1e-4 * emb[u]
+            de += decay * emb[u]
             ge[u] += de * de
             emb[u] -= rate * de / np.sqrt(ge[u])
             gc += dconv * dconv
