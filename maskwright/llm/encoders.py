@@ -9,6 +9,7 @@ with other white space next to such a cut, or with special-token strings, are en
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 
@@ -67,6 +68,17 @@ class PieceEncoder:
         return ids_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
 
+# letters whose lower case and composed form are one letter each, then marks: the two patterns cut such a piece in the same way
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?|)\"]*)")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
+ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
+
+def mapped(text: str) -> str:
+    return text.encode().decode("latin-1").translate(ALPHABET)
+
+
 class ByteEncoder(PieceEncoder):
     special = "<|"
 
@@ -74,10 +86,21 @@ class ByteEncoder(PieceEncoder):
         super().__init__(path)
         self.first = Pieces(lambda p: self._piece(p, ""), 50_000).__getitem__
         self.inner = Pieces(lambda p: self._piece(p, " ")).__getitem__
+        self.token = Pieces(self._token, 200_000).__getitem__
+
+    def _token(self, text: str) -> bytes:
+        """The ids of what is known to be one pre-token."""
+        return ids_bytes([t.id for t in self.library.model.tokenize(mapped(text))])
 
     def _piece(self, piece: str, before: str) -> bytes | None:
         """None if a cut beside it isn't safe. A piece that begins with a newline had one before it instead of a space."""
+        if m := _SIMPLE.fullmatch(piece):
+            word, marks = m.groups()
+            return self.token(before + word) + (self.token(marks) if marks else b"")
         if piece[:1] == "\n":
+            if m := _SIMPLE.fullmatch(piece, 1):
+                word, marks = m.groups()
+                return self.token("\n") + self.token(word) + (self.token(marks) if marks else b"")
             return None if piece[1:2].isspace() or piece == "\n" else self.whole(piece)
         return None if not piece or piece[0].isspace() else self.whole(before + piece)
 
@@ -99,7 +122,17 @@ class ByteEncoder(PieceEncoder):
 class WordEncoder(PieceEncoder):
     def __init__(self, path: str):
         super().__init__(path)
-        self.inner = Pieces(self.whole).__getitem__
+        self.inner = Pieces(self._piece).__getitem__
+        self.token = Pieces(self._token, 200_000).__getitem__
+
+    def _token(self, text: str) -> bytes:
+        return ids_bytes([t.id for t in self.library.model.tokenize(mapped(text))])
+
+    def _piece(self, piece: str) -> bytes:
+        if m := _SIMPLE.fullmatch(piece):
+            word, marks = m.groups()
+            return self.token(word.lower()) + (self.token(marks) if marks else b"")
+        return self.whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self.inner, t.replace("\n", " ").split(" "))) for t in texts]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .quality_classifier import op10_quality
+from .quality_rules import op7_quality_rules
 from .toxicity import op2_toxicity
 from .packing import op4_packing
 from .token_files import op5_token_files
 from .tree_bpe import op6_bpe
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_packing, op5_token_files, op6_bpe, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_packing, op5_token_files, op6_bpe, op7_quality_rules, op9_warc, op10_quality)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_warc": OP9_SQL}

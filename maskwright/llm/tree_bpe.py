@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, text_or_empty
-from .encoders import ByteEncoder, encoder, ids_bytes, load, tokenizer_path
+from .encoders import ALPHABET, ByteEncoder, encoder, ids_bytes, load, tokenizer_path
 
 LEAF = 16_384
 SPECIAL = "<|endoftext|>"
@@ -138,8 +138,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id: ids of the byte alphabet undone, special tokens as they are written."""
     if path not in _BYTES:
         library = load(path)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        alphabet = {c: b for b, c in ALPHABET.items()}
         special = library.get_added_tokens_decoder()
         _BYTES[path] = [special[i].content.encode() if i in special else bytes(alphabet[c] for c in library.id_to_token(i)) for i in range(library.get_vocab_size())]
     return _BYTES[path]
