@@ -7,10 +7,11 @@ from .quality_classifier import op10_quality
 from .quality_rules import op7_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op2_toxicity
+from .jaccard_join import op8_jaccard_join
 from .packing import op4_packing
 from .token_files import op5_token_files
 from .tree_bpe import op6_bpe
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_suffix_dedup, op4_packing, op5_token_files, op6_bpe, op7_quality_rules, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_suffix_dedup, op4_packing, op5_token_files, op6_bpe, op7_quality_rules, op8_jaccard_join, op9_warc, op10_quality)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_warc": OP9_SQL}
