@@ -154,7 +154,7 @@ def runs_of(flat: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         to = s1 + LENGTH
         body = (prefix[to] - prefix[s0]) * down[s0]
         rh = mix64(body + (((at - s0) << 8) | (s1 - s0)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return grams[at], rh, s0, s1 - s0, at - s0
+        return mix64(grams[at] ^ np.uint64(_BASE)), rh, s0, s1 - s0, at - s0  # the least hashes are small: mixed anew they spread evenly
 
 
 def _batch_runs(ids: list[int], texts: list[bytes]):
