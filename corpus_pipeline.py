@@ -1,11 +1,96 @@
-"""The corpus pipeline (its stages follow as their operators do)."""
+"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, repeated passages, packing.
 
-STAGES = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and reread as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
+from maskwright.llm.common import materialise, scratch_since
+from maskwright.llm.encoders import tokenizer_path
+
+_before: list = []
+
+
+def _stage(function):
+    """Deletes the scratch tables of the stage before, whose result has been written by now."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _before:
+            _before.pop()()
+        made = scratch_since()
+        out = function(spark, docs, sf_dir)
+        _before.append(made)
+        return out
+
+    run.__name__, run.__doc__ = function.__name__, function.__doc__
+    return run
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null or not) is in the table ids."""
+    ids = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+@_stage
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _keep(docs, quality_rules.quality(docs).where("kept"))
+
+
+@_stage
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return _keep(docs, exact_dedup.dedup(docs).where("kept"))
+
+
+@_stage
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one with the smallest doc_id stays."""
+    return _keep(docs, jaccard_join.join(docs)[0].where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+@_stage
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings of 100 bytes go from the texts; a character that a cut leaves in part goes too. Every document stays, even if nothing of it is left."""
+    out = suffix_dedup.dedup(docs)
+    text = _decoded("kept_")
+    new = {"text": F.when(F.col("n_removed_") > 0, text).otherwise(F.col("text"))}
+    out = out.withColumns(new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def _decoded(name: str):
+    @F.pandas_udf("string")
+    def decode(raw):
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decode(name)
+
+
+@_stage
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("suffix-array dedup", passages), ("best-fit packing", pack)]
+
+#: no stage but the second can be put in SQL that runs over whole tables; tests/llm/test_pipeline.py has a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, f"pipeline-{i}", own=False)
     return docs

@@ -26,21 +26,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, own: bool = True) -> DataFrame:
     """Writes df below the shared folder and reads it back: this cuts the lineage, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if not own:
+        _SCRATCH.pop()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch() -> None:
-    """Deletes the scratch tables made so far. Only call it when no DataFrame that reads them is still needed."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def scratch_since():
+    """A function that deletes the scratch tables made from now on. Only call it when no DataFrame that reads them is still needed."""
+    start = len(_SCRATCH)
+
+    def delete() -> None:
+        mine, _SCRATCH[start:] = _SCRATCH[start:], []
+        for spark, path in mine:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    return delete
 
 
 def text_or_empty(name: str = "text") -> Column:
