@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import chunks, text_or_empty
 from .encoders import ALPHABET, ByteEncoder, encoder, ids_bytes, load, tokenizer_path
 
-LEAF = 16_384
+LEAF = 32_768
 SPECIAL = "<|endoftext|>"
 LOOK = 3  # the pattern looks at so many characters from where it stands, besides what it takes
 
@@ -170,6 +170,18 @@ def _short(path: str):
     return run
 
 
+def _squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _leaves(path: str, leaf: int):
     def run(batches):
         tree = tree_encoder(path)
@@ -177,22 +189,26 @@ def _leaves(path: str, leaf: int):
             out = []
             for row, doc, no, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "no", "part")), strict=True):
                 starts, ids, _ = tree.leaf(text, no * leaf)
-                out.append((row, doc, no, text, np.array(starts, "<i8").tobytes(), np.array([len(x) for x in ids], "<i4").tobytes(), ids_bytes([y for x in ids for y in x])))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+                cols = (np.diff(starts, prepend=no * leaf), [len(x) for x in ids], [y for x in ids for y in x])
+                out.append((row, doc, no, *map(_squeeze, (text.encode(), *(np.asarray(c, "<u4").view("u1").reshape(-1, 4).T.tobytes() for c in cols)))))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["row", "doc_id", "no", "part", "starts", "sizes", "ids"])
 
     return run
 
 
-def _joined(path: str):
+def _joined(path: str, leaf: int):
     def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
         rows = sorted(table.to_pylist(), key=lambda r: r["no"])
-        sides, end = [], 0
-        for r in rows:
-            end += len(r["part"])
-            ids, ends = np.frombuffer(r["ids"], "<u4").tolist(), np.cumsum(np.frombuffer(r["sizes"], "<i4")).tolist()
-            sides.append((np.frombuffer(r["starts"], "<i8").tolist(), [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], end))
-        ids = [y for x in tree_encoder(path).tree("".join(r["part"] for r in rows), sides)[1] for y in x]
+        parts = [zstandard.ZstdDecompressor().decompress(r["part"]).decode() for r in rows]
+        sides = []
+        for r, part in zip(rows, parts, strict=True):
+            ids, ends = _numbers(r["ids"]).tolist(), np.cumsum(_numbers(r["sizes"])).tolist()
+            starts = (np.cumsum(_numbers(r["starts"])) + r["no"] * leaf).tolist()
+            sides.append((starts, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], r["no"] * leaf + len(part)))
+        ids = [y for x in tree_encoder(path).tree("".join(parts), sides)[1] for y in x]
         return pa.table(_batch([_digest(rows[0]["doc_id"], ids_bytes(ids), path)]), _COLUMNS)
 
     return run
@@ -207,8 +223,8 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     many = rows.where(long).withColumn("row", F.concat_ws(":", F.spark_partition_id(), F.monotonically_increasing_id()))
     parts = many.select("row", "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), ((F.length("text") - 1) / leaf).cast("long"))).alias("no"))
     parts = parts.select("row", "doc_id", "no", F.substring("text", (F.col("no") * leaf + 1).cast("int"), F.lit(leaf)).alias("part"))
-    leaves = parts.repartition("row", "no").mapInArrow(_leaves(path, leaf), "row string, doc_id long, no long, part string, starts binary, sizes binary, ids binary")
-    return short.unionByName(leaves.groupBy("row").applyInArrow(_joined(path), _SCHEMA))
+    leaves = parts.repartition("row", "no").mapInArrow(_leaves(path, leaf), "row string, doc_id long, no long, part binary, starts binary, sizes binary, ids binary")
+    return short.unionByName(leaves.groupBy("row").applyInArrow(_joined(path, leaf), _SCHEMA))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
