@@ -13,7 +13,7 @@ import re
 import sys
 from array import array
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 _LOADED: dict[tuple, object] = {}
 
 
@@ -84,9 +84,9 @@ class ByteEncoder(PieceEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = Pieces(lambda p: self._piece(p, ""), 50_000).__getitem__
+        self.first = Pieces(lambda p: self._piece(p, ""), 100_000).__getitem__
         self.inner = Pieces(lambda p: self._piece(p, " ")).__getitem__
-        self.token = Pieces(self._token, 200_000).__getitem__
+        self.marks = Pieces(self._token, 10_000).__getitem__
 
     def _token(self, text: str) -> bytes:
         """The ids of what is known to be one pre-token."""
@@ -96,11 +96,11 @@ class ByteEncoder(PieceEncoder):
         """None if a cut beside it isn't safe. A piece that begins with a newline had one before it instead of a space."""
         if m := _SIMPLE.fullmatch(piece):
             word, marks = m.groups()
-            return self.token(before + word) + (self.token(marks) if marks else b"")
+            return (self.inner if before else self.first)(word) + self.marks(marks) if marks else self._token(before + word)
         if piece[:1] == "\n":
             if m := _SIMPLE.fullmatch(piece, 1):
                 word, marks = m.groups()
-                return self.token("\n") + self.token(word) + (self.token(marks) if marks else b"")
+                return self.marks("\n") + self.first(word) + (self.marks(marks) if marks else b"")
             return None if piece[1:2].isspace() or piece == "\n" else self.whole(piece)
         return None if not piece or piece[0].isspace() else self.whole(before + piece)
 
@@ -123,7 +123,7 @@ class WordEncoder(PieceEncoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.inner = Pieces(self._piece).__getitem__
-        self.token = Pieces(self._token, 200_000).__getitem__
+        self.marks = Pieces(self._token, 10_000).__getitem__
 
     def _token(self, text: str) -> bytes:
         return ids_bytes([t.id for t in self.library.model.tokenize(mapped(text))])
@@ -131,7 +131,9 @@ class WordEncoder(PieceEncoder):
     def _piece(self, piece: str) -> bytes:
         if m := _SIMPLE.fullmatch(piece):
             word, marks = m.groups()
-            return self.token(word.lower()) + (self.token(marks) if marks else b"")
+            low = word.lower()
+            ids = self._token(word) if low == word and not marks else self.inner(low)
+            return ids + self.marks(marks) if marks else ids
         return self.whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
