@@ -11,7 +11,8 @@ A document's set holds the 64-bit hashes of its distinct shingles. Documents wit
    shingles in the order of step 1. Groups by shingle that lie inside one component need no more work. The others go through a
    signature tree: nodes hold the OR of their documents' bitmaps, the range of their sizes and the fewest bits of a document; pairs of nodes
    are followed down from the root and dropped when even the largest possible overlap is too small. What is left at
-   the leaves, in different components, is compared.
+   the leaves, in different components, is compared. Groups of at most SMALL documents are leaves alone: their pairs, each once,
+   meet the bitmaps directly.
 4. Compared means exactly: both sets meet, and link if 7 * intersection >= 3 * (sum of sizes).
 
 Edge cases: null and empty texts, and texts without words, have empty sets and link with nothing; fewer words
@@ -34,10 +35,14 @@ from .suffix_dedup import _bucket, numbered
 SHINGLE = 5
 SEEDS = 8
 BINS = 64
-CELLS = 1 << 20
+CELLS = 1 << 22
+_CELL = np.uint64(64 - 22)
 RANGES = 16
 LEADERS = 32
+HOT_SEED = 100_000
+SEEDS_PER_BLOCK = 200_000
 MEMBERS = 256
+SMALL = 12
 POSTINGS_PER_BLOCK = 1_000_000
 BUCKET_DOCS = 4096
 
@@ -50,7 +55,7 @@ def _word_bytes():
     if not _LOOK:
         import xxhash
 
-        _LOOK.append(Pieces(xxhash.xxh3_64_digest).__getitem__)
+        _LOOK.append(Pieces(xxhash.xxh3_64_digest, 150_000).__getitem__)
     return _LOOK[0]
 
 
@@ -65,7 +70,13 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
         h = np.full(n, min(k, w.size), np.uint64)
         for j in range(min(k, w.size)):
             h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
-    return np.unique(mix64(h))
+    h = np.sort(mix64(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(h.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
 
 
 def width_of(n: int) -> int:
@@ -85,7 +96,7 @@ def prefix_size(n: int) -> int:
 
 def ordered(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set in the common order: by crowding of the sketch's cell, then by hash."""
-    level = sketch[(h >> np.uint64(44)).astype(np.int64)]
+    level = sketch[(h >> _CELL).astype(np.int64)]
     return h[np.lexsort((h, level))]
 
 
@@ -104,21 +115,23 @@ _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(
 def _scan(batches):
     import zstandard
 
-    sketch = np.zeros(CELLS, np.uint32)
+    sketch, cells, held = np.zeros(CELLS, np.uint32), [], 0
     for b in chunks(batches):
-        rows, cells = [], []
+        rows = []
         for i, text in zip(b.column("_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             h = shingles(text)
             if h.size:
-                with np.errstate(over="ignore"):
-                    f1, f2 = int(h.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
-                rows.append((0, i, h.size, f1, f2, bitmap(h).tobytes(), _bin_minima(h), h[:SEEDS].tobytes()))
-                cells.append((h >> np.uint64(44)).astype(np.int64))
+                rows.append((0, i, h.size, *fingerprint(h), bitmap(h).tobytes(), _bin_minima(h), h[:SEEDS].tobytes()))
+                cells.append((h >> _CELL).astype(np.int64))
+                held += h.size
             else:
                 rows.append((0, i, 0, 0, 0, b"", b"", b""))
-        if cells:
+        if held > CELLS // 2:
             sketch += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+            cells, held = [], 0
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
+    if cells:
+        sketch += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
     z = zstandard.ZstdCompressor(level=1)
     parts = [(1, k, 0, 0, 0, z.compress(x.view("u1").reshape(-1, 4).T.tobytes()), b"", b"") for k, x in enumerate(np.split(sketch, RANGES)) if x.any()]
     if parts:
@@ -135,13 +148,14 @@ def _add_cells(table: pa.Table) -> pa.Table:
 
 
 def crowding(scanned: DataFrame) -> np.ndarray:
-    """A level for each cell of the sketch: 0 up to one and a half times the mean count, then by powers of two. CELLS bytes, whatever the input."""
+    """A level for each cell of the sketch: 0 near the median count, then by powers of two of the excess. CELLS bytes, whatever the input."""
     total = np.zeros(CELLS, np.int64)
     size = CELLS // RANGES
     for r in scanned.where("kind = 1").select("id", "bits").groupBy("id").applyInArrow(_add_cells, "id long, data binary").collect():  # RANGES rows
         total[r.id * size : (r.id + 1) * size] = np.frombuffer(bytes(r.data), np.int64)
-    mean = max(1.0, float(np.median(total)))
-    return np.ceil(np.log2(np.maximum(1.0, total / (1.5 * mean)))).astype(np.uint8)
+    usual = float(np.median(total))
+    excess = total - (usual + 2.5 * np.sqrt(usual) + 1)
+    return np.where(excess > 0, 1 + np.log2(1 + np.maximum(excess, 0)), 0).astype(np.uint8)
 
 
 # ------------------------------------------------------------ comparing
@@ -198,27 +212,34 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ 2. first links
 
 def _alike(table: pa.Table) -> pa.Table:
-    ids, n = np.asarray(table.column("id")), np.asarray(table.column("n"))
-    m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(-1, BINS)
-    order = np.argsort(ids)
-    ids, n, m = ids[order], n[order], m[order]
+    """Documents of a block of seeds: in each group of equal seeds, the first leads and takes those alike; the rest go on, LEADERS times at most."""
+    seed, ids, n = (np.asarray(table.column(c)) for c in ("seed", "id", "n"))
+    order = np.lexsort((ids, seed))
+    seed, ids, n = seed[order], ids[order], n[order]
+    m = np.frombuffer(b"".join(table.column("minima").take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, BINS)
     left, a, b = np.arange(ids.size), [], []
     for _ in range(LEADERS):
-        if left.size < 2:
+        if not left.size:
+            break
+        g = seed[left]
+        head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        lead = np.repeat(left[head], np.diff(np.append(head, left.size)))
+        rest = left != lead
+        x, y = lead[rest], left[rest]
+        if not y.size:
             break
-        x, rest = left[0], left[1:]
-        filled = (m[rest] > 0) | (m[x] > 0)
-        same = ((m[rest] == m[x]) & filled).sum(1) * 2 >= filled.sum(1)
-        same &= (4 * np.minimum(n[rest], n[x]) >= 3 * np.maximum(n[rest], n[x]))
-        a.append(np.full(int(same.sum()), ids[x]))
-        b.append(ids[rest[same]])
-        left = rest[~same]
+        filled = (m[x] > 0) | (m[y] > 0)
+        same = ((m[x] == m[y]) & filled).sum(1) * 2 >= filled.sum(1)
+        same &= 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+        a.append(ids[x[same]])
+        b.append(ids[y[same]])
+        left = y[~same]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def first_pairs(reps: DataFrame) -> DataFrame:
-    """For each document at most one earlier document that it may be a near copy of."""
+    """For each document at most one earlier document that it may be a near copy of. Seeds of more than HOT_SEED documents are dealt to several tasks."""
 
     def run(batches):
         for b in batches:
@@ -227,7 +248,14 @@ def first_pairs(reps: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(seeds) if seeds else np.zeros(0, np.int64)), *(b.column(c).take(pa.array(at)) for c in ("id", "n", "minima"))], ["seed", "id", "n", "minima"])
 
     seeds = reps.select("id", "n", "minima", "seeds").mapInArrow(run, "seed long, id long, n long, minima binary")
-    return seeds.groupBy("seed").applyInArrow(_alike, "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
+    hot = materialise(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_SEED), "hot-seeds")
+    blocks = max(16, reps.count() * SEEDS // SEEDS_PER_BLOCK)
+    if hot.isEmpty():
+        seeds = seeds.withColumn("part", F.lit(0).cast("long"))
+    else:
+        seeds = seeds.join(hot, "seed", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / HOT_SEED)), F.lit(0)).cast("long"))
+    seeds = seeds.withColumn("block", F.pmod(F.xxhash64("seed", "part"), F.lit(blocks)))
+    return seeds.select("block", "seed", "id", "n", "minima").groupBy("block").applyInArrow(_alike, "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
 
 
 # ------------------------------------------------------------ 3. prefixes and signature trees
@@ -266,24 +294,31 @@ def _token_block(token: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _prefixes(levels, blocks: int):
+    """Postings (token, id) of all prefixes, dealt by token. Of documents with equal sets in a batch only the first is kept; the first of all is never dropped."""
+
     def run(batches):
-        sketch = levels.value
-        tokens, ids, size = [], [], 0
+        sketch, held, size = levels.value, {}, 0
+
+        def flush():
+            ids = np.repeat(np.array([i for i, _ in held.values()], np.int64), [p.size for _, p in held.values()])
+            t = np.concatenate([p for _, p in held.values()])
+            return _deal(_token_block(t, blocks), t, ids)
+
         for b in chunks(batches):
             for i, text in zip(b.column("_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = shingles(text)
                 if h.size:
-                    p = ordered(h, sketch)[: prefix_size(h.size)]
-                    tokens.append(p)
-                    ids.append(np.full(p.size, i, np.int64))
-                    size += p.size
+                    key = (h.size, *fingerprint(h))
+                    if key in held:
+                        held[key] = (min(i, held[key][0]), held[key][1])
+                    else:
+                        held[key] = (i, ordered(h, sketch)[: prefix_size(h.size)])
+                        size += held[key][1].size
             if size > 1_000_000:
-                t = np.concatenate(tokens)
-                yield _deal(_token_block(t, blocks), t, np.concatenate(ids))
-                tokens, ids, size = [], [], 0
-        if tokens:
-            t = np.concatenate(tokens)
-            yield _deal(_token_block(t, blocks), t, np.concatenate(ids))
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
 
     return run
 
@@ -307,10 +342,11 @@ def _with_component(blocks: int):
         import zstandard
 
         names = ["key", "data", "more"]
-        if not postings.num_rows:
+        token = np.zeros(0, np.uint64)
+        if postings.num_rows:
+            token, ids, comp = _lookup(*_unpack2(postings.column("data").to_pylist()), docs, "component")
+        if not token.size:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names)
-        token, ids = _unpack2(postings.column("data").to_pylist())
-        comp = _lookup(ids, docs, "component")
         key = _token_block(token, blocks)
         order = np.lexsort((ids, key))
         key, token, ids, comp = key[order], token[order], ids[order], comp[order]
@@ -323,14 +359,17 @@ def _with_component(blocks: int):
     return run
 
 
-def _lookup(ids: np.ndarray, docs: pa.Table, column: str) -> np.ndarray:
+def _lookup(token: np.ndarray, ids: np.ndarray, docs: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the ids in docs, and their values of a column; other documents have the set of one of those."""
     own = np.asarray(docs.column("id"))
     order = np.argsort(own)
-    return np.asarray(docs.column(column))[order][np.searchsorted(own[order], ids)]
+    at = np.minimum(np.searchsorted(own[order], ids), max(0, own.size - 1))
+    ok = own[order][at] == ids if own.size else np.zeros(ids.size, bool)
+    return token[ok], ids[ok], np.asarray(docs.column(column))[order][at[ok]]
 
 
 def _between_components(buckets: int):
-    """Postings of tokens whose documents lie in two components or more."""
+    """Of tokens whose documents lie in two components or more: kind 0, the pairs of small groups, each once; kind 1, the postings of large ones."""
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
@@ -338,28 +377,81 @@ def _between_components(buckets: int):
         token, ids = _unpack2(table.column("data").to_pylist())
         shift = [np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "u1").reshape(8, -1).T).view("<i8").ravel() for x in table.column("more").to_pylist()]
         comp = ids + np.concatenate(shift)
-        order = np.argsort(token, kind="stable")
+        order = np.lexsort((ids, token))
         token, ids, comp = token[order], ids[order], comp[order]
+        once = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
+        token, ids, comp = token[once], ids[once], comp[once]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.append(first, token.size))
         mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-        keep = np.repeat(mixed, np.diff(np.append(first, token.size)))
-        return pa.Table.from_batches([_deal(_bucket(ids[keep], buckets), token[keep], ids[keep])])
+        large = np.repeat(mixed & (size > SMALL), size)
+        left = np.flatnonzero(np.repeat(mixed & (size <= SMALL), size))
+        token_l, ids_l, comp_l = token[left], ids[left], comp[left]
+        a, b = [], []
+        for d in range(1, SMALL):  # neighbours at distance d of one token
+            same = np.flatnonzero((token_l[d:] == token_l[:-d]) & (comp_l[d:] != comp_l[:-d]))
+            if not same.size and not (token_l[d:] == token_l[:-d]).any():
+                break
+            a.append(ids_l[same])
+            b.append(ids_l[same + d])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if a.size:
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        out = [_deal(_bucket(a, buckets), b.view(np.uint64), a), _deal(_bucket(ids[large], buckets), token[large], ids[large])]
+        return pa.concat_tables([pa.table([pa.array([k] * x.num_rows, pa.int32()), *x.columns], ["kind", "key", "data"]) for k, x in enumerate(out)])
+
+    return run
+
+
+def _pair_firsts(buckets: int):
+    """The distinct pairs of a bucket with what is known of their first documents."""
+    names = ["bucket", "a", "b", "n", "bits"]
+
+    def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.binary())], names)
+        b, a = _unpack2(pairs.column("data").to_pylist())
+        a, b = np.unique(np.stack([a, b.view(np.int64)]), axis=1)
+        at = _places(a, docs)
+        return pa.table([pa.array(_bucket(b, buckets)), pa.array(a), pa.array(b), docs.column("n").take(at), docs.column("bits").take(at)], names)
 
     return run
 
 
-_SIGNED = "token long, id long, n long, component long, bits binary"
+def _pair_seconds(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+    """The pairs whose sizes and bitmaps allow a similarity above the threshold."""
+    a, b = (np.asarray(pairs.column(c)) for c in "ab")
+    if not a.size:
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    at = _places(b, docs)
+    n, m = np.asarray(pairs.column("n")), np.asarray(docs.column("n").take(at))
+    ok = (4 * n >= 3 * m) & (4 * m >= 3 * n)
+    rows = np.flatnonzero(ok)
+    bits_a, bits_b = pairs.column("bits").take(pa.array(rows)).to_pylist(), docs.column("bits").take(at.take(pa.array(rows))).to_pylist()
+    keep = rows[[_bits_allow(x, y, int(i), int(j)) for x, y, i, j in zip(bits_a, bits_b, n[rows], m[rows], strict=True)]] if rows.size else rows
+    return pa.table([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def _with_signature(postings: pa.Table, docs: pa.Table) -> pa.Table:
-    names = ["token", "id", "n", "component", "bits"]
-    if not postings.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], names)
-    token, ids = _unpack2(postings.column("data").to_pylist())
+def _places(ids: np.ndarray, docs: pa.Table) -> pa.Array:
     own = np.asarray(docs.column("id"))
     order = np.argsort(own)
-    at = pa.array(order[np.searchsorted(own[order], ids)])
-    return pa.table([pa.array(token.view(np.int64)), pa.array(ids), *(docs.column(c).take(at) for c in names[2:])], names)
+    return pa.array(order[np.searchsorted(own[order], ids)])
+
+
+_SIGNED = "block long, token long, id long, n long, component long, bits binary"
+
+
+def _with_signature(blocks: int):
+    names = ["block", "token", "id", "n", "component", "bits"]
+
+    def run(postings: pa.Table, docs: pa.Table) -> pa.Table:
+        if not postings.num_rows:
+            return pa.table([pa.array([], t) for t in (*[pa.int64()] * 5, pa.binary())], names)
+        token, ids = _unpack2(postings.column("data").to_pylist())
+        at = _places(ids, docs)
+        return pa.table([pa.array(_token_block(token, blocks)), pa.array(token.view(np.int64)), pa.array(ids), *(docs.column(c).take(at) for c in names[3:])], names)
+
+    return run
 
 
 class SignatureTree:
@@ -444,9 +536,46 @@ def tree_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byte
 
 
 def _tree(table: pa.Table) -> pa.Table:
-    cols = [np.asarray(table.column(c)) for c in ("id", "n", "component")]
-    a, b = tree_pairs(*cols, table.column("bits").to_pylist())
-    return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+    """All tokens of a block; tokens with the same documents are one group."""
+    token, ids, n, comp = (np.asarray(table.column(c)) for c in ("token", "id", "n", "component"))
+    order = np.lexsort((ids, token))
+    token, ids = token[order], ids[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    ends = np.append(first[1:], token.size)
+    with np.errstate(over="ignore"):
+        same = np.stack([np.add.reduceat(mix64(ids.view(np.uint64)), first), np.bitwise_xor.reduceat(mix64(ids.view(np.uint64) + np.uint64(9)), first), (ends - first).astype(np.uint64)], 1)
+    once = np.unique(same, axis=0, return_index=True)[1]
+    docs, at = np.unique(ids, return_index=True)
+    rows = order[at]
+    n, comp, bits = n[rows], comp[rows], table.column("bits").take(pa.array(rows)).to_pylist()
+    small, a, b = [], [], []
+    for i in once:
+        members = np.searchsorted(docs, np.unique(ids[first[i] : ends[i]]))
+        if members.size <= 16:
+            x, y = np.triu_indices(members.size, 1)
+            small.append(members[x] * docs.size + members[y])
+        else:
+            x, y = tree_pairs(members, n[members], comp[members], [bits[k] for k in members])
+            a.append(x)
+            b.append(y)
+    if small:  # a tree of so few is its leaves
+        x, y = np.divmod(np.unique(np.concatenate(small)), docs.size)
+        ok = (comp[x] != comp[y]) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+        x, y = x[ok], y[ok]
+        ok = np.fromiter((_bits_allow(bits[i], bits[j], int(n[i]), int(n[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, x.size)
+        a.append(x[ok])
+        b.append(y[ok])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    both = np.unique(a * docs.size + b)
+    return pa.table([pa.array(docs[both // max(1, docs.size)]), pa.array(docs[both % max(1, docs.size)])], ["a", "b"])
+
+
+def _bits_allow(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether the bitmaps of two documents of n and m shingles leave a similarity above the threshold possible."""
+    w = min(len(x), len(y))
+    p, q = (int.from_bytes(v, "little") if len(v) == w else int.from_bytes(v[:w], "little") | int.from_bytes(v[w:], "little") for v in (x, y))
+    both = (p & q).bit_count()
+    return 7 * (p.bit_count() - both) <= 4 * n - 3 * m and 7 * (q.bit_count() - both) <= 4 * m - 3 * n
 
 
 # ------------------------------------------------------------ the join
@@ -463,7 +592,6 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = ["f1", "f2", "n"]
     classes = materialise(every.where("n > 0").groupBy(*sets).agg(F.min("id").alias("id")), "equal-sets")
     reps = materialise(every.dropDuplicates(["id"]).join(classes.select("id"), "id", "left_semi"), "set-representatives")
-    texts = docs.join(reps.select(F.col("id").alias("_id")), "_id", "left_semi")
 
     links = compare(materialise(first_pairs(reps), "first-pairs"), docs)
     comps = components(links)
@@ -473,12 +601,14 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(8, reps.count() // BUCKET_DOCS)
     by_bucket = known.withColumn("bucket", _bucket_column("id", buckets))
     levels = spark.sparkContext.broadcast(crowding(scanned))  # CELLS bytes
-    posted = texts.select("_id", F.col("_text").alias("text")).mapInArrow(_prefixes(levels, blocks), "key long, data binary")
+    posted = rows.mapInArrow(_prefixes(levels, blocks), "key long, data binary")
     shared = posted.groupBy("key").applyInArrow(_shared(buckets), "key long, data binary")
     labelled = shared.groupBy("key").cogroup(by_bucket.select("bucket", "id", "component").groupBy("bucket")).applyInArrow(_with_component(blocks), "key long, data binary, more binary")
-    mixed = labelled.groupBy("key").applyInArrow(_between_components(buckets), "key long, data binary")
-    signed = mixed.groupBy("key").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_with_signature, _SIGNED)
-    more = materialise(signed.groupBy("token").applyInArrow(_tree, "a long, b long").distinct(), "tree-pairs")
+    mixed = materialise(labelled.groupBy("key").applyInArrow(_between_components(buckets), "kind int, key long, data binary"), "mixed")
+    pairs = mixed.where("kind = 0").select("key", "data").groupBy("key").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_pair_firsts(buckets), "bucket long, a long, b long, n long, bits binary")
+    pairs = pairs.groupBy("bucket").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_pair_seconds, "a long, b long")
+    signed = mixed.where("kind = 1").select("key", "data").groupBy("key").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_with_signature(blocks), _SIGNED)
+    more = materialise(signed.groupBy("block").applyInArrow(_tree, "a long, b long").unionByName(pairs).distinct(), "tree-pairs")
     links = links.unionByName(compare(more, docs))
     comps = components(links)
 
