@@ -1,0 +1,6 @@
+"""Named queries over the tables, with their SQL."""
+
+from . import detection
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "detection"]
