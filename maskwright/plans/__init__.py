@@ -1,6 +1,6 @@
 """Named queries over the tables, with their SQL."""
 
-from . import detection
+from . import datasets, detection, evaluation
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "detection"]
+__all__ = ["QUERIES", "SQL", "datasets", "detection", "evaluation"]
