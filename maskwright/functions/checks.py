@@ -116,6 +116,7 @@ def tax_code(given: Column, surname: Column, sex: Column, year: Column, month: C
     dd = F.when(sex == "F", day + 40).otherwise(day)
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     body = F.concat(_three(letters_only(surname), False), _three(letters_only(given), True), pad(year % 100), F.substring(F.lit(MONTH_LETTERS), month, F.lit(1)), pad(dd), place)
-    for at in OMOCODE_PLACES[:omocode]:
-        body = F.concat(F.substring(body, 1, at - 1), F.translate(F.substring(body, at, 1), "0123456789", OMOCODE_LETTERS), F.substring(body, at + 1, 32))
+    if omocode:
+        places = [at - 1 for at in OMOCODE_PLACES[:omocode]]
+        body = F.array_join(F.transform(chars(body), lambda c, i: F.when(i.isin(*places), F.translate(c, "0123456789", OMOCODE_LETTERS)).otherwise(c)), "")
     return F.concat(body, _check_letter(body))

@@ -27,10 +27,11 @@ def prioritised(cands: Column) -> Column:
 
 
 def greedy(cands: Column) -> Column:
-    """The candidates that overlap none preferred to them."""
+    """The candidates that overlap none preferred to them, by start."""
     none = F.array().cast(SPANS)
     take = lambda acc, e: F.when(F.exists(acc, lambda k: (k["end"] > e["start"]) & (k["start"] < e["end"])), acc).otherwise(F.array_append(acc, e))
-    return F.aggregate(prioritised(cands), none, take)
+    kept = F.aggregate(prioritised(cands), none, take)
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("a"), e.alias("e")))), lambda x: x["e"])
 
 
 def _with(e: Column, start: Column, end: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def dialect_of(columns: list[str]) -> str:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Whole files as documents: UTF-8 with or without mark, else UTF-16, else Latin-1."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(content: pd.Series) -> pd.Series:
         def one(b):
