@@ -114,3 +114,24 @@ def test_generated_records_keep_their_offsets(spark):
     t = spark.createDataFrame([("t1", "Il sig. {NAME} di {CITY}.", 1.0), ("t2", "{CITY}: {NAME}, {NAME}", 3.0)], "id string, template string, weight double")
     made = dataset.generate(spark, 200, t, {"NAME": dataset.pick(["Ada", "Bo", "Élia"], F.col("digest")), "CITY": F.concat(F.lit("C"), F.col("id").cast("string"))}, "s", cap=30).collect()
     assert 30 < len(made) <= 60 and all(e.value == r.text[e.start : e.end] for r in made for e in r.entities) and len({r.text for r in made}) == len(made)
+
+
+def test_skeletons_with_raw_and_final_labels(spark):
+    d = spark.createDataFrame([("Dr.  Ada\nBo, x", [("TITLE", 0, 3), ("GIVENNAME", 5, 8)])], "t string, e array<struct<label:string,start:int,end:int>>")
+    assert d.select(dataset.skeleton(F.col("t"), F.col("e")), dataset.skeleton(F.col("t"), F.col("e"), True)).first()[:] == ("<TITLE> <GIVENNAME> Bo, x", "<O> <FULLNAME> Bo, x")
+
+
+def test_schedule_and_report(spark):
+    cells = metrics.latin_square(list("AB"), 2)
+    full = spark.createDataFrame(cells, "round int, position int, variant string")
+    assert metrics.schedule_gaps(full, full).count() == 0 and metrics.schedule_gaps(full, full.limit(3)).count() == 1
+    runs = spark.createDataFrame([("A", "d1", True), ("A", "d1", True), ("B", "d1", True), ("B", "d2", True)], "variant string, digest string, complete boolean")
+    none = spark.createDataFrame([], "variant string")
+    assert {r.variant: r.passed for r in metrics.regression_report(runs, none, True).collect()} == {"A": True, "B": False}
+    assert not any(r.passed for r in metrics.regression_report(runs, none, False).collect())
+
+
+def test_slots_and_names(spark):
+    d = spark.createDataFrame([("a {X} Ada Bo {Y}",), ("end. Ada goes",), ("dott. Rossi said",), ("привет",)], "t string")
+    r = d.select(text.slots(F.col("t")).alias("s"), F.size(text.stray_names(F.col("t"))).alias("n"), text.non_latin(F.col("t")).alias("l"), text.glued(F.lit("x[CITY_1]")).alias("g")).collect()
+    assert [x.s for x in r][0] == ["X", "Y"] and [x.n for x in r] == [1, 0, 1, 0] and r[3].l == "п" and r[0].g
