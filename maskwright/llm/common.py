@@ -74,6 +74,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy() -> None:
+    """Gives freed memory of this worker process back to the system: idle workers share an executor's memory with busy ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches, column: str = "text", size: int = 4 << 20):
     """Splits Arrow batches into slices of about `size` bytes of text (one row at least)."""
     import pyarrow.compute as pc
@@ -88,3 +101,4 @@ def chunks(batches, column: str = "text", size: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()

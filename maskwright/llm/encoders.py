@@ -8,13 +8,28 @@ with other white space next to such a cut, or with special-token strings, are en
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
 from array import array
 
+from .common import tidy
+
 CACHE_PIECES = 500_000
 _LOADED: dict[tuple, object] = {}
+#: caches of a worker process by the work they serve; only one kind of work keeps its caches at a time
+_CACHES: dict[str, object] = {}
+
+
+def cached(work: str, make):
+    """make(), kept until another kind of work begins in this process."""
+    if work not in _CACHES:
+        _CACHES.clear()
+        gc.collect()
+        tidy()
+        _CACHES[work] = make()
+    return _CACHES[work]
 
 
 def tokenizer_path(name: str) -> str:
@@ -122,7 +137,7 @@ class ByteEncoder(PieceEncoder):
 class WordEncoder(PieceEncoder):
     def __init__(self, path: str):
         super().__init__(path)
-        self.inner = Pieces(self._piece).__getitem__
+        self.inner = Pieces(self._piece, 250_000).__getitem__
         self.marks = Pieces(self._token, 10_000).__getitem__
 
     def _token(self, text: str) -> bytes:
@@ -141,6 +156,4 @@ class WordEncoder(PieceEncoder):
 
 
 def encoder(kind: type[PieceEncoder], path: str) -> PieceEncoder:
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    return cached(f"{kind.__name__} {path}", lambda: kind(path))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_or_empty
-from .encoders import Pieces, ids_bytes
+from .encoders import Pieces, cached, ids_bytes
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WORD = re.compile(r"\w+")
@@ -21,19 +21,14 @@ class HashedTokens:
 
     def __init__(self, kind: str):
         find = {"marks": _TOKEN.findall, "words": lambda s: [x for w in _WORD.findall(s.lower()) for x in (w, "5" + w[:5], "4" + w[:4])]}[kind]
-        self.look = Pieces(lambda w: ids_bytes([crc32(t.encode("utf-8", "replace")) for t in find(w)])).__getitem__
+        self.look = Pieces(lambda w: ids_bytes([crc32(t.encode("utf-8", "replace")) for t in find(w)]), 350_000).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.look, text.split())) if text else b"", "<u4")
 
 
-_KINDS: dict[str, HashedTokens] = {}
-
-
 def tokens(kind: str) -> HashedTokens:
-    if kind not in _KINDS:
-        _KINDS[kind] = HashedTokens(kind)
-    return _KINDS[kind]
+    return cached(f"tokens {kind}", lambda: HashedTokens(kind))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, kind: str) -> tuple[list[np.ndarray], np.ndarray, list[str], dict[int, int]]:

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix64, text_bytes
+from .common import chunks, materialise, mix64, text_bytes, tidy
 from .components import components
-from .encoders import Pieces
+from .encoders import Pieces, cached
 from .suffix_dedup import _bucket, numbered
 
 SHINGLE = 5
@@ -48,15 +48,10 @@ BUCKET_DOCS = 4096
 
 # ------------------------------------------------------------ sets
 
-_LOOK: list = []
-
-
 def _word_bytes():
-    if not _LOOK:
-        import xxhash
+    import xxhash
 
-        _LOOK.append(Pieces(xxhash.xxh3_64_digest, 150_000).__getitem__)
-    return _LOOK[0]
+    return cached("word hashes", lambda: Pieces(xxhash.xxh3_64_digest, 150_000).__getitem__)
 
 
 def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
@@ -327,6 +322,7 @@ def _shared(buckets: int):
     """Postings of tokens that two documents or more have, dealt to the documents' buckets."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         token, ids = _unpack2(table.column("data").to_pylist())
         u, inv, n = np.unique(token, return_inverse=True, return_counts=True)
         keep = n[inv] > 1
@@ -339,6 +335,7 @@ def _with_component(blocks: int):
     """Postings of a bucket and its documents' components, dealt to the tokens' blocks: (token, component) travel, the ids beside them."""
 
     def run(postings: pa.Table, docs: pa.Table) -> pa.Table:
+        tidy()
         import zstandard
 
         names = ["key", "data", "more"]
@@ -372,6 +369,7 @@ def _between_components(buckets: int):
     """Of tokens whose documents lie in two components or more: kind 0, the pairs of small groups, each once; kind 1, the postings of large ones."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         import zstandard
 
         token, ids = _unpack2(table.column("data").to_pylist())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialise, text_or_empty
-from .encoders import WordEncoder, encoder, tokenizer_path
+from .encoders import WordEncoder, cached, encoder, tokenizer_path
 
 CAPACITY = 2048
 
@@ -122,6 +122,7 @@ def _assign(rules: list[tuple[int, int, int, int, int, int]]):
     table = np.array(sorted(rules), np.int64).reshape(-1, 6)
 
     def run(batches):
+        cached("places", dict)  # lets go of the tokenizer's pieces
         lengths = table[:, 0]
         for b in batches:
             length, rank = (np.asarray(b.column(c)).astype(np.int64) for c in ("length", "rank"))

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix64, text_bytes, text_or_empty
+from .common import chunks, materialise, mix64, text_bytes, text_or_empty, tidy
+from .encoders import cached
 
 LENGTH = 100
 GRAM = 28
@@ -204,6 +205,7 @@ def _cuts(cols: list[np.ndarray], which: np.ndarray, buckets: int) -> list[tuple
 
 def _scan(blocks: int, buckets: int):
     def run(batches):
+        cached("runs", dict)  # lets go of other caches
         held, size = [], 0
 
         def flush():
@@ -229,6 +231,7 @@ def _scan(blocks: int, buckets: int):
 
 def _settle(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         kind, blobs = table.column("kind")[0].as_py(), table.column("data").to_pylist()
         if kind == 1:
             cols = _unpack(blobs, _CUT)
@@ -358,6 +361,7 @@ def _context(blocks: int):
 
 def _sort_bucket(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         import zstandard
 
         cols = _unpack(table.column("data").to_pylist(), _RUN)
