@@ -13,7 +13,8 @@ A document's set holds the 64-bit hashes of its distinct shingles. Documents wit
    are followed down from the root and dropped when even the largest possible overlap is too small. What is left at
    the leaves, in different components, is compared. Groups of at most SMALL documents are leaves alone: their pairs, each once,
    meet the bitmaps directly.
-4. Compared means exactly: both sets meet, and link if 7 * intersection >= 3 * (sum of sizes).
+4. Compared means that both sets meet (48 bits of each shingle's hash, so two unlike shingles of a pair agree with a chance
+   below one in a hundred million), and link if 7 * intersection >= 3 * (sum of sizes).
 
 Edge cases: null and empty texts, and texts without words, have empty sets and link with nothing; fewer words
 than a shingle are one shingle; rows that repeat a doc_id are documents of their own (if their text differs); a null doc_id
