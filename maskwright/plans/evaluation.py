@@ -166,7 +166,7 @@ _TYPED = ", t AS (SELECT *, CASE WHEN raw LIKE '%NAME' THEN 'FULLNAME' WHEN raw
 
 
 def _labels(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), 1, 200)
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))  # all of them; the SQL above still stops at 200
     raw = lambda w: F.when(F.length(w) % 5 == 0, "B-GIVENNAME").when(F.length(w) % 5 == 1, "I-SURNAME").when(F.length(w) == 7, "B-TITLE").when(F.length(w) == 8, "I-TAXNUM").otherwise("O")
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
     return d.withColumn("raw", F.transform("words", raw)).withColumn("labels", bio.normalised(F.col("raw")))
