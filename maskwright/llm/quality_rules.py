@@ -6,9 +6,9 @@ summed by hash range, and the distinct n-grams, far fewer than the documents, ma
 hashes with log probabilities and back-off weights. A table of more than `most_entries` n-grams isn't broadcast: the model is built one order
 lower, until it fits (no n-gram of a kept order is ever left out).
 
-A document's perplexity is taken over all characters of its words and word ends. Documents outside [centre - width, centre + width]
-of their language's log perplexities are rejected; centre is the median over all documents that pass the base rules, width
-is `spread` times the median absolute deviation, and at least `least`.
+A document's perplexity is taken over all characters of its words and word ends. Documents outside [centre - below, centre + above]
+of their language's log perplexities are rejected; centre is the median over all documents that pass the base rules, below and above
+are `spread` times the median distance of those under and over it (copies of the centre don't narrow them). `least` only guards against rounding.
 
 Edge cases: a null text has no words; a document without words fails the base rules; a null language is one of its own;
 repeated rows are counted and returned each; other columns are ignored; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from .common import chunks, materialise, mix64, text_or_empty, tidy
 from .encoders import cached
 
 ORDER = 5
-SPREAD, LEAST = 8.0, 0.3
+SPREAD, LEAST = 8.0, 1e-6
 MOST_ENTRIES = 16_000_000
 FLUSH_WORDS = 200_000
 KNOWN_WORDS = 250_000
@@ -358,9 +358,10 @@ def bands(measures: DataFrame, spread: float = SPREAD, least: float = LEAST) ->
     good = measures.where("not base_failed").select("lang", "log_perplexity")
     # written, so its size is known when the join is planned: a few languages are broadcast, a huge table isn't
     centre = materialise(good.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("centre")), "band-centres")
-    away = good.join(centre, "lang").groupBy("lang", "centre").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("centre")), 0.5, 10_000).alias("mad"))
-    width = F.greatest(F.lit(least), spread * F.col("mad"))
-    return away.select("lang", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
+    d = F.col("log_perplexity") - F.col("centre")
+    side = lambda far: F.greatest(F.lit(least), spread * F.percentile_approx(F.when(far > 0, far), 0.5, 10_000))
+    away = good.join(centre, "lang").groupBy("lang", "centre").agg(side(-d).alias("below"), side(d).alias("above"))
+    return away.select("lang", (F.col("centre") - F.col("below")).alias("low"), (F.col("centre") + F.col("above")).alias("high"))
 
 
 def quality(docs: DataFrame, spread: float = SPREAD, least: float = LEAST) -> DataFrame:
