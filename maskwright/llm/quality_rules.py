@@ -3,8 +3,8 @@
 The language model is an interpolated modified Kneser-Ney model of character n-grams inside words, one for each
 language: Spark counts the words of every document (each task sums up what it reads), blocks of n-grams are
 summed by hash range, and the distinct n-grams, far fewer than the documents, make up sorted arrays of 64-bit
-hashes with log probabilities and back-off weights. A table of more than `most_entries` n-grams isn't broadcast: the model is built one order
-lower, until it fits (no n-gram of a kept order is ever left out).
+hashes with log probabilities and back-off weights. The order is the same for any number of n-grams, so a document's
+verdict doesn't hang on a size limit; the arrays are broadcast whole and must fit an executor's memory.
 
 A document's perplexity is taken over all characters of its words and word ends. Documents outside [centre - below, centre + above]
 of their language's log perplexities are rejected; centre is the median over all documents that pass the base rules, below and above
@@ -30,7 +30,6 @@ from .encoders import cached
 
 ORDER = 5
 SPREAD, LEAST = 8.0, 1e-6
-MOST_ENTRIES = 16_000_000
 FLUSH_WORDS = 200_000
 KNOWN_WORDS = 250_000
 SHARDS = 16
@@ -261,11 +260,12 @@ def word_logs(words: list[str], lang: str, m: Model) -> np.ndarray:
     return np.add.reduceat(total, ends - sizes)
 
 
-def load_model(counts: DataFrame, order: int = ORDER, most_entries: int = MOST_ENTRIES) -> Model:
-    """Collects the distinct n-grams up to the highest order whose table has at most most_entries, and builds the model."""
-    sizes = {r.k: r.n for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    while order > 1 and sum(sizes.get(k, 0) for k in range(1, order + 1)) > most_entries:
-        order -= 1
+def load_model(counts: DataFrame, order: int = ORDER, most_entries: int | None = None) -> Model:
+    """Collects the distinct n-grams and builds the model; only a caller that gives most_entries gets a lower order, whose table has at most so many."""
+    if most_entries is not None:
+        sizes = {r.k: r.n for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        while order > 1 and sum(sizes.get(k, 0) for k in range(1, order + 1)) > most_entries:
+            order -= 1
     parts: dict[int, list[np.ndarray]] = {k: [] for k in range(1, order + 1)}
     for r in counts.where(F.col("k") <= order).select("lang", "k", "data").toLocalIterator():
         chars, c = _unpack(bytes(r.data), r.k)
@@ -348,7 +348,7 @@ _MEASURES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_line
 def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """A written table: the base counts and the log perplexity (per character) of every row."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load_model(count_grams(docs, order), order))  # at most MOST_ENTRIES n-grams
+    model = spark.sparkContext.broadcast(load_model(count_grams(docs, order), order))  # of one order at every size
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("text"))
     return materialise(rows.mapInArrow(_measure(lambda: model.value), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"), "quality-measures")
 
