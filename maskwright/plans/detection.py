@@ -232,7 +232,7 @@ def chunk_words(spark, sf_dir):
 @query(r"""WITH w AS (SELECT regexp_extract_all(text, '\S+') AS v FROM documents), p AS (SELECT v[i] AS a, v[i + 1] AS b FROM (SELECT v, unnest(range(1, len(v))) AS i FROM w))
 SELECT a, b, count(*) AS n FROM p GROUP BY a, b HAVING count(*) >= 20""")
 def word_bigrams(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.inline(text.word_bigrams(F.col("text")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return table(spark, sf_dir, "documents").select(F.inline(text.word_bigrams(F.col("text")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS v FROM documents)

@@ -1,6 +1,7 @@
 """Queries against brute force over texts longer, and counts lower, than the limits they once had."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -64,3 +65,10 @@ def test_labels_of_every_word(spark, long_texts, name):
     d, docs = long_texts
     got = sorted(tuple(r) for r in QUERIES[name](spark, d).collect())
     assert got == sorted(x for i, t in docs.items() for x in plain(name, i, t))
+
+
+def test_every_word_pair_counts(spark, long_texts):
+    d, docs = long_texts
+    want = Counter(p for t in docs.values() for p in zip(t.split(), t.split()[1:], strict=False))
+    assert min(want.values()) < 20
+    assert sorted(tuple(r) for r in QUERIES["word_bigrams"](spark, d).collect()) == sorted((*p, n) for p, n in want.items())
