@@ -65,8 +65,9 @@ def unique_skeletons(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AND substr(text, 1, 40) NOT IN (SELECT substr(text, 1, 40) FROM documents WHERE doc_id % 3 = 0)")
 def novel_anti(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
-    return dataset.novel(d.where("doc_id % 3 <> 0"), d.where("doc_id % 3 = 0"), ("text", "head")).select("doc_id")
+    none = F.array().cast("array<struct<label:string,start:int,end:int>>")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", dataset.skeleton_hash(F.col("text"), none).alias("skeleton"))
+    return dataset.novel(d.where("doc_id % 3 <> 0"), d.where("doc_id % 3 = 0"), ("text", "skeleton")).select("doc_id")
 
 
 @query("WITH d AS (SELECT DISTINCT source AS split, text FROM documents) SELECT a.split AS split_a, b.split AS split_b, count(DISTINCT a.text) AS n_shared FROM d a JOIN d b ON a.text = b.text AND a.split < b.split GROUP BY 1, 2")

@@ -72,3 +72,13 @@ def test_every_word_pair_counts(spark, long_texts):
     want = Counter(p for t in docs.values() for p in zip(t.split(), t.split()[1:], strict=False))
     assert min(want.values()) < 20
     assert sorted(tuple(r) for r in QUERIES["word_bigrams"](spark, d).collect()) == sorted((*p, n) for p, n in want.items())
+
+
+def test_novelty_by_whole_texts(spark, tmp_path):
+    head = "x" * 60
+    docs = [(3, f"{head} one"), (6, "short"), (1, f"{head} two"), (2, f"{head} one"), (4, f"{head}  one"), (5, None), (7, "shor"), (8, head)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {" ".join(t.split()) for i, t in docs if i % 3 == 0}
+    want = sorted(i for i, t in docs if i % 3 and (t is None or " ".join(t.split()) not in seen))
+    assert want == [1, 5, 7, 8]
+    assert sorted(r.doc_id for r in QUERIES["novel_anti"](spark, str(tmp_path)).collect()) == want
