@@ -579,9 +579,12 @@ def _bits_allow(x: bytes, y: bytes, n: int, m: int) -> bool:
 
 # ------------------------------------------------------------ the join
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, n_shingles and component_id of every row; links has pairs (u, v) of compared
-    documents above the threshold that join the components (documents with equal sets stand for each other)."""
+    documents above the threshold that join the components (documents with equal sets stand for each other).
+
+    exact: links has all pairs of different sets above the threshold, none skipped for lying in one component, and members
+    has n_links, the number of other documents above the threshold, those with an equal set among them."""
     spark = docs.sparkSession
     docs = numbered(docs)
     total = text_bytes(docs, "_text")[1]
@@ -589,12 +592,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scanned = materialise(rows.mapInArrow(_scan, _ROW), "shingle-rows")
     every = scanned.where("kind = 0")
     sets = ["f1", "f2", "n"]
-    classes = materialise(every.where("n > 0").groupBy(*sets).agg(F.min("id").alias("id")), "equal-sets")
+    classes = materialise(every.where("n > 0").groupBy(*sets).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")), "equal-sets")
     reps = materialise(every.dropDuplicates(["id"]).join(classes.select("id"), "id", "left_semi"), "set-representatives")
 
     links = compare(materialise(first_pairs(reps), "first-pairs"), docs)
     comps = components(links)
-    known = materialise(reps.join(comps, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "bits"), "signatures")
+    apart = F.col("id") if exact else F.coalesce("component", "id")  # each set a component of its own: no pair is skipped
+    known = materialise(reps.join(comps, "id", "left").select("id", "n", apart.alias("component"), "bits"), "signatures")
 
     blocks = max(16, total // 24 // POSTINGS_PER_BLOCK)
     buckets = max(8, reps.count() // BUCKET_DOCS)
@@ -609,17 +613,24 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = mixed.where("kind = 1").select("key", "data").groupBy("key").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_with_signature(blocks), _SIGNED)
     more = materialise(signed.groupBy("block").applyInArrow(_tree, "a long, b long").unionByName(pairs).distinct(), "tree-pairs")
     links = links.unionByName(compare(more, docs))
+    if exact:
+        links = materialise(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "all-links")
     comps = components(links)
+    extra = ["n_links"] if exact else []
+    if exact:
+        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        far = ends.join(classes.select(F.col("id").alias("v"), "size"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("size").alias("far"))
+        classes = classes.join(far, "id", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("far", F.lit(0)))
 
     label = comps.withColumnRenamed("id", "rep")
-    classes = materialise(classes.withColumnRenamed("id", "rep").join(label, "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component")), "set-components")
-    members = every.select("id", *sets).join(classes, sets, "left").select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    classes = materialise(classes.withColumnRenamed("id", "rep").join(label, "rep", "left").select(*sets, *extra, F.coalesce("component", "rep").alias("component")), "set-components")
+    members = every.select("id", *sets).join(classes, sets, "left").select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), *[F.coalesce(c, F.lit(0)).alias(c) for c in extra])
     if "_hash" in docs.columns or dict(docs.dtypes).get("doc_id") != "bigint" or _renumbered(docs):
         members = members.dropDuplicates(["_id"])
         names = materialise(docs.select("_id", "doc_id"), "document-names")
         first = names.dropDuplicates(["_id"]).select(F.col("_id").alias("component"), F.col("doc_id").alias("component_id"))
-        return names.join(members, "_id").join(first, "component").select("doc_id", "n_shingles", "component_id"), links
-    return members.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")), links
+        return names.join(members, "_id").join(first, "component").select("doc_id", "n_shingles", "component_id", *extra), links
+    return members.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), *extra), links
 
 
 def _renumbered(docs: DataFrame) -> bool:
