@@ -55,7 +55,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def text_bytes(docs: DataFrame, name: str = "text") -> tuple[int, int]:
     """Rows of docs and UTF-8 bytes of its text: block counts are set in proportion."""
-    n, b = docs.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_or_empty(name))), F.lit(0))).first()
+    n, b = docs.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
     return n, b
 
 

@@ -104,7 +104,7 @@ def _pieces(encode, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for b in chunks(batches):
             rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text")), strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     x = ids[at : at + 4 * capacity]

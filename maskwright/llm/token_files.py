@@ -3,8 +3,8 @@
 Documents are laid out in ascending doc_id order (null ids first). A shard is a row of a written table:
 its ids as 16- or 32-bit little-endian integers, its documents' ids, and the ends of its documents as an
 Elias-Fano sequence: low bits packed, high bits in unary, and for select a 32-bit count of the ones before
-each 512-bit block. `part` and `local_start` place a shard; only one total for each part (at most MAX_PARTS)
-goes to the driver.
+each 512-bit block. `part` and `local_start` place a shard; only one bound and one total for each part (at most
+MAX_PARTS) go to the driver.
 
 Edge cases: a null text is empty and holds the end id alone; repeated doc_ids are documents of their own, in
 any order; other columns are ignored; an empty table makes no shard and no row.
@@ -17,13 +17,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, text_bytes, text_or_empty
+from .common import chunks, materialise, mix64, text_bytes, text_or_empty
 from .encoders import ByteEncoder, encoder, tokenizer_path
 
-PART_BYTES = 16 << 20  # of text
+PART_BYTES = 8 << 20  # of text
 MAX_PARTS = 20_000
 SHARD_IDS = 4 << 20
 
@@ -78,27 +79,55 @@ class EliasFano:
         return high << self.low | low
 
 
-def _shards(encode, end_id: int, width: str):
+def id_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """At most MAX_PARTS - 1 doc_ids that cut the documents into parts of about as many rows; an id that many rows repeat stands there several times."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    return np.array(cuts or [], np.int64)
+
+
+def part_of(ids: pa.Array, no: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The part of each document, in id order; the rows of an id that is several bounds are dealt to all parts between them. Null ids come first."""
+    known = np.asarray(pc.fill_null(ids, -(1 << 63)), np.int64)
+    low, high = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+    wide = high > low + 1
+    return np.where(wide, low + (mix64(no.astype(np.uint64)) % np.maximum(1, high - low).astype(np.uint64)).astype(np.int64), low) * np.asarray(ids.is_valid(), np.int64)
+
+
+def _ids(encode, width: str, bounds: np.ndarray):
     def run(batches):
-        from pyspark import TaskContext
+        for b in chunks(batches):
+            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encode(b.column("text"))]
+            part = part_of(b.column("doc_id"), np.asarray(b.column("no")), bounds)
+            yield pa.record_batch([pa.array(part), b.column("doc_id"), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
-        part, start, docs, blobs, ends, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+    return run
+
+
+def _shards(end_id: int, width: str):
+    item = np.dtype(width).itemsize
+    end = np.array([end_id], width).tobytes()
+
+    def run(batches):
+        part, start, docs, blobs, ends, size = None, 0, [], [], [], 0
 
         def shard():
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            row = (part, start, len(docs), size, ids.astype(width).tobytes(), elias_fano(np.array(ends)), pa.array(docs, pa.int64()))
+            row = (part, start, len(docs), size, b"".join(blobs), elias_fano(np.array(ends)), docs)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            return pa.record_batch([pa.array([x], t) for x, t in zip(row[:-1], types[:-1], strict=True)] + [pa.array([docs], types[-1])], ["part", "local_start", "n_docs", "n_ids", "ids", "ends", "doc_ids"])
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["part", "local_start", "n_docs", "n_ids", "ids", "ends", "doc_ids"])
 
-        end = struct.pack("<I", end_id)
-        for b in chunks(batches):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
-                if docs and size + len(ids) // 4 >= SHARD_IDS:
+        for b in batches:
+            for own, doc, ids in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+                n = len(ids) // item + 1
+                if docs and (size + n > SHARD_IDS or own != part):
                     yield shard()
                     start, docs, blobs, ends, size = start + size, [], [], [], 0
+                if own != part:
+                    part, start = own, 0
                 docs.append(doc)
-                blobs.append(ids + end)
-                size += len(ids) // 4 + 1
+                blobs += (ids, end)
+                size += n
                 ends.append(size)
         if docs:
             yield shard()
@@ -107,13 +136,13 @@ def _shards(encode, end_id: int, width: str):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257) -> DataFrame:
-    """Encodes every document and writes the shards; returns the written table."""
-    total = text_bytes(docs)[1]
-    parts = min(MAX_PARTS, max(1, -(-total // PART_BYTES)))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    """Encodes every document where it is read and moves its ids, not its text, to its part; returns the written table of shards."""
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    shards = rows.mapInArrow(_shards(lambda texts: encoder(ByteEncoder, tokenizer).encode(texts), end_id, width), "part long, local_start long, n_docs long, n_ids long, ids binary, ends binary, doc_ids array<long>")
-    return materialise(shards, "token-files")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("no"), text_or_empty().alias("text"))
+    parts = min(MAX_PARTS, max(1, -(-text_bytes(texts)[1] // PART_BYTES)))
+    ids = texts.mapInArrow(_ids(lambda t: encoder(ByteEncoder, tokenizer).encode(t), width, id_bounds(texts, parts)), "part long, doc_id long, ids binary")
+    ordered = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id")
+    return materialise(ordered.mapInArrow(_shards(end_id, width), "part long, local_start long, n_docs long, n_ids long, ids binary, ends binary, doc_ids array<long>"), "token-files")
 
 
 def with_starts(shards: DataFrame) -> DataFrame:

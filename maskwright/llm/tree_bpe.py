@@ -164,7 +164,7 @@ def _batch(rows: list[tuple]) -> list[pa.Array]:
 def _short(path: str):
     def run(batches):
         for b in chunks(batches):
-            ids = encoder(ByteEncoder, path).encode(b.column("text").to_pylist())
+            ids = encoder(ByteEncoder, path).encode(b.column("text"))
             yield pa.record_batch(_batch([_digest(d, x, path) for d, x in zip(b.column("doc_id").to_pylist(), ids, strict=True)]), _COLUMNS)
 
     return run

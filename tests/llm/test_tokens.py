@@ -74,3 +74,19 @@ def test_queries_on_odd_rows(spark):
     assert sorted(map(tuple, read_documents(files).collect()), key=str) == sorted(expect, key=str)
     empty = docs.limit(0)
     assert encode_decode(empty, BYTES).count() == 0 and read_documents(write_token_files(empty, BYTES)).count() == 0
+
+
+def test_an_id_of_most_rows_is_dealt_to_several_parts(spark, monkeypatch):
+    from maskwright.llm import token_files
+
+    monkeypatch.setattr(token_files, "PART_BYTES", 200)
+    rng = random.Random(6)
+    rows = [(7 if i % 3 else i, _random(rng, "ab c", rng.randint(0, 30))) for i in range(300)] + [(None, "none")] * 3
+    files = write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTES)
+    assert len({r.part for r in files.collect() if 7 in r.doc_ids}) > 5
+    got = sorted(read_documents(files).collect(), key=lambda r: r.start)
+    key = lambda x: -1 if x is None else x
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=key)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    want = sorted((key(i), zlib.crc32(ids_bytes([*load(BYTES).encode(t, add_special_tokens=False).ids, 2]))) for i, t in rows)
+    assert sorted((key(r.doc_id), r.ids_crc32) for r in got) == want
