@@ -32,10 +32,24 @@ def test_dedup_equals_brute_force_for_any_cut(spark):
     for cut in (None, -1, 9, 100):
         got = exact_dedup.dedup(docs, cut).collect()
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
-        assert all(r.kept == (r.keep_id == r.doc_id) for r in got)
+        assert all(r.keep_id == r.doc_id for r in got if r.kept)
+        assert sorted(r.text_sha256 for r in got if r.kept) == sorted({r.text_sha256 for r in got})  # one row of each class
     assert exact_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_ids_that_are_repeated_or_null(spark):
+    for rows, want in (
+        ([(1, "a"), (1, "b"), (5, "a")], [(1, "a", 1, 2, True), (1, "b", 1, 1, True), (5, "a", 1, 2, False)]),
+        ([(None, "c"), (None, "c"), (6, "c")], [(None, "c", None, 3, True), (None, "c", None, 3, False), (6, "c", None, 3, False)]),
+        ([(1, "a"), (1, "a"), (None, "d")], [(1, "a", 1, 2, True), (1, "a", 1, 2, False), (None, "d", None, 1, True)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        names = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
+        for cut in (None, 3):
+            got = [(r.doc_id, names[r.text_sha256], r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs, cut).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str), cut
+
+
 def test_equal_digests_with_unlike_bytes_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.lit("same"))
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
