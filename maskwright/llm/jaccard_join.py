@@ -13,8 +13,7 @@ A document's set holds the 64-bit hashes of its distinct shingles. Documents wit
    are followed down from the root and dropped when even the largest possible overlap is too small. What is left at
    the leaves, in different components, is compared. Groups of at most SMALL documents are leaves alone: their pairs, each once,
    meet the bitmaps directly.
-4. Compared means that both sets meet (48 bits of each shingle's hash, so two unlike shingles of a pair agree with a chance
-   below one in a hundred million), and link if 7 * intersection >= 3 * (sum of sizes).
+4. Compared means that both sets meet (all 64 bits of each shingle's hash), and link if 7 * intersection >= 3 * (sum of sizes).
 
 Edge cases: null and empty texts, and texts without words, have empty sets and link with nothing; fewer words
 than a shingle are one shingle; rows that repeat a doc_id are documents of their own (if their text differs); a null doc_id
@@ -42,7 +41,7 @@ RANGES = 16
 LEADERS = 32
 HOT_SEED = 100_000
 SEEDS_PER_BLOCK = 200_000
-MEMBERS = 256
+MEMBERS = 24
 SMALL = 12
 POSTINGS_PER_BLOCK = 1_000_000
 BUCKET_DOCS = 4096
@@ -159,17 +158,15 @@ def crowding(scanned: DataFrame) -> np.ndarray:
 def _pack_set(h: np.ndarray) -> bytes:
     import zstandard
 
-    d = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(d.view("u1").reshape(-1, 8).T[:6].tobytes())
+    d = np.diff(h, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(d.view("u1").reshape(-1, 8).T.tobytes())
 
 
 def _unpack_set(blob: bytes) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "u1").reshape(6, -1)
-    wide = np.zeros((raw.shape[1], 8), np.uint8)
-    wide[:, :6] = raw.T
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _sets(batches):
@@ -586,7 +583,7 @@ def join(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     exact: links has all pairs of different sets above the threshold, none skipped for lying in one component, and members
     has n_links, the number of other documents above the threshold, those with an equal set among them."""
     spark = docs.sparkSession
-    docs = numbered(docs)
+    docs = numbered(docs.select("doc_id", "text"))
     total = text_bytes(docs, "_text")[1]
     rows = docs.select("_id", F.col("_text").alias("text"))
     scanned = materialise(rows.mapInArrow(_scan, _ROW), "shingle-rows")
@@ -625,7 +622,7 @@ def join(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     label = comps.withColumnRenamed("id", "rep")
     classes = materialise(classes.withColumnRenamed("id", "rep").join(label, "rep", "left").select(*sets, *extra, F.coalesce("component", "rep").alias("component")), "set-components")
     members = every.select("id", *sets).join(classes, sets, "left").select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), *[F.coalesce(c, F.lit(0)).alias(c) for c in extra])
-    if "_hash" in docs.columns or dict(docs.dtypes).get("doc_id") != "bigint" or _renumbered(docs):
+    if dict(docs.dtypes).get("doc_id") != "bigint" or _renumbered(docs):
         members = members.dropDuplicates(["_id"])
         names = materialise(docs.select("_id", "doc_id"), "document-names")
         first = names.dropDuplicates(["_id"]).select(F.col("_id").alias("component"), F.col("doc_id").alias("component_id"))

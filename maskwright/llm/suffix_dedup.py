@@ -17,7 +17,8 @@ Memory: a bucket holds about RUNS_PER_BLOCK runs, and no key adds more than one
 
 Edge cases: null texts are empty; documents shorter than LENGTH lose nothing; rows that repeat a doc_id are documents
 of their own, in the order of a hash of their text, except that rows equal in both are one document, reported each; a null doc_id comes before all
-others; columns named like internal ones are left alone; an empty table gives an empty result.
+others; all columns of the input travel inside one struct, so no name of theirs can clash; an empty table gives an empty result.
+Runs count as alike as a whole if 128 bits of hash agree; their bytes aren't compared.
 """
 
 from __future__ import annotations
@@ -432,16 +433,22 @@ def _by_document(layout, merge: bool):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_text` (nulls empty) and `_id`: doc_id where it is unique and not null, else a number in its order."""
-    docs = docs.withColumn("_text", text_or_empty())
+    """row (a struct of all columns of docs), doc_id, _text (nulls empty) and _id: doc_id where it is unique and not null, else a number in its order."""
+    docs = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id"), text_or_empty().alias("_text"))
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
         return docs.withColumn("_id", F.col("doc_id").cast("long"))
-    keys = docs.select("doc_id", F.xxhash64("_text").alias("_hash")).distinct().orderBy(F.asc_nulls_first("doc_id"), "_hash")
-    schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", _hash long, _id long"
-    known = materialise(docs.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])), schema), "document-numbers").withColumnRenamed("doc_id", "_doc")
+    keys = docs.select("doc_id", F.xxhash64("_text").alias("_hash")).distinct()
+    keys = materialise(keys.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").select("doc_id", "_hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "document-keys")
+    counts = sorted(map(tuple, keys.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least")).collect()))  # a row for each partition
+    base, starts = 0, []
+    for part, n, least in counts:
+        starts.append((part, base - least))
+        base += n
+    known = keys.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, shift long")), "part")
+    known = materialise(known.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_key"), (F.col("at") + F.col("shift")).alias("_id")), "document-numbers")
     docs = docs.withColumn("_hash", F.xxhash64("_text"))
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["_doc"]) & (docs["_hash"] == known["_hash"])).drop("_doc", "_hash")
+    return docs.join(known, docs["doc_id"].eqNullSafe(known["_doc"]) & (docs["_hash"] == known["_key"])).select("row", "doc_id", "_text", "_id")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -467,12 +474,11 @@ def _kept(raw: bytes, data: bytes | None) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Every row of docs with n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    """row (a struct of the input's columns), n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs."""
     docs = numbered(docs)
     cuts = materialise(removals(docs), "removals")
-    rest = [c for c in docs.columns if c not in ("_id", "_text")]
-    out = docs.join(cuts.withColumnRenamed("data", "_cuts").hint("shuffle_hash"), "_id", "left").select(*rest, F.col("_text"), F.col("_cuts"))
-    schema = out.select(*rest).schema.add("n_bytes_", "long").add("n_removed_", "long").add("n_spans_", "long").add("kept_", "binary")
+    out = docs.join(cuts.withColumnRenamed("data", "_cuts").hint("shuffle_hash"), "_id", "left").select("row", F.col("_text"), F.col("_cuts"))
+    schema = out.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def run(batches):
         for b in chunks(batches, "_text"):
@@ -481,11 +487,11 @@ def dedup(docs: DataFrame) -> DataFrame:
                 raw = text.encode()
                 rows.append((len(raw), *_kept(raw, data)))
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.record_batch([*b.columns[: len(rest)], *cols], [*rest, "n_bytes_", "n_removed_", "n_spans_", "kept_"])
+            yield pa.record_batch([b.column("row"), *cols], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return out.mapInArrow(run, schema)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("n_bytes_").alias("n_bytes"), F.col("n_removed_").alias("n_removed"), F.col("n_spans_").alias("n_spans"), F.sha2("kept_", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -31,7 +31,7 @@ def expect(rows):
 
 def got(spark, rows):
     d = S.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    return sorted((r.doc_id, r.n_bytes_, r.n_removed_, r.n_spans_, hashlib.sha256(bytes(r.kept_)).hexdigest()) for r in d.collect())
+    return sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in d.collect())
 
 
 def corpus(seed, n=60):
@@ -96,8 +96,8 @@ def test_difference_cover():
 def test_odd_rows(spark):
     long = " ".join(str(i) for i in range(60))
     rows = [(5, long), (5, "x" + long), (5, long), (None, long), (7, None), (8, "")]
-    d = S.dedup(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, n_bytes string"))
-    res = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes_, r.n_removed_, r.n_bytes) for r in d.collect()))
+    d = S.dedup(spark.createDataFrame([(*r, "k", 1, "i") for r in rows], "doc_id long, text string, n_bytes string, _text int, _id string"))
+    res = sorted(((r.row.doc_id is not None, r.row.doc_id or 0, r.n_bytes, r.n_removed, r.row.n_bytes) for r in d.collect()))
     n = len(long)
     assert res[0] == (False, 0, n, 0, "k")
     assert [r[2:4] for r in res[1:4]] == [(n, n), (n, n), (n + 1, n)]
