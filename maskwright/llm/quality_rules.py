@@ -1,28 +1,35 @@
 """Quality rules: word counts of a text, and language-specific bands of n-gram perplexity.
 
-The language model is an interpolated modified Kneser-Ney model of character n-grams inside words, one for each
-language: Spark counts the words of every document (each task sums up what it reads), blocks of n-grams are
-summed by hash range, and the distinct n-grams, far fewer than the documents, make up sorted arrays of 64-bit
-hashes with log probabilities and back-off weights. The order is the same for any number of n-grams, so a document's
-verdict doesn't hang on a size limit; the arrays are broadcast whole and must fit an executor's memory.
-
-A document's perplexity is taken over all characters of its words and word ends. Documents outside [centre - below, centre + above]
+The language model is an interpolated modified Kneser-Ney model of character n-grams, one for each language, over the words of a text
+joined by single spaces: n-grams reach over the space into the words before. A window is a character and the ORDER - 1 before it (fewer at
+a text's beginning). Spark counts the distinct windows of all texts; they are dealt by language and the character before the last,
+so that a window, its shorter forms, their contexts and all that is counted before them meet in one task, which makes sorted arrays of
+64-bit hashes with log probabilities and back-off weights. N-grams that begin a text have raw counts, all other shorter ones count the
+characters seen before them. Only single characters and counts of counts go to the driver.
+
+Scoring takes the arrays in slices of at most SLICE_ENTRIES n-grams, which are broadcast one after the other; with more than one slice
+each takes a pass over the texts, and the parts of a text's sum are added. Nothing depends on how many slices there are.
+
+A document's perplexity is that of its words: the mean over them of the log probabilities of their characters and of the space or end behind
+each. Documents outside [centre - below, centre + above]
 of their language's log perplexities are rejected; centre is the median over all documents that pass the base rules, below and above
 are `spread` times the median distance of those under and over it (copies of the centre don't narrow them). `least` only guards against rounding.
+The medians are percentile_approx of accuracy 10,000: an edge can move by that share of the ranks with the partitioning.
 
 Edge cases: a null text has no words; a document without words fails the base rules; a null language is one of its own;
-repeated rows are counted and returned each; other columns are ignored; an empty table gives an empty result.
+repeated rows and null doc_ids are counted and returned each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain as _chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialise, mix64, text_or_empty, tidy
@@ -30,327 +37,525 @@ from .encoders import cached
 
 ORDER = 5
 SPREAD, LEAST = 8.0, 1e-6
-FLUSH_WORDS = 200_000
-KNOWN_WORDS = 250_000
-SHARDS = 16
+KNOWN_WORDS = 450_000
+BUCKETS = 64
+SLICE_ENTRIES = 6_000_000
+
+_SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"  # as bytes: of itself, an item is a number, which count() takes too
+_SPACE, _EDGE, _NUL = 32, 0x110000, 0x110001  # the edge stands at both ends of a text; 0 stands for no symbol
+_END = b"\xff"  # marks the last word of a text; no UTF-8 text holds this byte
+_BITS = 21  # of a character
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def language(name: str = "lang") -> Column:
+    """The language of a row; null is one of its own, with the empty one."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+# ---------------------------------------------------------------- words and windows
+
+class _Ids(dict):
+    """word -> number, given out in the order of first use."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Words:
+    """The distinct words of a language that a worker has met, with what is known of each in arrays.
+
+    head: its first ORDER - 1 symbols (characters, then the space or edge behind it). tail: its last characters, packed. rest: the
+    windows behind the head, which lie inside the word, and where each word's begin.
+    """
+
+    def __init__(self):
+        self.ids = _Ids()
+        self.size = self.plain = self.tail = self.last = np.zeros(0, np.int64)
+        self.head, self.head_hash = np.zeros((0, ORDER - 1), np.int32), np.zeros(0, np.uint64)
+        self.rest, self.rest_from = np.zeros((0, ORDER), np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, end to end, and where each text begins. Empty texts must be left out."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for w in words:
+            w[-1] += _END
+        ids = np.fromiter(map(self.ids.__getitem__, _chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        self._extend()
+        return ids, np.cumsum(sizes) - sizes
+
+    def _extend(self) -> None:
+        for w in [w for w in self.ids.fresh if w[-1] == 255]:
+            self.ids[w[:-1]]  # its plain form is a word too
+        fresh, self.ids.fresh = self.ids.fresh, []
+        if not fresh:
+            return
+        final = np.array([w[-1] == 255 for w in fresh])
+        plain = len(self.ids) - len(fresh) + np.arange(len(fresh))
+        for i in np.flatnonzero(final).tolist():
+            fresh[i] = fresh[i][:-1]
+            plain[i] = self.ids[fresh[i]]
+        sym = np.frombuffer((b" ".join(fresh) + b" ").decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.flatnonzero(sym == _SPACE) + 1  # no word holds a space
+        n = np.diff(ends, prepend=0) - 1
+        start = ends - n - 1
+        sym[sym == 0] = _NUL
+        sym[ends[final] - 1] = _EDGE
+        sym = np.r_[sym, np.zeros(ORDER, np.int64)]
+        head = np.stack([np.where(n >= j, sym[start + j], 0) for j in range(ORDER - 1)], 1).astype(np.int32)
+        at = lambda back: np.where(n >= back, sym[np.maximum(ends - 1 - back, 0)], 0)
+        more = np.maximum(0, n - (ORDER - 2))  # windows that end at the symbols from ORDER - 1 on
+        first = np.repeat(start, more) + np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        rest = np.stack([sym[first + j] for j in range(ORDER)], 1).astype(np.int32)
+        join = lambda a, b: np.concatenate([a, b])
+        self.size, self.plain, self.last = join(self.size, n), join(self.plain, plain), join(self.last, at(1))
+        self.tail = join(self.tail, at(3) << 2 * _BITS | at(2) << _BITS | at(1))
+        self.head, self.head_hash = join(self.head, head), join(self.head_hash, _row_hash(head))
+        self.rest, self.rest_from = join(self.rest, rest), join(self.rest_from, self.rest_from[-1] + np.cumsum(more))
+
+    def pairs(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the number of its (symbols before the word, head of the word), and the symbols of each such pair: ORDER - 1 before, ORDER - 1 of the head."""
+        n, opening = self.size[ids], np.zeros(ids.size, bool)
+        opening[begins] = True
+        lead = np.where(opening, _EDGE, _SPACE)
+        before = np.r_[0, self.last[ids[:-1]]] * ~opening
+        tail = self.tail[ids] + np.where(n == 2, lead << 2 * _BITS, 0) + np.where(n == 1, (lead << _BITS) + (before << 2 * _BITS), 0)
+        tail = np.r_[0, tail[:-1]] * ~opening  # of the word before
+        with np.errstate(over="ignore"):
+            codes, u = pd.factorize(mix64(tail.view(np.uint64) * _FACTOR + self.head_hash[ids]))
+        where = np.empty(u.size, np.int64)
+        where[codes[::-1]] = np.arange(codes.size)[::-1]
+        t = tail[where]
+        low = (1 << _BITS) - 1
+        return codes, np.column_stack([t >> 2 * _BITS, t >> _BITS & low, t & low, np.where(t == 0, _EDGE, _SPACE), self.head[ids[where]]])
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(rows.shape[0], np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(rows.shape[1]):
+            h = mix64(h * _FACTOR + rows[:, j].astype(np.uint64) + np.uint64(j + 1))
+    return h
 
-_SPACES, _SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
-_EDGE = 3  # stands at both ends of a word
 
+def head_windows(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that end at the symbols of the heads of pairs, and the pair of each."""
+    pair, j = np.nonzero(symbols[:, ORDER - 1 :])
+    return symbols[pair[:, None], j[:, None] + np.arange(ORDER)], pair
 
-# ---------------------------------------------------------------- counting
 
-def grams(words: list[str], counts: np.ndarray, lang: str, order: int):
-    """For each order k: hashes, characters (k columns) and counts of the distinct k-grams of the words."""
-    sizes = np.array([len(w) for w in words], np.int64) + 2
-    flat = np.full(sizes.sum(), _EDGE, np.uint64)
-    ends = np.cumsum(sizes)
-    inner = np.ones(flat.size, bool)
-    inner[ends - 1] = inner[ends - sizes] = False
-    flat[inner] = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")
-    word = np.repeat(np.arange(len(words)), sizes)
-    weight = counts[word]
-    out = []
-    with np.errstate(over="ignore"):
-        seed = np.uint64(_lang_seed(lang))
-        code = mix64(flat + seed)
-        h = [np.full(flat.size + 1, seed)]  # h[k][i]: the hash of the k characters from i on
-        for k in range(1, order + 1):
-            prev = h[-1]
-            n = flat.size - k + 1
-            if n <= 0:
-                break
-            h.append(mix64(prev[:n] * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 : k - 1 + n] + np.uint64(k)))
-            ok = word[:n] == word[k - 1 : k - 1 + n]
-            if k == 1:
-                ok &= np.arange(n) != (ends - sizes)[word[:n]]  # a word's opening edge is given, not predicted
-            own = np.flatnonzero(ok)
-            codes, u = pd.factorize(h[k][own])  # by hashing, which needs no sort of all places
-            c = np.bincount(codes, weights=weight[own], minlength=u.size).astype(np.int64)
-            where = np.empty(u.size, np.int64)
-            where[codes] = own
-            by = np.argsort(u)
-            u, c, where = u[by], c[by], where[by]
-            out.append((u, np.stack([flat[where + j] for j in range(k)], 1).astype("<u4"), c))
-    return out
-
-
-def hashes(chars: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of k-grams, of their first and of their last k - 1 characters."""
-    seed = np.uint64(_lang_seed(lang))
-
-    def chain(c):
-        h = np.full(c.shape[0], seed)
-        for j in range(c.shape[1]):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + mix64(c[:, j].astype(np.uint64) + seed) + np.uint64(j + 1))
-        return h
+def hashes(windows: np.ndarray, lang: str, upto: int = ORDER) -> list[np.ndarray]:
+    """h[k]: the hash of the last k symbols of each row, for k up to `upto`."""
+    import zlib
 
+    h = [np.full(windows.shape[0], mix64(np.array([zlib.crc32(lang.encode()) + 1], np.uint64))[0])]
     with np.errstate(over="ignore"):
-        return chain(chars), chain(chars[:, :-1]), chain(chars[:, 1:])
+        for k in range(1, upto + 1):
+            h.append(mix64(h[-1] * _FACTOR + windows[:, -k].astype(np.uint64) + np.uint64(k)))
+    return h
 
 
-def _lang_seed(lang: str) -> int:
-    import zlib
+def sizes_of(windows: np.ndarray) -> np.ndarray:
+    """How many symbols a window has: zeros stand for none, at the left."""
+    return (windows != 0).sum(1)
+
+
+def bucket_of(windows: np.ndarray) -> np.ndarray:
+    return (mix64(windows[:, -2].astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def distinct(windows: np.ndarray, counts: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Equal windows once, with the sum of their counts."""
+    if not counts.size:
+        return windows, counts
+    codes, u = pd.factorize(hashes(windows, lang)[ORDER])
+    where = np.empty(u.size, np.int64)
+    where[codes] = np.arange(codes.size)
+    return windows[where], np.bincount(codes, counts, u.size).astype(np.int64)
 
-    return int(mix64(np.array([zlib.crc32(lang.encode()) + 1], np.uint64))[0])
 
+# ---------------------------------------------------------------- counting
 
-def _pack(chars: np.ndarray, counts: np.ndarray) -> bytes:
+def _pack(windows: np.ndarray, counts: np.ndarray) -> bytes:
     import zstandard
 
-    both = np.concatenate([chars, counts.astype("<u4")[:, None]], 1)
-    return zstandard.ZstdCompressor(level=3).compress(both.view("u1").reshape(both.shape[0], -1).T.tobytes())
+    by = np.lexsort(windows.T)
+    raw = np.concatenate([windows[by].astype("<u4").view("u1").reshape(by.size, -1), counts[by].astype("<i8").view("u1").reshape(by.size, -1)], 1)
+    return zstandard.ZstdCompressor(level=3).compress(raw.T.tobytes())
 
 
-def _unpack(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4 * k + 4, -1)
-    both = np.ascontiguousarray(raw.T).view("<u4")
-    return both[:, :k], both[:, k].astype(np.int64)
+    wide = 4 * ORDER + 8
+    raw = [np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "u1").reshape(wide, -1).T) for x in blobs]
+    both = np.concatenate(raw) if raw else np.zeros((0, wide), "u1")
+    return np.ascontiguousarray(both[:, : 4 * ORDER]).view("<u4").astype(np.int64), np.ascontiguousarray(both[:, 4 * ORDER :]).view("<i8").ravel().astype(np.int64)
+
+
+def _known(work: str) -> dict[str, Words]:
+    """The words of each language, forgotten when they are many."""
+    words = cached(work, dict)
+    if sum(len(w.ids) for w in words.values()) > KNOWN_WORDS:
+        words.clear()
+    return words
+
+
+def _by_language(batch: pa.RecordBatch):
+    """(language, numbers of its rows)"""
+    codes, names = pd.factorize(batch.column("lang").to_numpy(zero_copy_only=False))
+    for k, name in enumerate(names):
+        yield name, np.flatnonzero(codes == k)
+
+
+def _count(batches):
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def flush():
+        for lang, parts in held.items():
+            windows, counts = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)), lang)
+            bucket = bucket_of(windows)
+            order = np.argsort(bucket, kind="stable")
+            windows, counts, bucket = windows[order], counts[order], bucket[order]
+            cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+            keep = [k for k in range(BUCKETS) if cuts[k] < cuts[k + 1]]
+            yield pa.record_batch([pa.array([lang] * len(keep)), pa.array(keep, pa.int32()), pa.array([_pack(windows[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]) for k in keep], pa.binary())], ["lang", "bucket", "data"])
+        held.clear()
+
+    for b in chunks(batches):
+        known, texts = _known("counting"), b.column("text").cast(pa.binary()).to_pylist()
+        for lang, rows in _by_language(b):
+            words = [w for i in rows.tolist() if (w := texts[i].split())]
+            if not words:
+                continue
+            own = known.setdefault(lang, Words())
+            ids, begins = own.numbers(words)
+            codes, symbols = own.pairs(ids, begins)
+            windows, pair = head_windows(symbols)
+            u, n = np.unique(ids, return_counts=True)
+            more = own.rest_from[u + 1] - own.rest_from[u]
+            inside = np.repeat(own.rest_from[u], more) + np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+            part = distinct(np.concatenate([windows, own.rest[inside]]), np.concatenate([np.bincount(codes, minlength=symbols.shape[0])[pair], np.repeat(n, more)]), lang)
+            held.setdefault(lang, []).append((part[0].astype(np.int32), part[1]))
+        if sum(x[1].size for parts in held.values() for x in parts) > 3_000_000:
+            yield from flush()
+    yield from flush()
+    tidy()
+
+
+def count_windows(docs: DataFrame) -> DataFrame:
+    """lang, bucket, data: the distinct windows of what each task reads, with their counts, over every word of every document."""
+    rows = docs.select(language().alias("lang"), text_or_empty().alias("text"))
+    return rows.mapInArrow(_count, "lang string, bucket int, data binary")
 
 
-def _count(order: int):
-    def run(batches):
-        cached("counting", dict)  # lets go of other caches
-        tally: dict[str, Counter] = {}
+# ---------------------------------------------------------------- the model
 
-        def flush():
-            for lang, words in tally.items():
-                for k, (u, chars, c) in enumerate(grams([w.decode() for w in words], np.fromiter(words.values(), np.float64, len(words)), lang, order), 1):
-                    shard = (u >> np.uint64(60)).astype(np.int64)
-                    cuts = np.searchsorted(shard, np.arange(SHARDS + 1))
-                    keep = [s for s in range(SHARDS) if cuts[s] < cuts[s + 1]]
-                    yield pa.record_batch([pa.array([lang] * len(keep)), pa.array([k] * len(keep), pa.int32()), pa.array(keep, pa.int32()), pa.array([_pack(chars[cuts[s] : cuts[s + 1]], c[cuts[s] : cuts[s + 1]]) for s in keep], pa.binary())], ["lang", "k", "shard", "data"])
+class Grams:
+    """The distinct k-grams (k = 2 to ORDER) of a bucket of windows: keys[k] (sorted hashes), a window that ends with each, and their counts.
+
+    A k-gram that begins a text has its raw count, as has one of full length; another counts the distinct symbols before it.
+    """
+
+    def __init__(self, windows: np.ndarray, counts: np.ndarray, lang: str):
+        self.windows, size, h = windows, sizes_of(windows), hashes(windows, lang)
+        self.keys, self.at, self.n = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
+        for k in range(ORDER, 0, -1):
+            rows = np.flatnonzero(size >= k)
+            self.keys[k], first, inverse = np.unique(h[k][rows], return_index=True, return_inverse=True)
+            self.at[k] = rows[first]
+            raw = np.bincount(inverse, counts[rows], self.keys[k].size).astype(np.int64)
+            if k < ORDER:
+                before, n = np.unique(h[k][self.at[k + 1]], return_counts=True)
+                cont = np.zeros(self.keys[k].size, np.int64)
+                cont[np.searchsorted(self.keys[k], before)] = n
+                raw = np.where(windows[self.at[k], ORDER - k] == _EDGE, raw, cont) if k > 1 else cont
+            self.n[k] = raw
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """The discounts for counts of 1, 2 and 3 or more (behind a 0), from how many n-grams have the counts 1 to 4."""
+    n = np.maximum(1, n)
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0, *(min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) for i in range(3))])
 
-        for b in chunks(batches):
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tally.setdefault(lang, Counter()).update(text.encode().split())
-            if sum(map(len, tally.values())) >= FLUSH_WORDS:
-                yield from flush()
-                tally = {}
-        yield from flush()
-        tidy()
 
-    return run
+@dataclass
+class Letters:
+    """One language's single symbols, by code: how likely each is, the share left for others, and the discounts of the longer n-grams."""
+
+    symbols: np.ndarray
+    p: np.ndarray
+    unseen: float
+    cuts: dict[int, np.ndarray]
+
+
+def letters(symbols: np.ndarray, n: np.ndarray, counts: dict[int, np.ndarray]) -> Letters:
+    by = np.argsort(symbols)
+    symbols, n = symbols[by], n[by].astype(np.float64)
+    d = discounts(np.array([(n == i).sum() for i in range(1, 5)]))
+    cut = d[np.minimum(n, 3).astype(np.int64)]
+    share = cut.sum() / n.sum() / (n.size + 1)
+    return Letters(symbols, (n - cut) / n.sum() + share, max(share, 1e-9), {k: discounts(c) for k, c in counts.items()})
+
+
+def estimated(g: Grams, own: Letters, lang: str):
+    """(k, keys, log p, context keys, log back-off weights) for k = 2 to ORDER."""
+    lower_keys, lower = None, None
+    for k in range(2, ORDER + 1):
+        w, n = g.windows[g.at[k]], g.n[k].astype(np.float64)
+        cut = own.cuts[k][np.minimum(n, 3).astype(np.int64)]
+        context = hashes(w[:, :-1], lang, k - 1)[k - 1]
+        keys, inverse = np.unique(context, return_inverse=True)
+        total, left = (np.bincount(inverse, x, keys.size) for x in (n, cut))
+        gamma = left / total
+        if k == 2:
+            base = own.p[np.searchsorted(own.symbols, w[:, -1])]
+        else:
+            base = lower[np.searchsorted(lower_keys, hashes(w, lang, k - 1)[k - 1])]
+        p = (n - cut) / total[inverse] + gamma[inverse] * base
+        yield k, g.keys[k], np.log(p), keys, np.log(gamma)
+        lower_keys, lower = g.keys[k], p
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    lang, k, shard = (table.column(c)[0].as_py() for c in ("lang", "k", "shard"))
-    chars, counts = (np.concatenate(x) for x in zip(*(_unpack(x, k) for x in table.column("data").to_pylist()), strict=True))
-    u, at, inv = np.unique(hashes(chars, lang)[0], return_index=True, return_inverse=True)
-    c = np.minimum(np.bincount(inv, weights=counts, minlength=u.size), (1 << 32) - 1).astype(np.int64)
-    return pa.table([pa.array([lang]), pa.array([k], pa.int32()), pa.array([shard], pa.int32()), pa.array([u.size], pa.int64()), pa.array([_pack(chars[at], c)], pa.binary())], ["lang", "k", "shard", "n", "data"])
-
+    lang, bucket = (table.column(c)[0].as_py() for c in ("lang", "bucket"))
+    windows, counts = distinct(*_unpack(table.column("data").to_pylist()), lang)
+    g = Grams(windows, counts, lang)
+    most = [np.bincount(np.minimum(g.n[k], 5), minlength=6)[1:5] for k in range(2, ORDER + 1)]
+    tidy()
+    return pa.table([pa.array([lang]), pa.array([bucket], pa.int32()), pa.array([sum(x.size for x in g.keys[2:])], pa.int64()), pa.array([_pack(windows, counts)], pa.binary()), pa.array([np.concatenate(most).tolist()], pa.list_(pa.int64())), pa.array([windows[g.at[1], -1].tolist()], pa.list_(pa.int64())), pa.array([g.n[1].tolist()], pa.list_(pa.int64()))], ["lang", "bucket", "n", "data", "most", "symbols", "before"])
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """A written table (lang, k, shard, n, data) of all distinct n-grams with their counts, over every word of every document."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("text"))
-    parts = rows.mapInArrow(_count(order), "lang string, k int, shard int, data binary")
-    return materialise(parts.groupBy("lang", "k", "shard").applyInArrow(_sum, "lang string, k int, shard int, n long, data binary"), "gram-counts")
 
+_SUMMED = "lang string, bucket int, n long, data binary, most array<long>, symbols array<long>, before array<long>"
+_ARRAYS = "lang string, bucket int, k int, n long, keys binary, value binary, context binary, back binary"
 
-# ---------------------------------------------------------------- the model
 
-@dataclass
-class Model:
-    """keys[k], value[k]: log10-free (natural) probabilities of (k+1)-grams; back[k]: log back-off weight of (k+1)-grams as contexts."""
+def _estimate(alphabets: dict[str, Letters]):
+    def run(batches):
+        for b in batches:
+            for lang, bucket, data in zip(*(b.column(c).to_pylist() for c in ("lang", "bucket", "data")), strict=True):
+                rows = list(estimated(Grams(*_unpack([data]), lang), alphabets[lang], lang))
+                columns = [[r[0] for r in rows], [r[1].size for r in rows], *([r[i].astype(t).tobytes() for r in rows] for i, t in ((1, "<u8"), (2, "<f4"), (3, "<u8"), (4, "<f4")))]
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array([lang] * len(rows)), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["lang", "bucket", "k", "n", "keys", "value", "context", "back"])
 
-    order: int
-    keys: list[np.ndarray]
-    value: list[np.ndarray]
-    back: list[np.ndarray]
+    return run
 
 
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney, from the counts of counts."""
-    n = [max(1, int((c == i).sum())) for i in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([0.0, *(min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) for i in range(3))])
-    return d
-
-
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    u, inv = np.unique(keys, return_inverse=True)
-    return u, [np.bincount(inv, weights=v, minlength=u.size) for v in values]
-
-
-def build(grams_by_order: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """From (hash, first, last, count) of the distinct k-grams, k = 1, 2, ...; the hash of no characters is the language's own."""
-    order = len(grams_by_order)
-    keys, value, back = [], [], [np.zeros(0, np.float32) for _ in range(order)]
-    lower: tuple[np.ndarray, np.ndarray] | None = None
-    spare: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(order):
-        h, head, tail, c = grams_by_order[k]
-        by = np.argsort(h)
-        h, head, tail, c = h[by], head[by], tail[by], c[by].astype(np.float64)
-        if k + 1 < order:  # continuation counts: how many different characters stand before it
-            u, (n,) = _sums(grams_by_order[k + 1][2], np.ones(grams_by_order[k + 1][2].size))
-            at = np.searchsorted(u, h)
-            found = at < u.size
-            found[found] = u[at[found]] == h[found]
-            c = np.where(found, n[np.minimum(at, u.size - 1)] if u.size else 1.0, 1.0)
-        d = _discounts(c)
-        cut = d[np.minimum(c, 3).astype(np.int64)]
-        ctx, (total, left) = _sums(head, c, cut)
-        at = np.searchsorted(ctx, head)
-        gamma = left / total
-        if lower is None:
-            base = 1.0 / (np.bincount(at)[at] + 1.0)
-        else:
-            low = np.searchsorted(lower[0], tail)
-            base = lower[1][np.minimum(low, lower[0].size - 1)]
-        p = (c - cut) / total[at] + gamma[at] * base
-        keys.append(h)
-        value.append(np.log(p).astype(np.float32))
-        spare.append((ctx, np.log(gamma).astype(np.float32)))
-        lower = (h, p)
-    for k in range(order):
-        back[k] = np.zeros(keys[k].size, np.float32)
-        if k + 1 < order:
-            ctx, g = spare[k + 1]
-            at = np.minimum(np.searchsorted(ctx, keys[k]), max(0, ctx.size - 1))
-            if ctx.size:
-                ok = ctx[at] == keys[k]
-                back[k][ok] = g[at[ok]]
-    return Model(order, keys, value, back)
-
-
-UNSEEN = np.float32(np.log(1e-7))
+@dataclass
+class Model:
+    """A written table of sorted hash arrays by language and bucket, and the alphabets."""
+
+    arrays: DataFrame
+    alphabets: dict[str, Letters]
+    slices: list[list[tuple[str, int]]] = field(default_factory=list)
+
+
+def fit(docs: DataFrame, most: int | None = None) -> Model:
+    """The model of all documents; `most` n-grams to a slice (one bucket of a language at least)."""
+    summed = materialise(count_windows(docs).groupBy("lang", "bucket").applyInArrow(_sum, _SUMMED), "window-counts")
+    sizes = summed.select("lang", "bucket", "n", "most").collect()  # at most BUCKETS rows a language
+    single = summed.select("lang", F.inline(F.arrays_zip("symbols", "before"))).groupBy("lang", "symbols").agg(F.sum("before").alias("n"))
+    chars: dict[str, list[tuple[int, int]]] = {}
+    for r in single.collect():  # the distinct characters of each language
+        chars.setdefault(r.lang, []).append((r.symbols, r.n))
+    alphabets = {}
+    for lang, rows in chars.items():
+        total = np.sum([r.most for r in sizes if r.lang == lang], 0).reshape(-1, 4)
+        alphabets[lang] = letters(*(np.array(x, np.int64) for x in zip(*rows, strict=True)), dict(enumerate(total, 2)))
+    arrays = materialise(summed.select("lang", "bucket", "data").mapInArrow(_estimate(alphabets), _ARRAYS), "gram-arrays")
+    slices, held = [[]], 0
+    for r in sorted(sizes, key=lambda r: (r.bucket, r.lang)):
+        if slices[-1] and held + r.n > (most or SLICE_ENTRIES):
+            slices.append([])
+            held = 0
+        slices[-1].append((r.lang, r.bucket))
+        held += r.n
+    return Model(arrays, alphabets, slices)
+
+
+class Slice:
+    """The arrays of some buckets, each sorted: the log probabilities of k-grams, and the back-off weights of contexts of k - 1 symbols."""
+
+    def __init__(self, model: Model, buckets: list[tuple[str, int]]):
+        self.alphabets, self.all = model.alphabets, len(model.slices) == 1
+        rest = buckets is model.slices[0]  # the first slice takes the buckets that no text of the model has, too
+        self.mine = {lang: np.full(BUCKETS, rest) for lang in model.alphabets}
+        for lang, b in _chain.from_iterable(model.slices[1:]) if rest else buckets:
+            self.mine[lang][b] = not rest
+        numbers = sorted({b for _, b in buckets})
+        parts: dict[int, list] = {k: [] for k in range(2, ORDER + 1)}
+        wanted = set(buckets)
+        for r in model.arrays.where(F.col("bucket").isin(numbers)).toLocalIterator():
+            if (r.lang, r.bucket) in wanted:
+                parts[r.k].append([np.frombuffer(bytes(x), t) for x, t in ((r["keys"], "<u8"), (r.value, "<f4"), (r.context, "<u8"), (r.back, "<f4"))])
+        self.keys, self.value, self.context, self.back = ({} for _ in range(4))
+        for k, rows in parts.items():
+            x = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, t) for t in ("<u8", "<f4", "<u8", "<f4")]
+            a, b = np.argsort(x[0]), np.argsort(x[2])
+            self.keys[k], self.value[k], self.context[k], self.back[k] = x[0][a], x[1][a], x[2][b], x[3][b]
+
+    def logs(self, windows: np.ndarray, lang: str) -> np.ndarray:
+        """The log probability of each window's last symbol after the others; 0 for windows of other slices."""
+        out = np.zeros(windows.shape[0])
+        own = self.alphabets.get(lang)
+        if own is None:
+            return out
+        todo = np.arange(windows.shape[0]) if self.all else np.flatnonzero(self.mine[lang][bucket_of(windows)])
+        size, h = sizes_of(windows), hashes(windows, lang)
+        score = np.zeros(windows.shape[0])
+        for k in range(ORDER, 1, -1):
+            rows = todo[size[todo] >= k]
+            at, found = _find(self.keys[k], h[k][rows])
+            out[rows[found]] = score[rows[found]] + self.value[k][at[found]]
+            missed = rows[~found]
+            if missed.size:
+                at, known = _find(self.context[k], hashes(windows[missed][:, :-1], lang, k - 1)[k - 1])
+                score[missed[known]] += self.back[k][at[known]]
+                todo = np.concatenate([todo[size[todo] < k], missed])
+            else:
+                todo = todo[size[todo] < k]
+        if todo.size:
+            at, found = _find(own.symbols, windows[todo, -1])
+            out[todo] = score[todo] + np.log(np.where(found, own.p[np.minimum(at, own.p.size - 1)], own.unseen))
+        return out
 
 
 def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, h), max(0, keys.size - 1))
+    at, order = np.empty(h.size, np.int64), np.argsort(h)  # in order, neighbouring searches share their way through memory
+    at[order] = np.searchsorted(keys, h[order])
+    at = np.minimum(at, max(0, keys.size - 1))
     return at, (keys[at] == h) if keys.size else np.zeros(h.size, bool)
 
 
-def word_logs(words: list[str], lang: str, m: Model) -> np.ndarray:
-    """The natural log probability of each word with its end, given its beginning."""
-    sizes = np.array([len(w) for w in words], np.int64) + 2
-    flat = np.full(sizes.sum(), _EDGE, np.uint64)
-    ends = np.cumsum(sizes)
-    inner = np.ones(flat.size, bool)
-    inner[ends - 1] = inner[ends - sizes] = False
-    flat[inner] = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")
-    place = np.arange(flat.size) - np.repeat(ends - sizes, sizes)
-    with np.errstate(over="ignore"):
-        seed = np.uint64(_lang_seed(lang))
-        code = mix64(flat + seed)
-        h = [np.full(flat.size + 1, seed)]
-        for k in range(1, m.order + 1):
-            n = max(0, flat.size - k + 1)
-            h.append(mix64(h[-1][:n] * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 : k - 1 + n] + np.uint64(k)))
-    todo = np.flatnonzero(place > 0)
-    total, score = np.zeros(flat.size, np.float64), np.zeros(todo.size)
-    for k in range(m.order, 0, -1):  # the longest k-gram that ends at each place; back-off weights of the contexts passed
-        can = place[todo] + 1 >= k
-        rows = np.flatnonzero(can)
-        at, ok = _find(m.keys[k - 1], h[k][todo[rows] - k + 1])
-        hit = rows[ok]
-        total[todo[hit]] = score[hit] + m.value[k - 1][at[ok]]
-        keep = np.ones(todo.size, bool)
-        keep[hit] = False
-        miss = rows[~ok]
-        if k > 1 and miss.size:
-            at, ok = _find(m.keys[k - 2], h[k - 1][todo[miss] - k + 1])
-            score[miss[ok]] += m.back[k - 2][at[ok]]
-        todo, score = todo[keep], score[keep]
-    total[todo] = score + UNSEEN
-    return np.add.reduceat(total, ends - sizes)
-
-
-def load_model(counts: DataFrame, order: int = ORDER, most_entries: int | None = None) -> Model:
-    """Collects the distinct n-grams and builds the model; only a caller that gives most_entries gets a lower order, whose table has at most so many."""
-    if most_entries is not None:
-        sizes = {r.k: r.n for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        while order > 1 and sum(sizes.get(k, 0) for k in range(1, order + 1)) > most_entries:
-            order -= 1
-    parts: dict[int, list[np.ndarray]] = {k: [] for k in range(1, order + 1)}
-    for r in counts.where(F.col("k") <= order).select("lang", "k", "data").toLocalIterator():
-        chars, c = _unpack(bytes(r.data), r.k)
-        parts[r.k].append(np.stack([*hashes(chars, r.lang), c.view(np.uint64)]))
-    blocks = [np.concatenate(parts[k], 1) if parts[k] else np.zeros((4, 0), np.uint64) for k in range(1, order + 1)]
-    return build([(b[0], b[1], b[2], b[3]) for b in blocks if b.size] or [tuple(blocks[0])])
+# ---------------------------------------------------------------- documents
 
+def repeated(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each text its words in windows of three that it has twice or more. x: numbers of words end to end; texts begin at `begins`."""
+    text = np.zeros(x.size, np.int64)
+    text[begins[1:]] = 1
+    text = np.cumsum(text)
+    covered = np.zeros(x.size, bool)
+    if x.size > 3:
+        with np.errstate(over="ignore"):
+            h = mix64(mix64(mix64(x[:-2].astype(np.uint64) * _FACTOR + text[:-2].astype(np.uint64)) + x[1:-1].astype(np.uint64)) + x[2:].astype(np.uint64))
+        h[text[:-2] != text[2:]] = 0
+        order = np.argsort(h, kind="stable")
+        order = order[np.searchsorted(h[order], 1) :]
+        a, b = order[:-1], order[1:]
+        same = h[a] == h[b]
+        a, b = a[same], b[same]
+        if not ((text[a] == text[b]) & (x[a] == x[b]) & (x[a + 1] == x[b + 1]) & (x[a + 2] == x[b + 2])).all():  # unlike windows share a hash
+            keys = np.stack([text[:-2], x[:-2], x[1:-1], x[2:]], 1)
+            _, inverse, n = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
+            hit = np.flatnonzero((n[inverse.ravel()] > 1) & (text[:-2] == text[2:]))
+        else:
+            hit = np.unique(np.concatenate([a, b]))
+        for k in range(3):
+            covered[hit + k] = True
+    return np.bincount(text, covered, begins.size).astype(np.int64)
 
-# ---------------------------------------------------------------- documents
 
-def repeated(words: list) -> int:
-    """Words in windows of three that the text has twice or more."""
-    n = len(words)
-    if n < 4:
-        return 0
-    number: dict = {}
-    ids = [number.setdefault(w, len(number)) for w in words]
-    if len(number) >= 1 << 21:
-        seen = Counter(zip(ids, ids[1:], ids[2:], strict=False))
-        twice = np.fromiter((seen[g] > 1 for g in zip(ids, ids[1:], ids[2:], strict=False)), bool, n - 2)
-    else:
-        x, m = np.array(ids, np.int64), len(number)
-        g = (x[:-2] * m + x[1:-1]) * m + x[2:]
-        by = np.argsort(g, kind="stable")
-        s = g[by]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(n - 2, bool)
-        twice[by[1:][same]] = twice[by[:-1][same]] = True
-    covered = np.zeros(n, bool)
-    for k in range(3):
-        covered[k : n - 2 + k] |= twice
-    return int(covered.sum())
-
-
-def base_counts(text: str) -> tuple[list[bytes], int, int, int, int]:
-    """The words in UTF-8, and word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.encode().split()  # of bytes: exactly the six ASCII white-space characters
+def line_counts(text: bytes) -> tuple[int, int, int]:
+    """White-space characters, n_symbols, n_dup_lines of a text in UTF-8."""
     dup = 0
-    if "\n" in text:
-        lines = [x for x in text.split("\n") if x.strip(_SPACES)]
+    if b"\n" in text:
+        lines = [x for x in text.split(b"\n") if x.strip(_SPACES)]
         dup = len(lines) - len(set(lines))
-    return words, len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), dup, repeated(words)
+    return sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), dup
+
 
+class _Scored(Words):
+    """Words with the log probabilities of their rests."""
+
+    def __init__(self):
+        super().__init__()
+        self.rest_log = np.zeros(0)
+
+    def score(self, ids: np.ndarray, begins: np.ndarray, lang: str, part: Slice) -> np.ndarray:
+        """The log probability of each text."""
+        if self.rest_log.size < self.size.size:
+            k = self.rest_log.size
+            logs = np.r_[0.0, np.cumsum(part.logs(self.rest[self.rest_from[k] :], lang))]
+            at = self.rest_from[k:] - self.rest_from[k]
+            self.rest_log = np.r_[self.rest_log, logs[at[1:]] - logs[at[:-1]]]
+        codes, symbols = self.pairs(ids, begins)
+        windows, pair = head_windows(symbols)
+        heads = np.bincount(pair, part.logs(windows, lang), symbols.shape[0])
+        return np.add.reduceat(heads[codes] + self.rest_log[ids], begins)
+
+
+def _measure(part_of, base: bool):
+    """Rows with the sums of log probabilities, and with the base counts if asked."""
 
-def _measure(model_of):
     def run(batches):
-        model, logs = model_of(), cached("word log probabilities", dict)
-        if logs.get("model") is not model:  # another model: nothing is known
-            logs.clear()
-            logs |= {"model": model, "young": {}, "old": {}}
-        for b in chunks(batches, size=1 << 20):
-            rows, langs = [], b.column("lang").to_pylist()
-            base = [base_counts(t) for t in b.column("text").to_pylist()]
-            if sum(map(len, logs["young"].values())) > KNOWN_WORDS:
-                logs["young"], logs["old"] = {}, logs["young"]
-            wanted: dict[str, set] = {}
-            for lang, x in zip(langs, base, strict=True):
-                wanted.setdefault(lang, set()).update(x[0])
-            for lang, words in wanted.items():
-                known, old = logs["young"].setdefault(lang, {}), logs["old"].get(lang, {})
-                words = words.difference(known)
-                known.update((w, old[w]) for w in words if w in old)
-                if new := [w for w in words if w not in old]:
-                    known.update(zip(new, word_logs([w.decode() for w in new], lang, model).tolist(), strict=True))
-            for lang, (words, chars, symbols, dup, rep) in zip(langs, base, strict=True):
-                total = sum(map(logs["young"][lang].__getitem__, words))
-                n = len(words)
-                failed = n < 50 or 100 * rep > 50 * n
-                rows.append((n, chars, symbols, dup, rep, failed, -total / (chars + n) if n else None))
-            cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())
-            yield pa.record_batch([b.column("doc_id"), b.column("lang"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], _MEASURES)
+        part = part_of()
+        state = cached("measuring", dict)
+        if state.get("part") is not part:  # another slice: nothing is known
+            state.clear()
+            state["part"] = part
+        for b in chunks(batches):
+            words: dict[str, _Scored] = state.setdefault("words", {})
+            if sum(len(w.ids) for w in words.values()) > KNOWN_WORDS:
+                words.clear()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            n, rep, logs = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for lang, rows in _by_language(b):
+                split = [texts[i].split() for i in rows.tolist()]  # of bytes: exactly the six ASCII white-space characters
+                n[rows] = [len(w) for w in split]
+                rows, split = rows[n[rows] > 0], [w for w in split if w]
+                if not split:
+                    continue
+                own = words.setdefault(lang, _Scored())
+                ids, begins = own.numbers(split)
+                logs[rows] = own.score(ids, begins, lang, part)
+                if base:
+                    rep[rows] = repeated(own.plain[ids], begins)
+            columns = [pa.array(logs)]
+            if base:
+                counts = np.array([line_counts(t) for t in texts], np.int64).reshape(-1, 3)
+                counts[:, 0] = np.asarray(pc.utf8_length(b.column("text")), np.int64) - counts[:, 0]
+                failed = (n < 50) | (100 * rep > 50 * n)
+                columns += [pa.array(n), *(pa.array(counts[:, i]) for i in range(3)), pa.array(rep), pa.array(failed)]
+            yield pa.record_batch([*(b.column(c) for c in _KEYS), *columns], [*_KEYS, "log_p", *(_BASE if base else ())])
 
     return run
 
 
-_MEASURES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity"]
+_KEYS = ["doc_id", "lang", "text_hash"]
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """A written table: the base counts and the log perplexity (per character) of every row."""
+def measure(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table: the base counts and the log perplexity of every row."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load_model(count_grams(docs, order), order))  # of one order at every size
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("text"))
-    return materialise(rows.mapInArrow(_measure(lambda: model.value), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"), "quality-measures")
+    model = fit(docs, most)
+    rows = docs.select("doc_id", language().alias("lang"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    schema = rows.select(*_KEYS).schema
+    for c in ("log_p", *_BASE):
+        schema = schema.add(c, {"log_p": "double", "base_failed": "boolean"}.get(c, "long"))
+    out, more = None, []
+    for i, buckets in enumerate(model.slices):
+        part = spark.sparkContext.broadcast(Slice(model, buckets))  # at most SLICE_ENTRIES n-grams
+        run = _measure(lambda part=part: part.value, i == 0)
+        got = materialise(rows.mapInArrow(run, schema if i == 0 else schema[: len(_KEYS) + 1]), "quality-measures")
+        out, more = (got, more) if i == 0 else (out, [*more, got])
+        part.unpersist()
+    if more:  # alike rows have alike sums
+        rest = more[0]
+        for x in more[1:]:
+            rest = rest.unionByName(x)
+        n = len(more)
+        rest = rest.groupBy(*[F.col(c).alias(f"_{c}") for c in _KEYS]).agg((F.sum("log_p") * n / F.count(F.lit(1))).alias("_more"))
+        same = out["doc_id"].eqNullSafe(rest["_doc_id"]) & (out["lang"] == rest["_lang"]) & (out["text_hash"] == rest["_text_hash"])
+        out = out.join(rest, same).withColumn("log_p", F.col("log_p") + F.col("_more")).select(*out.columns)
+    return out.select(*_KEYS, *_BASE, F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")).alias("log_perplexity"))
 
 
 def bands(measures: DataFrame, spread: float = SPREAD, least: float = LEAST) -> DataFrame:
@@ -364,12 +569,12 @@ def bands(measures: DataFrame, spread: float = SPREAD, least: float = LEAST) ->
     return away.select("lang", (F.col("centre") - F.col("below")).alias("low"), (F.col("centre") + F.col("above")).alias("high"))
 
 
-def quality(docs: DataFrame, spread: float = SPREAD, least: float = LEAST) -> DataFrame:
-    """Every row's measures and verdict."""
+def quality(docs: DataFrame, spread: float = SPREAD, least: float = LEAST, more: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's measures and verdict; more may name text_hash (xxhash64 of the text)."""
     m = measure(docs)
     out = m.join(materialise(bands(m, spread, least), "bands"), "lang", "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity", "low", "high")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity", "low", "high", *more)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

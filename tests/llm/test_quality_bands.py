@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from maskwright.llm import quality_rules
 
 
@@ -28,9 +26,3 @@ def test_symbol_junk_is_outside(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept for r in quality_rules.quality(docs).collect()}
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(12))
-
-
-def test_the_order_is_the_same_at_every_size(spark):
-    docs = spark.createDataFrame([(1, "abcdefg hijklmn", "aa")], "doc_id long, text string, lang string")
-    counts = quality_rules.count_grams(docs).withColumn("n", F.lit(1 << 40))  # as if of a huge table
-    assert quality_rules.load_model(counts).order == quality_rules.ORDER

@@ -14,61 +14,75 @@ def plain_base(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
 
 
+def counts_of(texts):
+    words = [t.encode().split() for t in texts]
+    out = []
+    for w, t in zip(words, texts, strict=True):
+        spaces, *rest = quality_rules.line_counts(t.encode())
+        out.append((len(w), len(t) - spaces, *rest, 0))
+    own, rows = quality_rules.Words(), [i for i, w in enumerate(words) if w]
+    ids, begins = own.numbers([words[i] for i in rows])
+    for i, n in zip(rows, quality_rules.repeated(own.plain[ids], begins).tolist(), strict=True):
+        out[i] = (*out[i][:4], n)
+    return out
+
+
 def test_base_counts():
     rng = random.Random(1)
-    for _ in range(400):
-        t = "".join(rng.choice("ab #|\n\t ") for _ in range(rng.randint(0, 60)))
-        w, *rest = quality_rules.base_counts(t)
-        assert (len(w), *rest) == plain_base(t), t
-
-
-def plain_kneser_ney(words, order):
-    """A model on strings, word by word, with the same discounts; returns a function for the log probability of a word."""
-    mark = "\x03"
-    raw = [Counter() for _ in range(order + 1)]
-    for w, n in words.items():
-        s = mark + w + mark
-        for k in range(1, order + 1):
-            for i in range(len(s) - k + 1):
-                if k > 1 or i:
-                    raw[k][s[i : i + k]] += n
-    use = [None] * (order + 1)
-    for k in range(1, order + 1):
-        if k == order:
-            use[k] = dict(raw[k])
-        else:
-            left = Counter(g[1:] for g in raw[k + 1])
-            use[k] = {g: left.get(g, 1) for g in raw[k]}
-    prob = [dict() for _ in range(order + 1)]
-    gamma = [dict() for _ in range(order + 1)]
-    for k in range(1, order + 1):
-        c = np.array(list(use[k].values()))
-        d = quality_rules._discounts(c)
-        total, left, size = Counter(), Counter(), Counter()
-        for g, n in use[k].items():
-            total[g[:-1]] += n
-            left[g[:-1]] += d[min(n, 3)]
-            size[g[:-1]] += 1
-        gamma[k] = {h: left[h] / total[h] for h in total}
-        for g, n in use[k].items():
-            base = prob[k - 1][g[1:]] if k > 1 else 1 / (size[""] + 1)
-            prob[k][g] = (n - d[min(n, 3)]) / total[g[:-1]] + gamma[k][g[:-1]] * base
-
-    def score(w):
-        s, out = mark + w + mark, 0.0
+    texts = ["".join(rng.choice("ab #|\n\t ") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for t, got in zip(texts, counts_of(texts), strict=True):
+        assert got == plain_base(t), t
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    texts = ["a b c x y z a b d x y z", "q a b c", "a b c a b c"]
+    want = [plain_base(t) for t in texts]
+    monkeypatch.setattr(quality_rules, "mix64", lambda x: np.asarray(x, np.uint64) % np.uint64(3) + np.uint64(1))
+    own = quality_rules.Words()
+    words = [t.encode().split() for t in texts]
+    flat = [w for x in words for w in x]
+    ids = np.array([sorted(set(flat)).index(w) for w in flat])
+    begins = np.cumsum([0, *map(len, words)])[:-1]
+    assert quality_rules.repeated(ids, begins).tolist() == [w[4] for w in want] and own.ids == {}
+
+
+EDGE = "<edge>"
+
+
+def plain_kneser_ney(texts, order=5):
+    """Modified Kneser-Ney on lists of symbols, written from the textbook; returns a function for the log probability of a text."""
+    streams = [[EDGE, *" ".join(t.split()), EDGE] for t in texts if t.split()]
+    raw, before = Counter(), {}
+    for s in streams:
         for i in range(1, len(s)):
-            k = min(order, i + 1)
-            while k:
-                g = s[i - k + 1 : i + 1]
-                if g in prob[k]:
-                    out += np.log(prob[k][g])
-                    break
-                if k > 1 and g[:-1] in gamma[k]:
-                    out += np.log(gamma[k][g[:-1]])
-                k -= 1
-            else:
-                out += float(quality_rules.UNSEEN)
-        return out
+            for k in range(1, min(order, i + 1) + 1):
+                g = tuple(s[i - k + 1 : i + 1])
+                raw[g] += 1
+                if i - k >= 0:
+                    before.setdefault(g, set()).add(s[i - k])
+    use = {g: n if len(g) == order or (len(g) > 1 and g[0] == EDGE) else len(before[g]) for g, n in raw.items()}
+    cuts = {}
+    for k in range(1, order + 1):
+        n1, n2, n3, n4 = (max(1, sum(len(g) == k and n == i for g, n in use.items())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[k] = [min(max(1 - 2 * y * n2 / n1, 0.1), 0.9), min(max(2 - 3 * y * n3 / n2, 0.1), 1.9), min(max(3 - 4 * y * n4 / n3, 0.1), 2.9)]
+    cut = lambda g: cuts[len(g)][min(use[g], 3) - 1]
+    total, left = Counter(), Counter()
+    for g, n in use.items():
+        total[g[:-1]] += n
+        left[g[:-1]] += cut(g)
+    symbols = sum(len(g) == 1 for g in use)
+
+    def p(context, x):
+        rest = p(context[1:], x) if context else 1 / (symbols + 1)
+        if not total[context]:
+            return rest
+        g = (*context, x)
+        return (max(0, use[g] - cut(g)) if g in use else 0) / total[context] + left[context] / total[context] * rest
+
+    def score(text):
+        s = [EDGE, *" ".join(text.split()), EDGE]
+        return sum(np.log(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
 
     return score
 
@@ -77,17 +91,41 @@ def _docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string")
 
 
-def test_model_equals_a_plain_one(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "FLUSH_WORDS", 50)
+def _own_logs(model, slices, texts, lang):
+    logs = np.zeros(len(texts))
+    for part in slices:
+        own = quality_rules._Scored()
+        logs += own.score(*own.numbers([t.encode().split() for t in texts]), lang, part)
+    return logs
+
+
+def test_model_equals_a_plain_one(spark):
     rng = random.Random(5)
-    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(300)]
-    rows = [(i, " ".join(rng.choice(vocab) for _ in range(40)), "xx", None) for i in range(30)]
-    words = Counter(w for r in rows for w in r[1].split())
-    model = quality_rules.load_model(quality_rules.count_grams(_docs(spark, rows), 4), 4)
-    plain = plain_kneser_ney(words, 4)
-    ask = [*list(words)[:60], "zzz", "abcabcabc", "é"]
-    assert np.allclose(quality_rules.word_logs(ask, "xx", model), [plain(w) for w in ask], atol=1e-4)
-    assert quality_rules.load_model(quality_rules.count_grams(_docs(spark, rows), 4), 4, most_entries=500).order < 4
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 9]))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 40))) for _ in range(50)]
+    texts += ["abcde  fg\n"] * 300 + ["bcdef", "cdefg", "a", "x\x00y", "a"]  # a skewed beginning
+    docs = _docs(spark, [(i, t, "xx" if i % 9 else "yy", None) for i, t in enumerate(texts)]).repartition(5)
+    for lang in ("xx", "yy"):
+        own = [t for i, t in enumerate(texts) if (i % 9 == 0) == (lang == "yy")]
+        plain = plain_kneser_ney(own)
+        ask = [*own[:30], "abcde", "bcdef", "cdefg", "zzz a", "abcabcabc", "é é", "a"]
+        for most in (10**9, 100):
+            model = quality_rules.fit(docs, most)
+            assert (len(model.slices) > 3) == (most == 100)
+            got = _own_logs(model, [quality_rules.Slice(model, b) for b in model.slices], ask, lang)
+            want = np.array([plain(t) for t in ask])
+            assert np.allclose(got, want, atol=1e-3), [(t, a, b) for t, a, b in zip(ask, got, want, strict=True) if abs(a - b) > 1e-3]
+    by = dict(zip(ask, got, strict=True))
+    assert by["a"] != by["abcde"]
+
+
+def test_slices_give_the_same_measures(spark):
+    rng = random.Random(9)
+    rows = [(i % 40, " ".join(rng.choice(["ab", "ba", "abc", "c", "dd"]) for _ in range(rng.randint(0, 70))), rng.choice(["xx", None]), None) for i in range(60)]
+    docs = _docs(spark, [*rows, *rows[:5], (None, None, "xx", None)])
+    one, many = (sorted(quality_rules.measure(docs, most).collect(), key=str) for most in (None, 30))
+    assert len(one) == len(many) == 66
+    assert all(a[:-1] == b[:-1] and (a[-1] == b[-1] or abs(a[-1] - b[-1]) < 1e-9) for a, b in zip(one, many, strict=True))
 
 
 def test_verdicts(spark):
