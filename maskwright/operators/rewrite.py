@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, let
 from .detect import SPANS, detect
-from .fuse import merge
-
-KEPT = "array<struct<label:string,start:int,end:int,score:double,validated:boolean,source:string,ord:int,value:string,ph:string,n:int>>"
-
+from .fuse import THRESHOLD, merge
 
 def exclude(cands: Column, labels: Iterable[str]) -> Column:
     """Drops labels before fusion: others may then take their place."""
@@ -20,29 +18,62 @@ def exclude(cands: Column, labels: Iterable[str]) -> Column:
     return F.filter(cands, lambda e: ~e["label"].isin(*out)) if out else cands
 
 
-def with_placeholders(entities: Column, text: Column) -> Column:
-    """Entities with value, number and placeholder. Values equal but for case and white space share the number of their first occurrence, counted by label."""
-    fields = ("label", "start", "end", "score", "validated", "source", "ord")
-    key = lambda e: F.struct(e["label"].alias("label"), F.lower(collapse(e["value"])).alias("key"))
+_FIELDS = ("label", "start", "end", "score", "validated", "source", "ord")
+_NUMBERS = "array<struct<n:int,first:boolean>>"
+
+
+def _numbers(keys: Column) -> Column:
+    """For each (label, key) its number among its label's by first occurrence, and whether it is the first; quadratic in their count."""
+
+    def known(distinct):
+        def one(k, i):
+            at = F.array_position(distinct, k).cast("int")
+            n = F.size(F.filter(F.slice(distinct, F.lit(1), at), lambda d: d["label"] == k["label"]))
+            return F.struct(n.alias("n"), (F.array_position(keys, k) == i + 1).alias("first"))
+
+        return F.transform(keys, one)
+
+    return let(F.array_distinct(keys), known).cast(_NUMBERS)
 
-    def number(valued):
-        def with_keys(keys):
-            def one(e):
-                upto = F.slice(keys, F.lit(1), F.array_position(keys, key(e)).cast("int"))
-                n = F.size(F.filter(upto, lambda k: k["label"] == e["label"]))
-                return F.struct(*[e[c].alias(c) for c in (*fields, "value")], F.concat(F.lit("["), e["label"], F.lit("_"), n.cast("string"), F.lit("]")).alias("ph"), n.alias("n"))
 
-            return F.transform(valued, one)
+def _number_lists(keys: pa.Array) -> pa.Array:
+    """The same in one pass over each list."""
+
+    def one(rows):
+        last, seen, out = {}, {}, []
+        for r in rows:
+            k = (r["label"], r["key"])
+            first = k not in seen
+            if first:
+                seen[k] = last[k[0]] = last.get(k[0], 0) + 1
+            out.append({"n": seen[k], "first": first})
+        return out
+
+    return pa.array([None if x is None else one(x) for x in keys.to_pylist()], pa.list_(pa.struct([("n", pa.int32()), ("first", pa.bool_())])))
+
+
+def with_placeholders(entities: Column, text: Column, threshold: int | None = THRESHOLD) -> Column:
+    """Entities with value, number, placeholder and whether it is its placeholder's first.
+
+    Values equal but for case and white space share the number of their first occurrence, counted by label. Lists longer than the threshold are numbered in an
+    Arrow function, which is sent nothing of other rows; None leaves it out.
+    """
+    key = lambda e: F.struct(e["label"].alias("label"), F.lower(collapse(e["value"])).alias("key"))
 
-        return let(F.array_distinct(F.transform(valued, key)), with_keys)
+    def named(e, x):
+        return F.struct(*[e[c].alias(c) for c in (*_FIELDS, "value")], F.concat(F.lit("["), e["label"], F.lit("_"), x["n"].cast("string"), F.lit("]")).alias("ph"), x["n"].alias("n"), x["first"].alias("first"))
 
-    return let(F.transform(entities, lambda e: F.struct(*[e[c].alias(c) for c in fields], F.substring(text, e["start"] + 1, e["end"] - e["start"]).alias("value"))), number)
+    valued = F.transform(entities, lambda e: F.struct(*[e[c].alias(c) for c in _FIELDS], F.substring(text, e["start"] + 1, e["end"] - e["start"]).alias("value")))
+    if threshold is None:
+        return let(valued, lambda v: F.zip_with(v, let(F.transform(v, key), _numbers), named))
+    many = F.size(entities) > threshold
+    long = F.arrow_udf(_number_lists, _NUMBERS)(F.when(many, F.transform(valued, key)))
+    return F.when(many, F.zip_with(valued, long, named)).otherwise(let(valued, lambda v: F.zip_with(v, let(F.transform(v, key), _numbers), named)))
 
 
 def dictionary(kept: Column) -> Column:
     """Placeholder to first surface form."""
-    first = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["ph"] == p["ph"]))
-    return F.map_from_entries(let(F.transform(kept, lambda e: F.struct(e["ph"].alias("ph"), e["value"].alias("value"))), first))
+    return F.map_from_entries(F.transform(F.filter(kept, lambda e: e["first"]), lambda e: F.struct(e["ph"].alias("ph"), e["value"].alias("value"))))
 
 
 def _pieces(kept: Column, text: Column, shown) -> Column:
@@ -96,7 +127,7 @@ def analyse(docs: DataFrame, text: str = "text", labels: Iterable[str] | None =
     kept, t = F.col("entities"), F.col(text)
     cols = {
         "anonymized_text": anonymised(kept, t), "segments": segments(kept, t, reversible), "n_chars": F.length(t), "n_entities": F.size(kept),
-        "n_unique": F.size(F.array_distinct(F.transform(kept, lambda e: e["ph"]))), "by_label": counts(kept, "label"), "by_source": counts(kept, "source"), "mapping_enabled": F.lit(reversible),
+        "n_unique": F.size(F.filter(kept, lambda e: e["first"])), "by_label": counts(kept, "label"), "by_source": counts(kept, "source"), "mapping_enabled": F.lit(reversible),
     }
     if reversible:
         cols["mapping"] = dictionary(kept)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,9 +99,10 @@ def plain_fusion(cands, text):
 def test_fusion_forms_agree_with_the_rules(spark):
     rng = random.Random(8)
     cases = [_random_case(rng) for _ in range(1500)]
+    kind = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("validated", pa.bool_()), ("source", pa.string()), ("ord", pa.int32())])
     for text, cands in cases:
-        rows = [dict(zip(("label", "start", "end", "score", "validated", "source", "ord"), x)) for x in cands]
-        assert [(e["label"], e["start"], e["end"], e["score"], e["source"]) for e in fuse.fuse_rows(rows, text)] == plain_fusion(cands, text)
+        rows = pa.array([dict(zip(kind.names, x, strict=True)) for x in cands], kind)
+        assert [(e["label"], e["start"], e["end"], e["score"], e["source"]) for e in fuse.fuse_list(rows, text).to_pylist()] == plain_fusion(cands, text)
     d = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(cases[:400])], f"i int, text string, candidates {detect.SPANS}")
     for threshold in (400, 0):
         got = {r.i: [(e.label, e.start, e.end, e.score, e.source) for e in r.entities] for r in fuse.merge(d, threshold=threshold).collect()}
@@ -148,3 +150,27 @@ def test_many_candidates_in_one_document(spark, n):
     c = [("A", i * 4, i * 4 + 3, 0.9, False, "model", i) for i in range(n)]
     r = fuse.merge(spark.createDataFrame([("abc " * n, c)], f"text string, candidates {detect.SPANS}")).first()
     assert len(r.entities) == n
+
+
+def test_numbering_of_long_lists_equals_that_of_short_ones(spark):
+    rng = random.Random(4)
+    words = ["Rossi", "ROSSI", " rossi", "Bianchi", "x  y", "X y", "z"]
+    rows = []
+    for i in range(60):
+        text, cands = "", []
+        for k in range(rng.randint(0, 25)):
+            w = rng.choice(words)
+            cands.append((rng.choice(["A", "B"]), len(text), len(text) + len(w), 0.9, False, "model", k))
+            text += w + "|"
+        rows.append((i, text, cands))
+    d = spark.createDataFrame(rows, f"i int, text string, entities {detect.SPANS}")
+    short, long = ({r.i: r.e for r in d.select("i", rewrite.with_placeholders(F.col("entities"), F.col("text"), t).alias("e")).collect()} for t in (None, 3))
+    assert short == long
+    for i, text, cands in rows:
+        names, counts = {}, {}
+        for got, (label, s, e, *_) in zip(short[i], cands, strict=True):
+            k = (label, " ".join(text[s:e].split()).lower())
+            first = k not in names
+            if first:
+                counts[label] = names[k] = counts.get(label, 0) + 1
+            assert (got.n, got.first, got.ph) == (names[k], first, f"[{label}_{names[k]}]")
