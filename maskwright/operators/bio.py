@@ -130,6 +130,23 @@ def simple_spans(subwords: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key, "no").agg(F.first("type").alias("type"), F.min("start").alias("start"), F.max("end").alias("end")).select(key, "type", "start", "end")
 
 
+def char_predictions(subwords: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Character spans in the canonical text from subwords whose offsets are within their words.
+
+    subwords: key, pos, word_id, label, start, end, special. words: key, word_id, base (where the word begins). Special tokens and such without a word are skipped.
+    """
+    placed = subwords.where(~F.col("special") & F.col("word_id").isNotNull()).join(words.select(key, "word_id", "base"), [key, "word_id"])
+    return simple_spans(placed.select(key, "pos", "label", (F.col("start") + F.col("base")).alias("start"), (F.col("end") + F.col("base")).alias("end"), "special"), key)
+
+
+def subword_windows(n: Column, size: int, stride: int) -> Column:
+    """(window, first, last + 1) of windows of `size` tokens that overlap by `stride`, over n tokens."""
+    step = size - stride
+    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int"))
+    rows = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("window"), (k * step).alias("first"), F.least(k * step + size, n).cast("int").alias("end")))
+    return F.when(n > 0, rows).otherwise(F.array().cast("array<struct<window:int,first:int,end:int>>"))
+
+
 def merged_windows(logits: DataFrame, key: str = "doc_id") -> DataFrame:
     """The label of each token from overlapping windows: mean logit by identical (start, end), the least id among equals.
 
@@ -139,7 +156,7 @@ def merged_windows(logits: DataFrame, key: str = "doc_id") -> DataFrame:
     best = mean.groupBy(key, "start", "end").agg(F.min_by("label_id", F.struct(-F.col("logit"), "label_id")).alias("label_id"))
     w = Window.partitionBy(key).orderBy("start", "end")
     bad = F.coalesce(F.lag("end").over(w) > F.col("start"), F.lit(False))
-    return best.withColumn("bad", bad).withColumn("label_id", F.when(F.col("bad"), F.raise_error(F.lit("windows disagree on tokens")).cast("int")).otherwise(F.col("label_id"))).drop("bad")
+    return best.withColumn("bad", bad).where(F.when(F.col("bad"), F.raise_error(F.lit("windows disagree on tokens")).cast("boolean")).otherwise(F.lit(True))).drop("bad")
 
 
 def recased(tokens: Column, labels: Column, key: Column, seed: int = 0) -> Column:
@@ -151,9 +168,12 @@ def recased(tokens: Column, labels: Column, key: Column, seed: int = 0) -> Colum
         k = roll(key, i) % 3
         return F.when(k == 0, F.lower(t)).when(k == 1, F.upper(t)).otherwise(F.initcap(t))
 
-    kind = roll(key, F.lit("entity")) % 3
-    entity = lambda t, i: F.when(F.get(labels, i) == "O", t).otherwise(F.when(kind == 0, F.lower(t)).when(kind == 1, F.upper(t)).otherwise(F.initcap(t)))
-    return F.when(r < 35, F.transform(tokens, F.lower)).when(r < 45, F.transform(tokens, F.upper)).when(r < 53, F.transform(tokens, by_token)).when(r < 75, F.transform(tokens, entity)).otherwise(tokens)
+    def entities(kind):  # what is the same for all tokens is worked out once
+        case = lambda t: F.when(kind == 0, F.lower(t)).when(kind == 1, F.upper(t)).otherwise(F.initcap(t))
+        return F.zip_with(tokens, labels, lambda t, x: F.when(x == "O", t).otherwise(case(t)))
+
+    only = let(roll(key, F.lit("entity")) % 3, entities)
+    return F.when(r < 35, F.transform(tokens, F.lower)).when(r < 45, F.transform(tokens, F.upper)).when(r < 53, F.transform(tokens, by_token)).when(r < 75, only).otherwise(tokens)
 
 
 def tag_set(labels: Column) -> Column:

@@ -114,10 +114,11 @@ def leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """a, or an error when executed if it shares a value of key with b."""
+    """a, or an error when executed if it shares a value of key with b. The check is a filter, so no choice of columns drops it."""
     shared = b.select(F.col(key), F.lit(True).alias("_seen")).distinct()
     j = a.join(shared, key, "left")
-    return j.withColumn(key, F.when(F.col("_seen"), F.raise_error(F.concat(F.lit(f"{key} in both sets: "), F.col(key).cast("string"))).cast(a.schema[key].dataType)).otherwise(F.col(key))).drop("_seen")
+    message = F.concat(F.lit(f"{key} in both sets: "), F.col(key).cast("string"))
+    return j.where(F.when(F.col("_seen"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).select(*a.columns)
 
 
 def stratified(rows: DataFrame, n: int, floors: dict[str, int], tags: str, strata: list[str], salt: str, key: str) -> DataFrame:
@@ -146,18 +147,31 @@ def stratified(rows: DataFrame, n: int, floors: dict[str, int], tags: str, strat
     return everything.orderBy("_priority", "_order", key).limit(n).drop("_priority", "_order")
 
 
-def round_robin(rows: DataFrame, pool: DataFrame, order: str, pool_order: str) -> DataFrame:
-    """Row i with entry i mod n of the pool (a small table)."""
-    n = max(1, pool.count())
+def round_robin(rows: DataFrame, pool: DataFrame, order: str, pool_order: str, most: int = 100_000) -> DataFrame:
+    """Row i with entry i mod n of the pool, which may have `most` rows.
+
+    Rows are numbered in order without one task for all: counts of sorted parts are summed up on the driver, and each part numbers its own rows.
+    """
+    n = pool.count()
+    if not 0 < n <= most:
+        raise ValueError(f"a pool of {n} rows")
     p = pool.withColumn("_i", F.row_number().over(Window.orderBy(pool_order)) - 1)
-    r = rows.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1) % n)
-    return r.join(F.broadcast(p), "_i").drop("_i")
+    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    base, starts = 0, []
+    for part, size, least in sorted(map(tuple, parts.groupBy("_part").agg(F.count(F.lit(1)), F.min("_at")).collect())):  # a row for each partition
+        starts.append((part, base - least))
+        base += size
+    shift = rows.sparkSession.createDataFrame(starts, "_part int, _shift long")
+    r = parts.join(F.broadcast(shift), "_part").withColumn("_i", (F.col("_at") + F.col("_shift")) % n)
+    return r.join(F.broadcast(p), "_i").drop("_i", "_part", "_at", "_shift")
 
 
 # ------------------------------------------------------------ synthesis
 
 def weighted_choice(rows: DataFrame, choices: DataFrame, salt: str, key: str, weight: str = "weight") -> DataFrame:
     """One of the choices (a small table: id, weight) for each row, by inverse distribution of a hashed uniform."""
+    if choices.count() > 10_000:
+        raise ValueError("too many choices for a broadcast range join")
     w = Window.orderBy("id")
     c = choices.withColumn("_to", F.sum(weight).over(w)).withColumn("_from", F.col("_to") - F.col(weight))
     total = choices.agg(F.sum(weight)).first()[0]
@@ -184,8 +198,7 @@ def template_error(template: Column, allowed: list[str]) -> Column:
     from ..functions.text import non_latin, stray_names
 
     unknown = F.array_except(slots(template), F.array(*map(F.lit, allowed)))
-    plain = F.regexp_replace(template, r"\{\w+\}", "x")
-    return F.coalesce(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown slots: "), F.array_join(unknown, ","))), F.when(non_latin(template).isNotNull(), F.lit("letters of another script")), F.when(F.size(stray_names(plain)) > 0, F.lit("a name in the text")))
+    return F.coalesce(F.when(F.size(slots(template)) == 0, F.lit("no slots")), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown slots: "), F.array_join(unknown, ","))), F.when(non_latin(template).isNotNull(), F.lit("letters of another script")), F.when(F.size(stray_names(template)) > 0, F.lit("a name in the text")))
 
 
 def symbols(key: Column, seed: int, alphabet: str, n: int) -> Column:

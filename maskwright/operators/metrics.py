@@ -96,7 +96,7 @@ def paired_checked(first: DataFrame, second: DataFrame, columns: tuple[str, ...]
     ok = F.col("has_1").isNotNull() & F.col("has_2").isNotNull()
     for c in columns:
         ok = ok & F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2"))
-    return j.select(F.when(ok, F.col("doc_id")).otherwise(F.raise_error(F.lit("the runs don't match")).cast("long")).alias("doc_id"), *[F.col(f"{c}_1").alias(c) for c in columns])
+    return j.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("the runs don't match")).cast("boolean"))).select("doc_id", *[F.col(f"{c}_1").alias(c) for c in columns])
 
 
 def gate(golden: DataFrame, candidate: DataFrame, limits: DataFrame) -> DataFrame:
@@ -198,3 +198,88 @@ def regression_report(per_variant: DataFrame, failures: DataFrame, enabled: bool
 def cumulative(rows: DataFrame, ts: str, *by: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("cumulative", F.count(F.lit(1)).over(w))
+
+
+def gate_report(golden: dict[str, DataFrame], candidate: dict[str, DataFrame], limits: dict[str, float | dict[str, float]]) -> DataFrame:
+    """Failures (gate, type, actual, bound) of a candidate against golden, for each view of spans.
+
+    golden and candidate: view name ("" is the main one) to (gold, pred) scores of per_type(). limits: max_micro_f1_drop, max_macro_f1_drop, min_micro_f1,
+    min_macro_f1, max_per_tag_f1_drop, min_per_tag_f1, max_per_tag_recall_drop; the last three are a number for all types or one for each. Limits are inclusive. A type that
+    one side lacks counts as 0; macro is the mean over the types of each side. A view that only one side has fails.
+    """
+    spark = next(iter(golden.values())).sparkSession
+    out = None
+    for view in sorted(set(golden) | set(candidate)):
+        prefix = f"{view}." if view else ""
+        if view not in golden or view not in candidate:
+            rows = spark.createDataFrame([(f"{prefix}metrics_missing", None, 0.0, 1.0)], "gate string, type string, actual double, bound double")
+        else:
+            rows = _view_failures(spark, golden[view], candidate[view], limits, prefix)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _view_failures(spark, golden: DataFrame, candidate: DataFrame, limits: dict, prefix: str) -> DataFrame:
+    def long(d, name):
+        t = d.select("type", F.expr("stack(2, 'per_tag_f1', f1, 'per_tag_recall', recall) as (metric, value)"))
+        micro = _scored(d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])).select(F.lit(None).cast("string").alias("type"), F.lit("micro_f1").alias("metric"), F.col("f1").alias("value"))
+        macro = d.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("value")).select(F.lit(None).cast("string").alias("type"), F.lit("macro_f1").alias("metric"), "value")
+        return t.unionByName(micro).unionByName(macro).withColumnRenamed("value", name)
+
+    a, b = long(golden, "was"), long(candidate, "now").withColumnsRenamed({"type": "t2", "metric": "m2"})
+    both = a.join(b, F.col("type").eqNullSafe(F.col("t2")) & (F.col("metric") == F.col("m2")), "full_outer")
+    both = both.select(F.coalesce("type", "t2").alias("type"), F.coalesce("metric", "m2").alias("metric"), F.coalesce("was", F.lit(0.0)).alias("was"), F.coalesce("now", F.lit(0.0)).alias("now"))
+    rows = []
+    for name, limit in limits.items():
+        drop = name.startswith("max_")
+        metric = name.removeprefix("max_").removeprefix("min_").removesuffix("_drop")
+        for t, v in limit.items() if isinstance(limit, dict) else [(None, limit)]:
+            rows.append((name, metric, t, drop, float(v)))
+    policy = spark.createDataFrame(rows, "gate string, metric string, for_type string, drop boolean, bound double")
+    j = both.join(F.broadcast(policy), "metric").where(F.col("for_type").isNull() | (F.col("for_type") == F.col("type")))
+    actual = F.when(F.col("drop"), F.col("was") - F.col("now")).otherwise(F.col("now"))
+    failed = F.when(F.col("drop"), actual > F.col("bound")).otherwise(actual < F.col("bound"))
+    return j.where(failed).select(F.concat(F.lit(prefix), "gate").alias("gate"), "type", actual.alias("actual"), "bound")
+
+
+def mask_statistics(tokens: DataFrame, raw: bool = False) -> DataFrame:
+    """Which supervised tokens a teacher may teach. tokens: window, gold, teacher (BIO labels; gold null where unsupervised).
+
+    A token is active if both have the same type, or with raw always; exact ones agree in full, bio_only ones in type alone.
+    """
+    kind = lambda c: F.regexp_replace(F.col(c), "^[BI]-", "")
+    t = tokens.where(F.col("gold").isNotNull()).select("window", (F.col("gold") == F.col("teacher")).alias("exact"), (kind("gold") == kind("teacher")).alias("same"))
+    n = lambda c: F.sum(c.cast("long"))
+    active = F.lit(True) if raw else F.col("same")
+    per = tokens.select("window").distinct().join(t.groupBy("window").agg(F.count(F.lit(1)).alias("supervised"), n(F.col("exact")).alias("exact"), n(F.col("same") & ~F.col("exact")).alias("bio_only"), n(~F.col("same")).alias("mismatch"), n(active).alias("active")), "window", "left").na.fill(0)
+    total = per.agg(*[F.sum(c).alias(c) for c in ("supervised", "exact", "bio_only", "mismatch", "active")], n(F.col("active") == 0).alias("windows_without"), F.min("active").alias("least_active"), F.max("active").alias("most_active"))
+    return total.withColumns({"excluded": F.col("supervised") - F.col("active"), "coverage": F.try_divide(F.col("active").cast("double"), F.col("supervised"))})
+
+
+def error_examples(outcomes: DataFrame, *by: str, limit: int = 12, order: str = "doc_id") -> DataFrame:
+    """The first `limit` documents with errors of each group: outcomes has tp, fp, fn."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return outcomes.where((F.col("fp") > 0) | (F.col("fn") > 0)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """How many spans only one side has."""
+    return outcomes(a, b, key).agg(F.sum((F.col("in_gold") != F.col("in_pred")).cast("long")).alias("n"))
+
+
+def subset_of(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0
+
+
+def report_text(rows: DataFrame, columns: list[str], width: int = 12) -> str:
+    """A fixed-width table of a small result."""
+    cell = lambda v: f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)
+    lines = ["".join(c[:width].ljust(width + 1) for c in columns).rstrip()]
+    return "\n".join(lines + ["".join(cell(r[c])[:width].ljust(width + 1) for c in columns).rstrip() for r in rows.select(*columns).collect()])
+
+
+def latest(versions: list[str]) -> str | None:
+    """The highest version by its numbers."""
+    import re
+
+    return max(versions, key=lambda v: tuple(map(int, re.findall(r"\d+", v))), default=None)

@@ -167,6 +167,18 @@ def redacted(text: Column, mapping: Column, mask: str = "█") -> Column:
     return F.aggregate(F.array_sort(rows), text, lambda t, r: F.regexp_replace(t, value_pattern(r["v"]), F.lit(mask)))
 
 
+def substituted(text: Column, patterns: list[str], mask: str) -> Column:
+    """(text, n): every match of the patterns replaced, one pattern after the other, and how many there were."""
+    out = F.struct(text.alias("text"), F.lit(0).alias("n"))
+
+    def one(pattern):
+        return lambda s: F.struct(F.regexp_replace(s["text"], pattern, mask).alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(pattern))).alias("n"))
+
+    for p in patterns:
+        out = let(out, one(p))
+    return out
+
+
 def residual(text: Column, mapping: Column) -> Column:
     """Placeholders whose value can still be found."""
     left = F.filter(F.map_entries(mapping), lambda e: ~noisy(e["value"]) & F.regexp_like(text, value_pattern(e["value"])))

@@ -63,7 +63,7 @@ def unique_skeletons(spark, sf_dir):
     return dataset.first_by(d, ["s"], dataset.salted("v3", F.col("doc_id")), F.col("doc_id")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AND substr(text, 1, 40) NOT IN (SELECT substr(text, 1, 40) FROM documents WHERE doc_id % 3 = 0)")
+@query(r"WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS skeleton FROM documents), o AS (SELECT * FROM d WHERE doc_id % 3 = 0) SELECT doc_id FROM d WHERE doc_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.text = d.text) AND NOT EXISTS (SELECT 1 FROM o WHERE o.skeleton = d.skeleton)")
 def novel_anti(spark, sf_dir):
     none = F.array().cast("array<struct<label:string,start:int,end:int>>")
     d = table(spark, sf_dir, "documents").select("doc_id", "text", dataset.skeleton_hash(F.col("text"), none).alias("skeleton"))

@@ -230,7 +230,7 @@ def chunk_words(spark, sf_dir):
 
 
 @query(r"""WITH w AS (SELECT regexp_extract_all(text, '\S+') AS v FROM documents), p AS (SELECT v[i] AS a, v[i + 1] AS b FROM (SELECT v, unnest(range(1, len(v))) AS i FROM w))
-SELECT a, b, count(*) AS n FROM p GROUP BY a, b HAVING count(*) >= 20""")
+SELECT a, b, count(*) AS n FROM p GROUP BY a, b""")
 def word_bigrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.inline(text.word_bigrams(F.col("text")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -317,9 +317,14 @@ def restore_text(spark, sf_dir):
     return _analysed(spark, sf_dir).select("doc_id", rewrite.restored(F.col("anonymized_text"), F.col("mapping"), strict=True).alias("restored_text"))
 
 
-@query("SELECT doc_id, 0 AS n_left FROM documents")
+_LOUD = "length(regexp_replace(value, '[^\\p{L}\\p{N}]', '', 'g')) >= 2"
+
+
+@query(f"WITH {_ENTITIES}, loud AS (SELECT doc_id, CAST(count(DISTINCT ph) AS INT) AS n FROM ph WHERE {_LOUD} GROUP BY doc_id) SELECT doc_id, 0 AS n_left, coalesce(n, 0) AS n_before FROM documents LEFT JOIN loud USING (doc_id)")
 def residual_check(spark, sf_dir):
-    return _analysed(spark, sf_dir).select("doc_id", F.size(rewrite.residual(F.col("anonymized_text"), F.col("mapping"))).alias("n_left"))
+    """Values that can still be found: none in the rewritten text, all in the original."""
+    left = lambda c: F.size(rewrite.residual(F.col(c), F.col("mapping")))
+    return _analysed(spark, sf_dir).select("doc_id", left("anonymized_text").alias("n_left"), left("text").alias("n_before"))
 
 
 @query(f"WITH {_ENTITIES} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT (doc_id, ph)) AS n_unique FROM ph GROUP BY label")

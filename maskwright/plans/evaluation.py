@@ -97,10 +97,29 @@ def quality_gate(spark, sf_dir):
     return _rounded(metrics.gate(metrics.per_type(gold, _pred(spark, sf_dir)), metrics.per_type(gold, _pred(spark, sf_dir, 2)), limits))
 
 
-@query(f"{_BASE}{_PER}, s AS (SELECT type, {_F1} AS f1 FROM per) SELECT type, round(f1 - 1.0, 9) AS f1_change FROM s")
+_TWO = f"{_BASE}, p2 AS (SELECT DISTINCT * FROM pred2){_PER}{_P2}".replace(_pred_sql(), f"{_pred_sql()}, {_pred_sql('pred2', 2)}")
+_RECALL = "coalesce(tp * 1.0 / nullif(tp + fn, 0), 0)"
+
+
+@query(f"{_TWO} SELECT type, round(b.f1 - a.f1, 9) AS f1_change, round(b.r - a.r, 9) AS recall_change FROM (SELECT type, {_F1} AS f1, {_RECALL} AS r FROM per) a JOIN (SELECT type, {_F1} AS f1, {_RECALL} AS r FROM per2) b USING (type)")
 def metric_deltas(spark, sf_dir):
     gold = _gold(spark, sf_dir)
-    return _rounded(metrics.deltas(metrics.per_type(gold, gold), metrics.per_type(gold, _pred(spark, sf_dir))).select("type", "f1_change"))
+    return _rounded(metrics.deltas(metrics.per_type(gold, _pred(spark, sf_dir)), metrics.per_type(gold, _pred(spark, sf_dir, 2))))
+
+
+_LIMITS = {"max_micro_f1_drop": 0.0, "min_macro_f1": 0.95, "max_per_tag_f1_drop": 0.02, "min_per_tag_f1": {"CF": 0.9, "NAME": 0.1}, "max_per_tag_recall_drop": {"EMAIL": 0.001}}
+
+
+@query(f"""{_TWO}, s AS (SELECT a.type, a.f1 AS fa, b.f1 AS fb, a.r AS ra, b.r AS rb FROM (SELECT type, {_F1} AS f1, {_RECALL} AS r FROM per) a JOIN (SELECT type, {_F1} AS f1, {_RECALL} AS r FROM per2) b USING (type)),
+m AS (SELECT (SELECT {_F1} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per)) - (SELECT {_F1} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per2)) AS micro, avg(fb) AS macro FROM s),
+f AS (SELECT 'max_micro_f1_drop' AS gate, NULL AS type, micro AS actual, 0.0 AS bound FROM m WHERE micro > 0 UNION ALL SELECT 'min_macro_f1', NULL, macro, 0.95 FROM m WHERE macro < 0.95 UNION ALL SELECT 'max_per_tag_f1_drop', type, fa - fb, 0.02 FROM s WHERE fa - fb > 0.02
+ UNION ALL SELECT 'min_per_tag_f1', type, fb, CASE type WHEN 'CF' THEN 0.9 ELSE 0.1 END FROM s WHERE type = 'CF' AND fb < 0.9 OR type = 'NAME' AND fb < 0.1 UNION ALL SELECT 'max_per_tag_recall_drop', type, ra - rb, 0.001 FROM s WHERE type = 'EMAIL' AND ra - rb > 0.001)
+SELECT gate, type, round(CAST(actual AS DOUBLE), 9) AS actual, CAST(bound AS DOUBLE) AS bound FROM (SELECT * FROM f UNION ALL SELECT 'chars.' || gate, type, actual, bound FROM f UNION ALL SELECT 'words.metrics_missing', NULL, 0, 1)""")
+def gate_views(spark, sf_dir):
+    """Three views: the main one, a nested one with the same spans, and one that the candidate lacks."""
+    gold = _gold(spark, sf_dir)
+    a, b = metrics.per_type(gold, _pred(spark, sf_dir)), metrics.per_type(gold, _pred(spark, sf_dir, 2))
+    return _rounded(metrics.gate_report({"": a, "chars": a, "words": a}, {"": b, "chars": b}, _LIMITS))
 
 
 _COV_DOCS = "SELECT doc_id, text, CAST(doc_id % 40 AS INT) AS a, CAST(doc_id % 40 + 30 AS INT) AS b, CAST(doc_id % 40 + doc_id % 5 - 2 + 2 AS INT) AS c, CAST(doc_id % 40 + 25 + doc_id % 9 AS INT) AS d FROM documents"
@@ -134,10 +153,13 @@ def token_accuracy(spark, sf_dir):
     return _rounded(metrics.token_accuracy(table(spark, sf_dir, "lineitem").selectExpr("l_linenumber % 3 AS gold", "l_partkey % 3 AS pred")))
 
 
-@query("SELECT o_orderkey AS doc_id, o_custkey AS n FROM orders")
+@query("SELECT d.doc_id, length(text) AS n, quality FROM documents d JOIN labels l USING (doc_id)")
 def paired_full_outer(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_custkey AS n")
-    return metrics.paired_checked(t, t.select("doc_id", "n"), ("n",))
+    """Two runs over the labelled documents, from two tables: one has their stored length and joins the label to it, the other counts characters."""
+    d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    first = d.join(known, "doc_id").select("doc_id", F.col("n_chars").cast("long").alias("n"), "quality")
+    second = known.join(d, "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), "quality")
+    return metrics.paired_checked(first, second, ("n", "quality"))
 
 
 @query("WITH r AS (SELECT unnest(range(0, 6)) AS round), p AS (SELECT unnest(range(0, 4)) AS position) SELECT round, position, substr('ABCD', CAST((round + position) % 4 AS INT) + 1, 1) AS variant FROM r, p")
@@ -145,10 +167,13 @@ def latin_square(spark, sf_dir):
     return spark.createDataFrame(metrics.latin_square(list("ABCD"), 6), "round long, position long, variant string")
 
 
-@query("SELECT CAST(round AS BIGINT) AS round, CAST(round AS BIGINT) % 4 AS position, 'A' AS variant FROM range(0, 0) t(round)")
+@query("WITH r AS (SELECT unnest(range(0, 6)) AS round), p AS (SELECT unnest(range(0, 4)) AS position), f AS (SELECT round, position, substr('ABCD', CAST((round + position) % 4 AS INT) + 1, 1) AS variant FROM r, p) SELECT round, position, variant, CASE WHEN (round * 4 + position) % 5 = 0 THEN 0 ELSE 2 END AS n FROM f WHERE (round * 4 + position) % 5 = 0 OR (round * 4 + position) % 7 = 0")
 def schedule_complete(spark, sf_dir):
+    """Runs that miss every fifth cell of the schedule and repeat every seventh."""
     full = spark.createDataFrame(metrics.latin_square(list("ABCD"), 6), "round long, position long, variant string")
-    return metrics.schedule_gaps(full, full).select("round", "position", "variant")
+    cell = F.col("round") * 4 + F.col("position")
+    ran = full.where(cell % 5 != 0)
+    return metrics.schedule_gaps(full, ran.unionByName(ran.where(cell % 7 == 0))).select("round", "position", "variant", F.col("n").cast("int").alias("n"))
 
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS cumulative FROM events")
@@ -161,12 +186,12 @@ def cumulative_events(spark, sf_dir):
 
 # Labels of a document from its words' lengths: runs of one raw type, some dropped.
 _RAW = "CASE WHEN length(w) % 5 = 0 THEN 'B-GIVENNAME' WHEN length(w) % 5 = 1 THEN 'I-SURNAME' WHEN length(w) = 7 THEN 'B-TITLE' WHEN length(w) = 8 THEN 'I-TAXNUM' ELSE 'O' END"
-_WORDS = f"w AS (SELECT doc_id, i AS pos, v[i] AS w FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+')[1:200] AS v FROM documents))), l AS (SELECT *, {_RAW} AS raw FROM w)"
+_WORDS = f"w AS (SELECT doc_id, i AS pos, v[i] AS w FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS v FROM documents))), l AS (SELECT *, {_RAW} AS raw FROM w)"
 _TYPED = ", t AS (SELECT *, CASE WHEN raw LIKE '%NAME' THEN 'FULLNAME' WHEN raw LIKE '%TAXNUM' THEN 'PIVA' ELSE NULL END AS type FROM l), n AS (SELECT *, CASE WHEN type IS NULL THEN 'O' WHEN lag(type) OVER (PARTITION BY doc_id ORDER BY pos) = type THEN 'I-' || type ELSE 'B-' || type END AS label FROM t)"
 
 
-def _labels(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))  # all of them; the SQL above still stops at 200
+def _labels(spark, sf_dir, text=None):
+    words = F.regexp_extract_all(F.col("text") if text is None else text, F.lit(r"(\S+)"), F.lit(1))
     raw = lambda w: F.when(F.length(w) % 5 == 0, "B-GIVENNAME").when(F.length(w) % 5 == 1, "I-SURNAME").when(F.length(w) == 7, "B-TITLE").when(F.length(w) == 8, "I-TAXNUM").otherwise("O")
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
     return d.withColumn("raw", F.transform("words", raw)).withColumn("labels", bio.normalised(F.col("raw")))
@@ -217,8 +242,9 @@ def align_words(spark, sf_dir):
     return d.select("doc_id", F.array_join(bio.aligned_words(F.col("ids"), F.col("labels")), " ").alias("labels"))
 
 
-@query('SELECT o_custkey AS doc_id, o_orderkey * 2 AS start, o_orderkey * 2 + 1 AS "end", CAST(CASE WHEN o_totalprice % 7 >= o_orderkey % 7 THEN 0 ELSE 1 END AS INT) AS label_id FROM orders')
+@query('SELECT o_custkey AS doc_id, o_orderkey * 2 AS start, o_orderkey * 2 + 1 AS "end", CAST(CASE WHEN (o_totalprice % 7 + o_totalprice % 5) / 2 >= (o_orderkey % 7 + o_orderkey % 3) / 2.0 THEN 0 ELSE 1 END AS INT) AS label_id FROM orders')
 def window_merge(spark, sf_dir):
-    """Two windows with the same tokens: the mean of equal logits, the lower id among equals."""
-    t = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey * 2 AS start", "o_orderkey * 2 + 1 AS `end`", "false AS special", "inline(array(named_struct('window', 0, 'label_id', 0, 'logit', o_totalprice % 7), named_struct('window', 1, 'label_id', 0, 'logit', o_totalprice % 7), named_struct('window', 0, 'label_id', 1, 'logit', CAST(o_orderkey % 7 AS DOUBLE)), named_struct('window', 1, 'label_id', 1, 'logit', CAST(o_orderkey % 7 AS DOUBLE))))")
+    """Two windows that see the same tokens differently: the label of the greater mean, the lower id among equals."""
+    one = lambda w, i, x: f"named_struct('window', {w}, 'label_id', {i}, 'logit', CAST({x} AS DOUBLE))"
+    t = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey * 2 AS start", "o_orderkey * 2 + 1 AS `end`", "false AS special", f"inline(array({one(0, 0, 'o_totalprice % 7')}, {one(1, 0, 'o_totalprice % 5')}, {one(0, 1, 'o_orderkey % 7')}, {one(1, 1, 'o_orderkey % 3')}))")
     return bio.merged_windows(t)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions.taxonomy import admitted
 
 TOKEN_DIALECT = "mbert_tokens array<string>, mbert_token_classes array<string>, language string, source_text string, masked_text string"
@@ -35,16 +38,77 @@ def checked(rows: DataFrame, reason: Column, mode: str) -> DataFrame:
         return out
     if mode == "permissive":
         return out.where(F.col("_reject_reason").isNull()).drop("_reject_reason")
-    first = out.columns[0]
-    fail = F.raise_error(F.concat(F.lit("rejected row: "), F.col("_reject_reason"))).cast(rows.schema[first].dataType)
-    return out.withColumn(first, F.when(F.col("_reject_reason").isNull(), F.col(first)).otherwise(fail)).drop("_reject_reason")
+    fail = F.raise_error(F.concat(F.lit("rejected row: "), F.col("_reject_reason"))).cast("boolean")
+    return out.where(F.when(F.col("_reject_reason").isNull(), F.lit(True)).otherwise(fail)).drop("_reject_reason")  # a filter: no choice of columns drops it
 
 
-def read_jsonl(spark: SparkSession, path: str, dialect: str = "native", language: str | None = None, mode: str = "permissive", limit: int | None = None) -> DataFrame:
+def record_error(text: Column, entities: Column, tokens: Column, labels: Column) -> Column:
+    """Why a record can't be used, or null: arrays and labels, offsets that don't give the value, codes whose checksum fails."""
+    value = lambda e: F.substring(text, e["start"] + 1, e["end"] - e["start"])
+    codes = (("CF", checks.cf_ok), ("PIVA", checks.piva_ok), ("IBAN", checks.iban_ok), ("CREDITCARDNUMBER", checks.luhn_ok))
+    wrong = lambda e: F.coalesce(*[F.when((e["label"] == k) & ~ok(e["value"]), F.lit(True)) for k, ok in codes], F.lit(False))
+    return F.coalesce(
+        reject_reason(tokens, labels), F.when(F.exists(entities, lambda e: ~admitted(e["label"])), F.lit("unknown label")), F.when(F.exists(entities, lambda e: F.coalesce(value(e) != e["value"], F.lit(True))), F.lit("offsets")),
+        F.when(F.exists(entities, wrong), F.lit("checksum")))
+
+
+def shape(rows: DataFrame, required: list[str], arrays: tuple[str, str] | None = None) -> DataFrame:
+    """Rows, rows that lack a required field, rows whose two arrays differ in length."""
+    lost = [c for c in required if c not in rows.columns]
+    if lost:
+        raise ValueError(f"columns are missing: {lost}")
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    unlike = F.size(arrays[0]) != F.size(arrays[1]) if arrays else F.lit(False)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), n(bad).alias("n_incomplete"), n(F.coalesce(unlike, F.lit(True))).alias("n_misaligned"))
+
+
+def require_shape(rows: DataFrame, expected: int, required: list[str], arrays: tuple[str, str] | None = None) -> DataFrame:
+    """rows, if they are as many as expected, complete and aligned: an action, before anything is returned."""
+    got = shape(rows, required, arrays).first()
+    if tuple(got) != (expected, 0, 0):
+        raise ValueError(f"expected {expected} whole rows, found {got.asDict()}")
+    return rows
+
+
+def read_parquet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Just these columns; a missing one is an error before any row is read."""
+    rows = spark.read.parquet(path)
+    lost = [c for c in columns if c not in rows.columns]
+    if lost:
+        raise ValueError(f"{path} lacks {lost}")
+    return rows.select(*columns)
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], **how) -> dict[str, DataFrame]:
+    """Each split by itself; splits needn't share a schema."""
+    return {name: read_parquet(spark, p, how["columns"]) if p.endswith(".parquet") else read_jsonl(spark, p, **how) for name, p in paths.items()}
+
+
+def verify_sources(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Files (path, length, sha256) that are missing, new or changed against a manifest."""
+    now = manifest(spark, path).withColumnsRenamed({"length": "length_now", "sha256": "sha256_now"})
+    j = expected.join(now, "path", "full_outer")
+    state = F.when(F.col("sha256_now").isNull(), "missing").when(F.col("sha256").isNull(), "new").when((F.col("sha256") != F.col("sha256_now")) | (F.col("length") != F.col("length_now")), "changed")
+    return j.select("path", state.alias("state")).where(F.col("state").isNotNull())
+
+
+def mentions(text: Column, words: Iterable[str]) -> Column:
+    """Whether a text holds one of the words, in any case."""
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w))
+
+
+def read_jsonl(spark: SparkSession, path: str, dialect: str = "native", language: str | None = None, mode: str = "permissive", limit: int | None = None, seed: int = 0) -> DataFrame:
+    """One dialect's records; limit takes the first rows in the order of a seeded hash of the whole row."""
     raw = spark.read.schema(TOKEN_DIALECT if dialect == "token" else NATIVE_DIALECT).json(path)
     rows = checked(_unified(raw, dialect), reject_reason(F.col("tokens"), F.col("labels")), mode)
     rows = rows if language is None else rows.where(F.col("language") == language)
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    return rows.withColumn("_order", F.sha2(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})), 256)).orderBy("_order").limit(limit).drop("_order")
 
 
 def read_span_parquet(spark: SparkSession, path: str, text: str = "unmasked_text", spans: str = "span_labels") -> DataFrame:
@@ -101,7 +165,7 @@ def publish(rows: DataFrame, path: str) -> bool:
         if content_hash(old) != content_hash(rows):
             raise ValueError(f"{path} holds other rows")
         return False
-    staging = f"{path.rstrip('/')}.staging"
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"  # a failed attempt doesn't stand in a retry's way
     write_jsonl(rows, staging)
     if not fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), jpath):
         raise OSError(f"could not publish {path}")
@@ -111,9 +175,9 @@ def publish(rows: DataFrame, path: str) -> bool:
 def content_hash(rows: DataFrame) -> str:
     """A hash of a table's rows whatever their order."""
     line = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
-    low = F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")
-    n, total = rows.select(low.alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).first()
-    return hashlib.sha256(f"{n}:{total}".encode()).hexdigest()
+    parts = [F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)").alias(f"h{i}") for i in range(8)]  # all 256 bits, summed in eight parts
+    got = rows.select(*parts).agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"h{i}"), F.lit(0)) for i in range(8)]).first()
+    return hashlib.sha256(":".join(map(str, got)).encode()).hexdigest()
 
 
 def options(*layers: dict, defaults: dict | None = None) -> dict:

@@ -132,6 +132,6 @@ def test_schedule_and_report(spark):
 
 
 def test_slots_and_names(spark):
-    d = spark.createDataFrame([("a {X} Ada Bo {Y}",), ("end. Ada goes",), ("dott. Rossi said",), ("привет",)], "t string")
+    d = spark.createDataFrame([("a {X} Ada Bo {Y}",), ("end. Ada goes",), ("Dott Rossi said",), ("привет",)], "t string")
     r = d.select(text.slots(F.col("t")).alias("s"), F.size(text.stray_names(F.col("t"))).alias("n"), text.non_latin(F.col("t")).alias("l"), text.glued(F.lit("x[CITY_1]")).alias("g")).collect()
     assert [x.s for x in r][0] == ["X", "Y"] and [x.n for x in r] == [1, 0, 1, 0] and r[3].l == "п" and r[0].g
