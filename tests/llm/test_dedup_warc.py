@@ -69,7 +69,7 @@ def test_archives_read_back_through_the_index(spark, tmp_path):
         first = min(q for q, _, x in PAGES if (x or "") == (h or ""))
         want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if p == first else "revisit", None if p == first else first))
     assert sorted(map(tuple, warc.read_records(spark, index).collect()), key=str) == sorted(want, key=str)
-    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*/part-*"))
     assert raw.count(b"WARC-Type: response") == 5 and raw.count(b"WARC-Type: revisit") == 2
     hits = warc.lookup(spark, index, "http://example.com/x")
     assert [(h["page_id"], h["record_type"], h["payload"]) for h in hits] == [(2, "response", "<p>é</p>".encode()), (8, "response", b"other"), (8, "response", b"other")]
@@ -97,3 +97,39 @@ def test_blocks_are_sorted_and_searched(spark, tmp_path):
 def test_url_keys():
     assert warc.url_key("https://Blog.Example.com:8080/p?q=1#f") == "com,example,blog:8080)/p?q=1"
     assert warc.url_key("no url") == "no url" and warc.url_key("") == ""
+
+
+def test_files_are_bounded_and_ranges_read_little(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"http://s{i % 5}.example.org/{i}", "".join(rng.choice("abcdefghij") for _ in range(4000))) for i in range(120)]
+    rows.append((500, "http://big.example.org/", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))))
+    monkeypatch.setattr(warc, "_render", _bounded(20_000))
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    files = list((tmp_path / "w").glob("*/part-*"))
+    assert len(files) > 10 and sum(f.stat().st_size > 25_000 for f in files) <= 1
+    index = warc.build_index(spark, path, block_lines=10)
+    assert {r.page_id for r in warc.read_records(spark, index).collect()} == {r[0] for r in rows}
+    ((file, offset, length),) = warc.find(index, rows[7][1])
+    one = warc.Ranges(file)
+    (got,) = warc.read_ranges(one, [(offset, length)])
+    assert one.read_bytes == length < 4000 and warc.parse(got)[5].decode() == rows[7][2]
+    assert warc.driver_range(spark, file, offset, length) == got
+    members = [(o, n) for _, o, n in warc._members(warc.Ranges(file))]
+    monkeypatch.setattr(warc, "READ_BYTES", 700)  # members over many reads
+    assert [(o, n) for _, o, n in warc._members(warc.Ranges(file))] == members and (offset, length) in members
+    assert list(warc.read_ranges(warc.Ranges(file), members[:3])) == [warc.Ranges(file).read(o, n) for o, n in members[:3]]
+    monkeypatch.setattr(warc, "opens", lambda path: False)  # a store that only Spark reads
+    assert {r.page_id for r in warc.read_records(spark, warc.build_index(spark, path)).collect()} == {r[0] for r in rows}
+
+
+def _bounded(size):
+    def run(batches):
+        from maskwright.llm import warc
+
+        warc.FILE_BYTES = size
+        yield from warc._render(batches)
+
+    return run
