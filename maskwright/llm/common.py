@@ -15,10 +15,12 @@ _SCRATCH: list[tuple[object, str]] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder named in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is set.
+    Only where that setting is missing on a local master (tests on one machine) a temporary folder is set; on a cluster its lack is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/maskwright/{name}-{uuid.uuid4().hex[:12]}"

@@ -51,35 +51,37 @@ def _all(h: np.ndarray) -> np.ndarray:
     return (h % np.uint32(BUCKETS - 1)).astype(np.int64) + 1
 
 
-def _pooled(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The rectified maximum of each filter for each text; ids has _PAD zeros after each text and starts where each begins."""
+def _pooled(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The rectified maximum of each filter over the places from each text's start to its end; ids has _PAD zeros after each text."""
     g = table[ids[:, 0]]
     g += table[ids[:, 1]]
     g += table[ids[:, 2]]
     n, at, out = ids.shape[0] - _PAD, 0, []
+    bounds = np.stack([starts, ends], 1).ravel()  # of the stretches, every second one is a text's; the others reach into its neighbour
     for i, w in enumerate(WIDTHS):
         z = g[:n, at]
         for j in range(1, w):
             z = z + g[j : n + j, at + j]
-        out.append(np.maximum(np.maximum.reduceat(z, starts, axis=0) + bias[i], 0))
+        out.append(np.maximum(np.maximum.reduceat(z, bounds, axis=0)[::2] + bias[i], 0))
         at += w
     return np.concatenate(out, 1)
 
 
-def _lay(texts: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lay(texts: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all words, and where each text begins and ends; a text without words has one place."""
     sizes = np.array([t.size // 3 + _PAD for t in texts])
     starts = np.cumsum(sizes) - sizes
     ids = np.zeros((sizes.sum() + _PAD, 3), np.int64)
     for s, t in zip(starts, texts, strict=True):
         ids[s : s + t.size // 3] = _buckets(t, known)
-    return ids, starts
+    return ids, starts, starts + np.array([max(1, t.size // 3) for t in texts])
 
 
 def logits(texts: list[np.ndarray], m: Model) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    ids, starts = _lay(texts, m.known)
-    return _pooled(ids, starts, m.table, m.bias) @ m.out[:-1] + m.out[-1] + m.shift
+    ids, starts, ends = _lay(texts, m.known)
+    return _pooled(ids, starts, ends, m.table, m.bias) @ m.out[:-1] + m.out[-1] + m.shift
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray, prior: np.ndarray) -> float:

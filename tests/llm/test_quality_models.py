@@ -189,3 +189,56 @@ def test_scores_ignore_language_source_and_id(spark):
         m = module.fit(docs, labels)
         score = lambda d: {r.doc_id % 7000: r.score for r in module.score(d, m).collect()}  # noqa: B023, E731
         assert score(docs) == score(other)
+
+
+def test_scores_equal_plain_loops():
+    import re
+    from zlib import crc32
+
+    rng = np.random.default_rng(2)
+    texts = ["", "one", "Some words, some MORE words!! and (marks).", "a a a a", "x y z " * 50]
+    weights = rng.normal(size=1 << quality_classifier.BITS).astype(np.float32)
+    model = quality_classifier.Model(weights, 0.3)
+    for t, got in zip(texts, quality_classifier.scores(texts, model), strict=True):
+        h = [crc32(w.encode()) for x in t.split() for w in re.findall(r"\w+|[^\w\s]+", x)]
+        keys = h + [0 if a == b else (a * 0x9E3779B97F4A7C15 + b + 1) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+        z = 0.3
+        for k in keys:
+            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+                k = (k ^ k >> shift) * factor % 2**64
+            k ^= k >> 33
+            z += float(weights[k % (1 << quality_classifier.BITS)]) * quality_classifier.SCALE / len(keys)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+    spans = sum(toxicity.WIDTHS)
+    known = rng.random(toxicity.BUCKETS) < 0.7
+    table = rng.normal(size=(toxicity.BUCKETS, spans, toxicity.FILTERS)).astype(np.float32)
+    table[0] = 0
+    m = toxicity.Model(table, rng.normal(size=(len(toxicity.WIDTHS), toxicity.FILTERS)).astype(np.float32), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS + 1), 0.2, known)
+    hashed = toxicity.tokens("words")
+    for t, got in zip(texts, toxicity.logits([hashed(t) for t in texts], m), strict=True):
+        words = [w for x in t.split() for w in re.findall(r"\w+", x.lower())]
+        rows = []
+        for w in words:
+            b = [crc32(x.encode()) % (toxicity.BUCKETS - 1) + 1 for x in (w, "5" + w[:5], "4" + w[:4])]
+            rows.append(sum(table[i if known[i] else 0] for i in b))
+        rows += [table[0] * 3] * toxicity.WIDTHS[-1]  # behind a text stands nothing
+        at, z, k = 0, m.out[-1] + 0.2, 0
+        for i, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                tops = [sum(rows[p + j][at + j][f] for j in range(width)) for p in range(max(1, len(words)))]
+                z += max(0.0, max(tops) + m.bias[i][f]) * m.out[k]
+                k += 1
+            at += width
+        assert abs(got - z) < 1e-3, t
+
+
+def test_the_sample_is_bounded_in_bytes_and_fixed(spark):
+    from maskwright.llm.features import labelled_sample
+
+    docs = spark.createDataFrame([(i, "word " * 50, "en") for i in range(60)] + [(3, "other", "en")] * 5, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    whole = labelled_sample(docs, labels, "quality", 100, "marks")
+    small = labelled_sample(docs.repartition(7), labels, "quality", 100, "marks", most_bytes=1100)
+    assert len(whole[0]) > 30 and len(small[0]) in range(6, 10) and whole[3] == small[3]
+    again = labelled_sample(docs.repartition(3), labels, "quality", 100, "marks", most_bytes=1100)
+    assert [x.tolist() for x in small[0]] == [x.tolist() for x in again[0]]
