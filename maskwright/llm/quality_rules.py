@@ -37,7 +37,7 @@ from .encoders import cached
 
 ORDER = 5
 SPREAD, LEAST = 8.0, 1e-6
-KNOWN_WORDS = 450_000
+KNOWN_WORDS = 250_000
 BUCKETS = 64
 SLICE_ENTRIES = 6_000_000
 
@@ -242,7 +242,7 @@ def _count(batches):
             inside = np.repeat(own.rest_from[u], more) + np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
             part = distinct(np.concatenate([windows, own.rest[inside]]), np.concatenate([np.bincount(codes, minlength=symbols.shape[0])[pair], np.repeat(n, more)]), lang)
             held.setdefault(lang, []).append((part[0].astype(np.int32), part[1]))
-        if sum(x[1].size for parts in held.values() for x in parts) > 3_000_000:
+        if sum(x[1].size for parts in held.values() for x in parts) > 1_000_000:
             yield from flush()
     yield from flush()
     tidy()

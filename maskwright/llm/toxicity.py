@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 12, 8
 CUT = 0.7
-_PAD = max(WIDTHS) - 1
+_PAD = max(WIDTHS)  # a text without words is a place too
 
 
 @dataclass
