@@ -38,6 +38,13 @@ def materialise(df: DataFrame, name: str, own: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that no DataFrame needs any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
+
+
 def scratch_since():
     """A function that deletes the scratch tables made from now on. Only call it when no DataFrame that reads them is still needed."""
     start = len(_SCRATCH)
