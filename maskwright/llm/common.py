@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def materialise(df: DataFrame, name: str, own: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's garbage is collected; between the steps of a long job that is asked for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no DataFrame needs any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise, mix64, text_bytes, tidy
-from .suffix_dedup import _CUT, _PACKED, _block, _bucket, _by_document, _pack, _packed_table, _rows, _unpack, numbered  # noqa: F401
+from .common import chunks, collect_garbage, materialise, mix64, text_bytes, tidy
+from .suffix_dedup import _CUT, _PACKED, _block, _bucket, _by_document, _packed_table, _rows, _unpack, numbered
 
 LENGTH = 35
 ROWS_PER_BLOCK = 400_000
@@ -283,6 +283,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sent = rows.mapInArrow(_anchors(length, anchor_blocks, buckets), _PACKED)
     shared = sent.groupBy("kind", "key").applyInArrow(_settle(_ANCHOR, _places(buckets)), _PACKED)
     shared = materialise(shared.select("key", "data").groupBy("key").applyInArrow(_by_document(_AT, False), "_id long, data binary"), "shared-anchors")
+    collect_garbage(docs.sparkSession)
     near = rows.join(shared.hint("shuffle_hash"), "_id").mapInArrow(_windows(length, window_blocks, buckets), _PACKED)
     cuts = near.groupBy("kind", "key").applyInArrow(_settle(_WINDOW, _stretches(buckets, length)), _PACKED)
     return cuts.select("key", "data").groupBy("key").applyInArrow(_by_document(_CUT, True), "_id long, data binary")
@@ -303,6 +304,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise TypeError("doc_id must be an integer column")
     docs = numbered(docs)
     cuts = materialise(repeats(docs, length), "word-cuts")
+    collect_garbage(docs.sparkSession)
     out = docs.join(cuts.withColumnRenamed("data", "_cuts").hint("shuffle_hash"), "_id", "left").select("row", F.col("_text").alias("text"), F.col("_cuts"))
     schema = out.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
 
