@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import final_label
 from ..functions.text import collapse, let, slots
+from .scan import running
 
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTVWXYZ"
 
@@ -148,22 +149,16 @@ def stratified(rows: DataFrame, n: int, floors: dict[str, int], tags: str, strat
 
 
 def round_robin(rows: DataFrame, pool: DataFrame, order: str, pool_order: str, most: int = 100_000) -> DataFrame:
-    """Row i with entry i mod n of the pool, which may have `most` rows.
+    """Row i with entry i mod n of the pool, both numbered in order (ties in any order, fixed once). A pool of up to `most` rows is broadcast.
 
-    Rows are numbered in order without one task for all: counts of sorted parts are summed up on the driver, and each part numbers its own rows.
+    Both are numbered in two phases over sorted ranges, so neither stands in one task.
     """
     n = pool.count()
-    if not 0 < n <= most:
-        raise ValueError(f"a pool of {n} rows")
-    p = pool.withColumn("_i", F.row_number().over(Window.orderBy(pool_order)) - 1)
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    base, starts = 0, []
-    for part, size, least in sorted(map(tuple, parts.groupBy("_part").agg(F.count(F.lit(1)), F.min("_at")).collect())):  # a row for each partition
-        starts.append((part, base - least))
-        base += size
-    shift = rows.sparkSession.createDataFrame(starts, "_part int, _shift long")
-    r = parts.join(F.broadcast(shift), "_part").withColumn("_i", (F.col("_at") + F.col("_shift")) % n)
-    return r.join(F.broadcast(p), "_i").drop("_i", "_part", "_at", "_shift")
+    if not n:
+        raise ValueError("an empty pool")
+    p = running(pool, [], [pool_order], "_i").withColumn("_i", F.col("_i") - 1)
+    r = running(rows, [], [order], "_i").withColumn("_i", (F.col("_i") - 1) % n)
+    return r.join(F.broadcast(p) if n <= most else p, "_i").drop("_i")
 
 
 # ------------------------------------------------------------ synthesis

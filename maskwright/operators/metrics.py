@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+from .scan import running
+
 KEY = ["doc_id", "type", "start", "end"]
 
 
@@ -159,14 +162,26 @@ def stress(gold: DataFrame, pred: DataFrame, docs: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """count, min, p05, median, mean, p95, max, population deviation and its ratio to the mean; nulls ignored, non-finite values an error."""
-    v = F.col(value)
-    v = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit("not a finite number")).cast("double")).otherwise(v)
-    x = rows.select(*by, v.alias("x"))
-    q = lambda p: F.percentile("x", p)
-    out = x.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("min"), q(0.05).alias("p05"), q(0.5).alias("median"), F.avg("x").alias("mean"), q(0.95).alias("p95"), F.max("x").alias("max"), F.stddev_pop("x").alias("stdev"))
+    q = quantiles(rows, value, list(by), [0.05, 0.5, 0.95]).select(*[F.col(b).alias(f"q_{b}") for b in by], "quantiles")
+    x = rows.select(*by, F.col(value).alias("x"))
+    out = x.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.stddev_pop("x").alias("stdev"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"q_{b}"))
+    at = lambda i, name: F.get("quantiles", F.lit(i)).alias(name)
+    out = out.join(q, same, "left").select(*by, "n", "min", at(0, "p05"), at(1, "median"), "mean", at(2, "p95"), "max", "stdev")
     return out.withColumn("cv", F.try_divide(F.col("stdev"), F.abs(F.col("mean"))))
 
 
+def length_report(rows: DataFrame, length: str, over: tuple[int, ...] = (128, 256, 512), probs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """One row: how many, the greatest, truncated percentiles (p50, ...) and the percentages over each threshold."""
+    names = [f"p{round(100 * p)}" for p in probs]
+    q = quantiles(rows, length, [], list(probs)).select(*[F.floor(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(names)])
+    share = lambda t: F.round(100.0 * F.avg((F.col(length) > t).cast("double")), 6)
+    t = rows.agg(F.count(length).alias("n"), F.max(length).alias("longest"), *[share(t).alias(f"over_{t}") for t in over])
+    return t.join(q, F.lit(True), "left")  # one row each
+
+
 def deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """Change of f1 and recall by type; a missing side counts as 0."""
     a = before.select("type", F.col("f1").alias("f1_before"), F.col("recall").alias("recall_before"))
@@ -195,9 +210,13 @@ def regression_report(per_variant: DataFrame, failures: DataFrame, enabled: bool
     return out.withColumn("passed", F.lit(enabled) & F.col("consistent") & F.col("complete") & (F.col("n_failures") == 0))
 
 
-def cumulative(rows: DataFrame, ts: str, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cumulative", F.count(F.lit(1)).over(w))
+def cumulative(rows: DataFrame, ts: str, *by: str, until: Column | None = None) -> DataFrame:
+    """rows with how many of their key there are up to them. until: each key whose last point is earlier gets one more point there, with its last count (other columns null)."""
+    out = running(rows, list(by), [ts], "cumulative")
+    if until is None:
+        return out
+    last = rows.groupBy(*by).agg(F.max(ts).alias(ts), F.count(F.lit(1)).alias("cumulative")).where(F.col(ts) < until)
+    return out.unionByName(last.withColumn(ts, until), allowMissingColumns=True)
 
 
 def gate_report(golden: dict[str, DataFrame], candidate: dict[str, DataFrame], limits: dict[str, float | dict[str, float]]) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unfolded
 from ..functions.text import collapse, let
 from .detect import SPANS, detect
 from .fuse import THRESHOLD, merge
@@ -187,5 +188,5 @@ def residual(text: Column, mapping: Column) -> Column:
 
 def dictionary_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The dictionary as a table: key, ph, label, n, value."""
-    one = docs.select(key, F.inline("entities"))
+    one = unfolded(docs, "entities", key)
     return one.groupBy(key, "ph", "label", "n").agg(F.min_by("value", "start").alias("value"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unfolded
 from ..functions.text import slots
-from ..operators import dataset
+from ..operators import dataset, metrics
+from ..operators.quantiles import quantiles
 from ..sources.records import literal_spans
 from .registry import query, table
 
@@ -182,7 +184,7 @@ def slot_scan(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", slots(F.concat(F.lit("{NAME} x {CITY}"), "c_name")).alias("s")).select("c_custkey", F.size("s").alias("n_slots"), F.get("s", F.lit(0)).alias("first"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 40 AS item_id FROM orders")
+@query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark) SELECT o_orderkey, item_id FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % (SELECT count(*) FROM benchmark) AS i FROM orders) JOIN p USING (i)")
 def round_robin(spark, sf_dir):
     return dataset.round_robin(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "benchmark").select("item_id"), "o_orderkey", "item_id")
 
@@ -200,13 +202,23 @@ def hard_negatives(spark, sf_dir):
 @query('SELECT c_custkey, 0 AS start, CAST(length(c_name) AS INT) AS "end", \'GIVENNAME\' AS label FROM customer')
 def literal_decode(spark, sf_dir):
     lit = F.concat(F.lit("[[0, "), F.length("c_name").cast("string"), F.lit(", 'GIVENNAME_1']]"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(literal_spans(lit)))
+    return unfolded(table(spark, sf_dir, "customer"), literal_spans(lit), "c_custkey")
 
 
-@query("SELECT count(*) AS n_docs, round(100.0 * avg(CASE WHEN n_chars > 512 THEN 1.0 ELSE 0 END), 6) AS over_512, CAST(quantile_cont(CAST(n_chars AS DOUBLE), 0.9) AS BIGINT) AS p90 FROM documents".replace("CAST(quantile_cont(CAST(n_chars AS DOUBLE), 0.9) AS BIGINT)", "CAST(floor(quantile_cont(CAST(n_chars AS DOUBLE), 0.9)) AS BIGINT)"))
+_P = ", ".join(f"CAST(floor(quantile_cont(CAST(n_chars AS DOUBLE), {p})) AS BIGINT) AS p{round(100 * p)}" for p in (0.5, 0.9, 0.95, 0.99))
+_OVER = ", ".join(f"round(100.0 * avg(CASE WHEN n_chars > {t} THEN 1.0 ELSE 0 END), 6) AS over_{t}" for t in (128, 256, 512))
+
+
+@query(f"SELECT count(n_chars) AS n, max(n_chars) AS longest, {_OVER}, {_P} FROM documents")
 def length_shares(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.count(F.lit(1)).alias("n_docs"), F.round(100.0 * F.avg((F.col("n_chars") > 512).cast("double")), 6).alias("over_512"), F.floor(F.percentile("n_chars", 0.9)).alias("p90"))
+    return metrics.length_report(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("SELECT l_suppkey, l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem GROUP BY ALL")
+def price_quantiles(spark, sf_dir):
+    """Exact quantiles of many groups at once."""
+    q = quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey", "l_returnflag"], [0.1, 0.5, 0.999])
+    return q.select("l_suppkey", "l_returnflag", "n", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(n) for i, n in enumerate(("p10", "p50", "p999"))])
 
 
 @query("""SELECT ts_start AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS ts_start, event_type FROM events) GROUP BY 1, 2""")

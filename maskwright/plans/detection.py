@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
+from ..functions.arrays import unfolded
 from ..operators import detect, fuse, rewrite
 from .registry import query, table
 
@@ -226,13 +227,13 @@ o AS (SELECT doc_id, k, v[k * 100 + 1:least(k * 100 + 120, n)] AS c, g, v FROM s
 SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(list_sum(list_transform(g[1:k * 100 + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:k * 100], lambda x: length(x))), 0) AS INT) AS start, CAST(len(c) AS INT) AS n_words FROM o""")
 def chunk_words(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.inline(text.word_chunks(F.col("text")))).select("doc_id", "chunk_no", "start", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("n_words"))
+    return unfolded(d, text.word_chunks(F.col("text")), "doc_id").select("doc_id", "chunk_no", "start", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("n_words"))
 
 
 @query(r"""WITH w AS (SELECT regexp_extract_all(text, '\S+') AS v FROM documents), p AS (SELECT v[i] AS a, v[i + 1] AS b FROM (SELECT v, unnest(range(1, len(v))) AS i FROM w))
 SELECT a, b, count(*) AS n FROM p GROUP BY a, b""")
 def word_bigrams(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.inline(text.word_bigrams(F.col("text")))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return unfolded(table(spark, sf_dir, "documents"), text.word_bigrams(F.col("text"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS v FROM documents)
@@ -269,7 +270,7 @@ def _analysed(spark, sf_dir, **more):
 
 
 def _entities(spark, sf_dir, **more):
-    return _analysed(spark, sf_dir, **more).select("doc_id", F.inline("entities"))
+    return unfolded(_analysed(spark, sf_dir, **more), "entities", "doc_id")
 
 
 @query(f"WITH {_ENTITIES} SELECT doc_id, label, start, stop AS \"end\" FROM ent")
@@ -286,7 +287,7 @@ def merge_coalesce(spark, sf_dir):
     e = F.expr("CAST(floor(l_partkey % 60 + l_quantity / 5 + 1 + 0.5) AS INT)")
     one = F.struct(F.lit("X").alias("label"), s.alias("start"), e.alias("end"), F.lit(0.9).alias("score"), F.lit(False).alias("validated"), F.lit("model").alias("source"), F.lit(0).alias("ord"))
     d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), one.alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("c"))
-    return d.select("doc_id", F.inline(fuse.coalesced(F.col("c")))).select("doc_id", "start", "end")
+    return unfolded(d, fuse.coalesced(F.col("c")), "doc_id").select("doc_id", "start", "end")
 
 
 @query(f"WITH {_ENTITIES} SELECT doc_id, start, ph, n FROM ph")

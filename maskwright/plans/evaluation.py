@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unfolded
 from ..operators import bio, metrics
 from .registry import query, table
 
@@ -182,6 +183,17 @@ def cumulative_events(spark, sf_dir):
     return metrics.cumulative(e, "at", "event_type").select("event_id", "event_type", "cumulative")
 
 
+@query("""WITH e AS (SELECT c_nationkey AS nation, o_orderdate AS day, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT nation, o_orderkey, day, row_number() OVER (PARTITION BY nation ORDER BY day, o_orderkey) AS cumulative FROM e
+UNION ALL SELECT nation, NULL, CAST('2001-07-31' AS DATE), count(*) FROM e GROUP BY nation HAVING max(day) < CAST('2001-07-31' AS DATE)""")
+def cumulative_extended(spark, sf_dir):
+    """Orders of each nation so far, drawn on to one last day."""
+    e = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = e.select(F.col("c_nationkey").alias("nation"), "o_orderkey", F.struct(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("k")).alias("at"))
+    until = F.struct(F.lit("2001-07-31").cast("date").alias("day"), F.lit(None).cast("long").alias("k"))
+    return metrics.cumulative(e, "at", "nation", until=until).select("nation", "o_orderkey", "at.day", "cumulative")
+
+
 # ------------------------------------------------------------ token labels
 
 # Labels of a document from its words' lengths: runs of one raw type, some dropped.
@@ -204,13 +216,13 @@ def normalize_labels(spark, sf_dir):
 
 @query(f'WITH {_WORDS}{_TYPED}, s AS (SELECT *, sum(CASE WHEN label LIKE \'B-%\' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM n) SELECT doc_id, type, CAST(min(pos) - 1 AS INT) AS start, CAST(max(pos) AS INT) AS "end" FROM s WHERE type IS NOT NULL GROUP BY doc_id, type, no')
 def bio_to_spans(spark, sf_dir):
-    return _labels(spark, sf_dir).select("doc_id", F.inline(bio.bio_to_spans(F.col("labels"))))
+    return unfolded(_labels(spark, sf_dir), bio.bio_to_spans(F.col("labels")), "doc_id")
 
 
 @query(f'WITH {_WORDS} SELECT doc_id, CAST(pos AS INT) AS pos, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS "end" FROM w')
 def canonical_offsets(spark, sf_dir):
-    d = _labels(spark, sf_dir).select("doc_id", F.posexplode(bio.canonical_offsets(F.col("words"))).alias("pos", "o"))
-    return d.select("doc_id", (F.col("pos") + 1).alias("pos"), "o.start", "o.end")
+    d = unfolded(_labels(spark, sf_dir), bio.canonical_offsets(F.col("words")), "doc_id", pos="pos")
+    return d.withColumn("pos", F.col("pos") + 1)
 
 
 @query(f"""WITH {_WORDS}, o AS (SELECT doc_id, pos, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, length(w) AS n FROM w),
@@ -225,7 +237,7 @@ def span_to_bio(spark, sf_dir):
 @query(f'WITH {_WORDS}, o AS (SELECT doc_id, pos, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, length(w) AS n FROM w) SELECT doc_id, count(*) AS n_inside FROM o WHERE s >= doc_id % 30 AND s + n <= doc_id % 30 + 40 GROUP BY doc_id')
 def token_entity_range(spark, sf_dir):
     """Tokens inside entities, as a join on the document with a range condition."""
-    t = _labels(spark, sf_dir).select("doc_id", F.inline(bio.canonical_offsets(F.col("words"))))
+    t = unfolded(_labels(spark, sf_dir), bio.canonical_offsets(F.col("words")), "doc_id")
     e = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(doc_id % 30 AS INT) AS a", "CAST(doc_id % 30 + 40 AS INT) AS b")
     return t.join(e, "doc_id").where("start >= a AND end <= b").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_inside"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.arrays import unfolded
 from ..operators import bio, dataset, fuse, metrics, rewrite, selection
 from ..sources import records
 from .evaluation import _BASE, _O, _TYPED, _WORDS, _gold, _labels, _pred
@@ -162,7 +163,7 @@ def simple_char_spans(spark, sf_dir):
 
 @query("SELECT o_orderkey, i AS \"window\", CAST(i * 24 AS INT) AS first, CAST(least(i * 24 + 32, o_custkey % 200) AS INT) AS \"end\" FROM (SELECT o_orderkey, o_custkey, CAST(unnest(range(0, CAST(greatest(0, ceil((o_custkey % 200 - 32) / 24.0)) AS BIGINT) + 1)) AS INT) AS i FROM orders WHERE o_custkey % 200 > 0)")
 def subword_windows(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(bio.subword_windows((F.col("o_custkey") % 200).cast("int"), 32, 8)))
+    return unfolded(table(spark, sf_dir, "orders"), bio.subword_windows((F.col("o_custkey") % 200).cast("int"), 32, 8), "o_orderkey")
 
 
 _DIGEST = "CAST('0x' || substr(sha256('0:' || doc_id), 1, 8) AS BIGINT) % 100"
@@ -223,7 +224,7 @@ def merge_trim_extend(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("c"))
     t = F.lit(" abcdefg  " * 8)
     grown = fuse.extended(fuse.trimmed(F.array_sort("c", lambda a, b: a["start"] - b["start"]), t), t)
-    return d.select("doc_id", F.inline(grown)).select("doc_id", "start", "end")
+    return unfolded(d, grown, "doc_id").select("doc_id", "start", "end")
 
 
 @query("SELECT c_custkey, 'To ' || c_name || 'and B C ' || '.' AS restored FROM customer")
