@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unfolded
 from ..functions.taxonomy import final_label
-from ..functions.text import collapse, let, slots
+from ..functions.text import WORD, bare_word, collapse, let, name_pairs, slots
 from .scan import running
 
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTVWXYZ"
@@ -188,12 +189,28 @@ def filled(template: Column, values: Column) -> Column:
     return F.struct(text.alias("text"), F.transform(names, entity).alias("entities"))
 
 
-def template_error(template: Column, allowed: list[str]) -> Column:
-    """Why a template can't be used, or null."""
+def common_words(corpus: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
+    """word: the words that stand in lower case in `least` texts of a corpus at least. A capitalised word that also occurs in lower case is no name by its form."""
+    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
+    lower = lambda w: F.array_distinct(F.transform(F.filter(F.transform(w, bare_word), lambda x: x.rlike(r"^\p{Ll}")), F.lower))
+    seen = corpus.select(F.explode_outer(let(words, lower)).alias("word")).where("word is not null")
+    return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+
+
+def stray_name_rows(templates: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
+    """key, a, b: the names in templates, by anti-joins with a table of common words of any size."""
+    pairs = unfolded(templates, name_pairs(F.col(text)), key)
+    for side in ("second", "first"):
+        pairs = pairs.join(common, F.lower(side) == F.col("word"), "left_anti")
+    return pairs.select(key, "a", "b")
+
+
+def template_error(template: Column, allowed: list[str], common: tuple[str, ...] | Column = ()) -> Column:
+    """Why a template can't be used, or null. common: words in lower case that are no names when capitalised."""
     from ..functions.text import non_latin, stray_names
 
     unknown = F.array_except(slots(template), F.array(*map(F.lit, allowed)))
-    return F.coalesce(F.when(F.size(slots(template)) == 0, F.lit("no slots")), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown slots: "), F.array_join(unknown, ","))), F.when(non_latin(template).isNotNull(), F.lit("letters of another script")), F.when(F.size(stray_names(template)) > 0, F.lit("a name in the text")))
+    return F.coalesce(F.when(F.size(slots(template)) == 0, F.lit("no slots")), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown slots: "), F.array_join(unknown, ","))), F.when(non_latin(template).isNotNull(), F.lit("letters of another script")), F.when(F.size(stray_names(template, common)) > 0, F.lit("a name in the text")))
 
 
 def symbols(key: Column, seed: int, alphabet: str, n: int) -> Column:

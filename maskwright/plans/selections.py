@@ -213,7 +213,23 @@ def stray_name_scan(spark, sf_dir):
     """One name in every third text; court names, titles that end a sentence, capitals and slots are none."""
     k = F.col("c_custkey")
     t = F.concat(F.lit("Il Tribunale Ordinario e il Codice Civile; avanti al Dott. {FULLNAME} ROSSI, "), F.when(k % 3 == 0, "parla Mario Verdi oggi.").when(k % 3 == 1, "parla Mario. Verdi oggi.").otherwise("parla l'avv oggi."))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.size(text.stray_names(t)).alias("n_stray"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.size(text.stray_names(t, ("il", "tribunale", "ordinario", "codice", "civile"))).alias("n_stray"))
+
+
+_TITLES = ", ".join(f"'{t}'" for t in text.TITLES)
+_WORD_SQL = text.WORD.replace("'", "''")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(v) AS w, unnest(range(len(v))) AS i FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '\{{\w+\}}', ' ', 'g'), '{_WORD_SQL}') AS v FROM documents)),
+b AS (SELECT doc_id, i, w, regexp_replace(string_split(w, chr(39))[-1], '^\.+|\.+$', '', 'g') AS x FROM w),
+c AS (SELECT DISTINCT lower(x) AS x FROM b WHERE regexp_matches(x, '^\p{{Ll}}')),
+f AS (SELECT *, regexp_matches(x, '^\p{{Lu}}') AND regexp_matches(x, '\p{{Ll}}') AND x NOT IN ({", ".join(f"'{t.capitalize()}'" for t in text.TITLES)}) AS named FROM b),
+p AS (SELECT doc_id, w AS a, named AS na, x AS xa, lead(w) OVER o AS b, lead(named) OVER o AS nb, lead(x) OVER o AS xb FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, a, b FROM p WHERE nb AND NOT regexp_matches(a, '[.:;!?]$') AND lower(xb) NOT IN (SELECT x FROM c) AND (na AND lower(xa) NOT IN (SELECT x FROM c) OR NOT na AND regexp_replace(a, '\.+$', '') IN ({_TITLES}))""")
+def stray_names_found(spark, sf_dir):
+    """Names by form in the documents; words that also stand in lower case somewhere in them are common."""
+    d = table(spark, sf_dir, "documents")
+    return dataset.stray_name_rows(d, "doc_id", "text", dataset.common_words(d))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS o, CAST((l_linenumber - 1) * 10 + l_partkey % 3 AS INT) AS a, CAST((l_linenumber - 1) * 10 + 5 + l_suppkey % 4 AS INT) AS b FROM lineitem)

@@ -67,8 +67,11 @@ def test_templates(spark):
     r = spark.range(1).select(text.cleaned_template(F.lit(t)).alias("t")).first().t
     assert r == "Tribunale Ordinario, Codice Civile.\nIl Sig {FULLNAME} paga {AMOUNT}"
     cases = {"parla Mario Verdi": 1, "Sig Bianchi": 1, "Sig. Bianchi": 0, "MARIO Verdi": 0, "l'Avv Rossi": 0, "Gazzetta Ufficiale": 0, "Mario. Verdi": 0, "{A} Mario {B} Verdi": 1}
-    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", F.size(text.stray_names(F.col("t"))).alias("n")).collect()
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", F.size(text.stray_names(F.col("t"), ("gazzetta", "ufficiale"))).alias("n")).collect()
     assert {x.t: x.n for x in got} == cases
+    corpus = spark.createDataFrame([("la gazzetta ufficiale dell'avvocato",), ("Un Tribunale; MARIO verdi?",), (None,)], "text string")
+    rows = spark.createDataFrame([(1, "Gazzetta Ufficiale, Mario Rossi"), (2, "l'Avvocato Tribunale"), (3, "Bruno Verdi"), (4, None)], "id int, t string")
+    assert sorted(map(tuple, dataset.stray_name_rows(rows, "id", "t", dataset.common_words(corpus)).collect())) == [(1, "Mario", "Rossi")]
     error = spark.createDataFrame([("no slots here",), ("a {FULLNAME} b",), ("a {OTHER} b",)], "t string").select(dataset.template_error(F.col("t"), ["FULLNAME"])).collect()
     assert [e[0] for e in error] == ["no slots", None, "unknown slots: OTHER"]
 
