@@ -15,7 +15,8 @@ def span_to_bio(tokens: Column, entities: Column, first_contained: bool = False)
     """A label for each token (start, end, ...) from entities (label, start, end).
 
     A token is labelled if it lies inside an entity; B- where it starts with it, else I-. With first_contained the
-    first token inside an entity has B- even if it starts later.
+    first token inside an entity has B- even if it starts later. Compares each token with each entity, without leaving the JVM: for short
+    lists; sweep.label_tokens() does the same for long ones.
     """
 
     def label(t, i):

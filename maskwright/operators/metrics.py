@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .quantiles import quantiles
 from .scan import running
+from .sweep import coverage  # noqa: F401  one of the metrics
 
 KEY = ["doc_id", "type", "start", "end"]
 
@@ -117,26 +118,6 @@ def gate(golden: DataFrame, candidate: DataFrame, limits: DataFrame) -> DataFram
     return j.where(failed).select("type", "metric", "kind", actual.alias("actual"), "limit")
 
 
-def _positions(spans: Column, text: Column) -> Column:
-    """Positions of letters and digits inside spans."""
-    each = F.flatten(F.transform(spans, lambda s: F.when(s["end"] > s["start"], F.sequence(s["start"], s["end"] - 1)).otherwise(F.array().cast("array<int>"))))
-    return F.filter(F.array_distinct(each), lambda i: F.substring(text, i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]"))
-
-
-def coverage(docs: DataFrame) -> DataFrame:
-    """Coverage of each document's sensitive characters. docs: doc_id, text, gold, pred (arrays of type, start, end)."""
-    g, p, t = F.col("gold"), F.col("pred"), F.col("text")
-    right = F.flatten(F.transform(g, lambda e: F.transform(F.filter(p, lambda x: (x["type"] == e["type"]) & (x["start"] < e["end"]) & (x["end"] > e["start"])), lambda x: F.struct(e["type"].alias("type"), F.greatest(e["start"], x["start"]).alias("start"), F.least(e["end"], x["end"]).alias("end")))))
-    full = lambda e: F.size(F.array_except(_positions(F.array(e), t), F.col("pos_pred"))) == 0
-    d = docs.withColumns({"pos_gold": _positions(g, t), "pos_pred": _positions(p, t), "pos_right": _positions(right, t)})
-    n = lambda c: F.size(c)
-    covered = F.array_intersect("pos_gold", "pos_pred")
-    return d.select(
-        "doc_id", n(F.col("pos_gold")).alias("sensitive"), n(covered).alias("covered"), n(F.array_except("pos_gold", "pos_pred")).alias("leaked"), n(F.col("pos_right")).alias("type_correct"),
-        (n(covered) - n(F.col("pos_right"))).alias("wrong_type"), n(F.col("pos_pred")).alias("predicted"), n(F.array_except("pos_pred", "pos_gold")).alias("collateral"), F.size(g).alias("entities"), F.size(F.filter(g, full)).alias("entities_full"),
-        (F.size(F.filter(g, full)) == F.size(g)).alias("document_full"))
-
-
 def coverage_total(per_document: DataFrame) -> DataFrame:
     names = ["sensitive", "covered", "leaked", "type_correct", "wrong_type", "predicted", "collateral", "entities", "entities_full"]
     t = per_document.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in names], F.count(F.lit(1)).alias("documents"), F.sum(F.col("document_full").cast("long")).alias("documents_full"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import unfolded
-from ..operators import bio, metrics
+from ..operators import bio, metrics, sweep
 from .registry import query, table
 
 # Spans made from order lines: three types; the prediction drops, shifts or relabels some.
@@ -231,7 +231,7 @@ SELECT doc_id, string_agg(CASE WHEN s >= a AND s + n <= b THEN CASE WHEN s = a T
 def span_to_bio(spark, sf_dir):
     d = _labels(spark, sf_dir).withColumn("tokens", bio.canonical_offsets(F.col("words")))
     d = d.withColumn("entities", F.expr("array(named_struct('label', 'CITY', 'start', CAST(doc_id % 30 AS INT), 'end', CAST(doc_id % 30 + 40 AS INT)))"))
-    return d.select("doc_id", F.array_join(bio.span_to_bio(F.col("tokens"), F.col("entities")), " ").alias("labels"))
+    return sweep.label_tokens(d, keep=["doc_id"]).select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
 @query(f'WITH {_WORDS}, o AS (SELECT doc_id, pos, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, length(w) AS n FROM w) SELECT doc_id, count(*) AS n_inside FROM o WHERE s >= doc_id % 30 AND s + n <= doc_id % 30 + 40 GROUP BY doc_id')
