@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.arrays import unfolded
-from ..operators import bio, dataset, fuse, metrics, rewrite, selection
+from ..operators import bio, dataset, fuse, metrics, rewrite, selection, values
 from ..sources import records
 from .evaluation import _BASE, _O, _TYPED, _WORDS, _gold, _labels, _pred
 from .registry import query, table
@@ -243,6 +243,18 @@ def merge_trim_extend(spark, sf_dir):
     return unfolded(d, grown, "doc_id").select("doc_id", "start", "end")
 
 
+@query(r"""WITH v AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS w FROM benchmark),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)
+SELECT doc_id, count(*) AS n, sum(length(w))::BIGINT AS chars, count(DISTINCT lower(w)) AS n_values FROM t WHERE lower(w) IN (SELECT w FROM v) GROUP BY doc_id""")
+def redact_dictionary(spark, sf_dir):
+    """All long words of the benchmark's items as a dictionary, redacted in the documents as whole words."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"))).alias("w"))
+    v = words.select(F.lower("w").alias("value")).distinct().select(F.col("value").alias("ph"), "value")
+    d = values.redact_values(table(spark, sf_dir, "documents").select("doc_id", "text"), v, mask="", breaks=False).where(F.size("found") > 0)
+    taken = F.length("text") - F.length("redacted")
+    return d.select("doc_id", F.size("found").cast("long").alias("n"), taken.cast("long").alias("chars"), F.size(F.array_distinct(F.transform("found", lambda s: s["ph"]))).cast("long").alias("n_values"))
+
+
 @query("SELECT c_custkey, 'To ' || c_name || 'and B C ' || '.' AS restored FROM customer")
 def restore_compat(spark, sf_dir):
     """Without brackets a name also takes the white space around it; inside brackets white space goes."""
