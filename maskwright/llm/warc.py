@@ -6,7 +6,7 @@ full payload's length, its digest and a reference, and no payload. Payloads belo
 are always responses. Each record is a gzip member of its own; members are laid end to end by Spark's own
 writer, whose row separator is set to an empty gzip member, so every file is a regular .warc.gz.
 
-A file ends behind the record with which it reaches FILE_BYTES, so its size is bounded by that and one record.
+A file ends behind the record with which it reaches `file_bytes`, so its size is bounded by that and one record.
 
 Index: lines `urlkey, page, file, offset, length` sorted by reversed-host URL key are cut into compressed
 blocks; a sparse directory keeps the first key of each block. A lookup finds its first block by the greatest first key below the
@@ -15,8 +15,8 @@ archives, to tasks: each opens a file and reads ranges, neighbours in one go. Fi
 don't know the store, a range is cut out of the file as Spark reads it. The index itself is made by one streaming pass over each file.
 
 Edge cases: a null html is an empty payload, a null url is an empty target; control characters of a URL are percent-encoded in
-headers; rows that repeat the smallest page_id of their class are all responses; other columns are
-ignored; an empty table makes empty archives, index and results.
+headers; rows that repeat the smallest page_id of their class are all responses; a null page_id is never the smallest: it revisits the class's smallest, and
+where a class has null page_ids only, all are responses; other columns are ignored; an empty table makes empty archives, index and results.
 """
 
 from __future__ import annotations
@@ -76,32 +76,36 @@ def _record(page, url, payload: bytes, size: int, sha1: str, first, first_url) -
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _render(batches):
-    from pyspark import TaskContext
+def _render(file_bytes: int):
+    def run(batches):
+        from pyspark import TaskContext
 
-    archive, size = TaskContext.get().partitionId() << 32, 0
-    for b in batches:
-        cols, records, archives = [b.column(i).to_pylist() for i in range(b.num_columns)], [], []
-        for row in zip(*cols, strict=True):
-            if size >= FILE_BYTES:
-                archive, size = archive + 1, 0
-            records.append(gzip.compress(_record(*row), 6, mtime=0))
-            archives.append(archive)
-            size += len(records[-1]) + len(SEPARATOR)
-        yield pa.record_batch([pa.array(records, pa.binary()), pa.array(archives, pa.int64())], ["record", "archive"])
+        archive, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            cols, records, archives = [b.column(i).to_pylist() for i in range(b.num_columns)], [], []
+            for row in zip(*cols, strict=True):
+                if size >= file_bytes:
+                    archive, size = archive + 1, 0
+                records.append(gzip.compress(_record(*row), 6, mtime=0))
+                archives.append(archive)
+                size += len(records[-1]) + len(SEPARATOR)
+            yield pa.record_batch([pa.array(records, pa.binary()), pa.array(archives, pa.int64())], ["record", "archive"])
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a folder of one file for each archive of about file_bytes (compressed): at 100 TB give some GB, so that there are not millions of them."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), text_or_empty("html").alias("payload"))
     base = base.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     first = base.where(F.col("size") >= revisit_from).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
     first = materialise(first.where("n > 1").drop("n"), "payload-classes")
     out = base.join(first, ["sha1", "size"], "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     payload = F.when(~again, F.encode("payload", "UTF-8"))  # what a revisit doesn't hold isn't sent to Python
     out = out.select("page_id", "url", payload, "size", "sha1", F.when(again, F.col("first")), F.col("first_url"))
     # bytes that needn't be UTF-8 pass through the text writer unchanged
-    members = out.mapInArrow(_render, "record binary, archive long").select(F.col("record").cast("string"), "archive")
+    members = out.mapInArrow(_render(file_bytes), "record binary, archive long").select(F.col("record").cast("string"), "archive")
     members.write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).partitionBy("archive").text(path)
 
 
@@ -377,7 +381,7 @@ h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x, min(page_i
 SELECT page_id, payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST((CAST('0x' || substr(x, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM h
 """

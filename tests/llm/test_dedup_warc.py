@@ -105,9 +105,8 @@ def test_files_are_bounded_and_ranges_read_little(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     rows = [(i, f"http://s{i % 5}.example.org/{i}", "".join(rng.choice("abcdefghij") for _ in range(4000))) for i in range(120)]
     rows.append((500, "http://big.example.org/", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))))
-    monkeypatch.setattr(warc, "_render", _bounded(20_000))
     path = str(tmp_path / "w")
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=20_000)
     files = list((tmp_path / "w").glob("*/part-*"))
     assert len(files) > 10 and sum(f.stat().st_size > 25_000 for f in files) <= 1
     index = warc.build_index(spark, path, block_lines=10)
@@ -125,11 +124,10 @@ def test_files_are_bounded_and_ranges_read_little(spark, tmp_path, monkeypatch):
     assert {r.page_id for r in warc.read_records(spark, warc.build_index(spark, path)).collect()} == {r[0] for r in rows}
 
 
-def _bounded(size):
-    def run(batches):
-        from maskwright.llm import warc
-
-        warc.FILE_BYTES = size
-        yield from warc._render(batches)
-
-    return run
+def test_null_page_ids(spark, tmp_path):
+    rows = [(5, "same"), (None, "same"), (None, "nowhere else"), (None, "nulls"), (None, "nulls"), (3, None), (None, "")]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(p, "http://e.org/", h) for p, h in rows], "page_id long, url string, html string"), path)
+    got = warc.read_records(spark, warc.build_index(spark, path)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == sorted(
+        [(5, 4, "response", None), (None, 4, "revisit", 5), (None, 12, "response", None), (None, 5, "response", None), (None, 5, "response", None), (3, 0, "response", None), (None, 0, "revisit", 3)], key=str)
