@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,14 +96,31 @@ def iban_it(bban22: Column) -> Column:
     return F.concat(F.lit("IT"), check, bban)
 
 
-# Latin letters with a mark, and what is left without it (the letters that the name pools and Latin-1 hold).
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠŽĀĂĄĆČĎĒĚĞĪĮŁŃŇŌŐŘŚŞŢŤŪŮŰŹŻ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYSZAAACCDEEGIILNNOORSSTTUUUZZ"
+@functools.cache
+def _decomposed() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters whose compatibility decomposition leaves one ASCII letter, those letters, and (character, letters) of the others."""
+    one, several = {}, []
+    for i in range(0x80, 0x10000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        left = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if c.isascii() and c.isalpha()).upper()
+        if len(left) == 1:
+            one[chr(i)] = left
+        elif left:
+            several.append((chr(i), left))
+    return "".join(one), "".join(one.values()), tuple(several)
 
 
 def letters_only(s: Column) -> Column:
-    """Upper-case ASCII letters of s; letters without a decomposition go."""
-    return F.regexp_replace(F.translate(F.upper(s), _MARKED.replace("Ł", ""), _PLAIN[: _MARKED.index("Ł")] + _PLAIN[_MARKED.index("Ł") + 1 :]), "[^A-Z]", "")
+    """Upper-case ASCII letters of s after compatibility decomposition (an accent goes, a ligature becomes its letters); letters without one go.
+
+    Characters beyond the basic plane go. Decomposing comes before upper case, so a sharp s goes as well.
+    """
+    marked, plain, several = _decomposed()
+    spelled = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    parts = F.transform(chars(s), lambda c: F.coalesce(F.try_element_at(spelled, c), c))
+    s = F.when(s.rlike("[" + "".join(c for c, _ in several) + "]"), F.array_join(parts, "")).otherwise(s)
+    return F.regexp_replace(F.upper(F.regexp_replace(F.translate(s, marked, plain), "[^A-Za-z]", "")), "[^A-Z]", "")
 
 
 def _three(s: Column, given: bool) -> Column:
@@ -111,12 +131,12 @@ def _three(s: Column, given: bool) -> Column:
     return F.when(F.length(cons) >= 4, F.concat(F.substring(cons, 1, 1), F.substring(cons, 3, 2))).otherwise(usual)
 
 
-def tax_code(given: Column, surname: Column, sex: Column, year: Column, month: Column, day: Column, place: Column, omocode: int = 0) -> Column:
+def tax_code(given: Column, surname: Column, sex: Column, year: Column, month: Column, day: Column, place: Column, omocode: int | Column = 0) -> Column:
     """A valid tax code; place is the cadastral code, omocode the number of digits written as letters, from the right."""
     dd = F.when(sex == "F", day + 40).otherwise(day)
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     body = F.concat(_three(letters_only(surname), False), _three(letters_only(given), True), pad(year % 100), F.substring(F.lit(MONTH_LETTERS), month, F.lit(1)), pad(dd), place)
-    if omocode:
-        places = [at - 1 for at in OMOCODE_PLACES[:omocode]]
-        body = F.array_join(F.transform(chars(body), lambda c, i: F.when(i.isin(*places), F.translate(c, "0123456789", OMOCODE_LETTERS)).otherwise(c)), "")
+    if isinstance(omocode, Column) or omocode:
+        rank = F.array(*[F.lit(OMOCODE_PLACES.index(i + 1) + 1 if i + 1 in OMOCODE_PLACES else 99) for i in range(15)])
+        body = F.array_join(F.transform(chars(body), lambda c, i: F.when(F.get(rank, i) <= omocode, F.translate(c, "0123456789", OMOCODE_LETTERS)).otherwise(c)), "")
     return F.concat(body, _check_letter(body))
