@@ -40,8 +40,9 @@ def materialise(df: DataFrame, name: str, own: bool = True) -> DataFrame:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver's garbage is collected; between the steps of a long job that is asked for."""
+    """Shuffle files of finished steps, and the driver's memory of their plans, go when its garbage is collected; between the steps of a long job that is asked for."""
     gc.collect()
+    tidy()
     spark.sparkContext._jvm.System.gc()
 
 

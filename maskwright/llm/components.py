@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import collect_garbage, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = e.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
         now = _state(e)
+        collect_garbage(edges.sparkSession)
         if now == before:
             break
         before = now

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix64, text_bytes, tidy
+from .common import chunks, collect_garbage, materialise, mix64, text_bytes, tidy
 from .components import components
 from .encoders import Pieces, cached
 from .suffix_dedup import _bucket, numbered
@@ -593,6 +593,7 @@ def join(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     reps = materialise(every.dropDuplicates(["id"]).join(classes.select("id"), "id", "left_semi"), "set-representatives")
 
     links = compare(materialise(first_pairs(reps), "first-pairs"), docs)
+    collect_garbage(spark)
     comps = components(links)
     apart = F.col("id") if exact else F.coalesce("component", "id")  # each set a component of its own: no pair is skipped
     known = materialise(reps.join(comps, "id", "left").select("id", "n", apart.alias("component"), "bits"), "signatures")
@@ -609,9 +610,11 @@ def join(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.groupBy("bucket").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_pair_seconds, "a long, b long")
     signed = mixed.where("kind = 1").select("key", "data").groupBy("key").cogroup(by_bucket.groupBy("bucket")).applyInArrow(_with_signature(blocks), _SIGNED)
     more = materialise(signed.groupBy("block").applyInArrow(_tree, "a long, b long").unionByName(pairs).distinct(), "tree-pairs")
+    collect_garbage(spark)
     links = links.unionByName(compare(more, docs))
     if exact:
         links = materialise(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "all-links")
+    collect_garbage(spark)
     comps = components(links)
     extra = ["n_links"] if exact else []
     if exact:
