@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import unfolded
 from ..functions.taxonomy import final_label
-from ..functions.text import WORD, bare_word, collapse, let, name_pairs, slots
+from ..functions.text import WORD, bare_word, collapse, find_all, let, name_pairs, slots
+from ..sources.scratch import written
 from .scan import running
 
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTVWXYZ"
@@ -165,14 +166,87 @@ def round_robin(rows: DataFrame, pool: DataFrame, order: str, pool_order: str, m
 # ------------------------------------------------------------ synthesis
 
 def weighted_choice(rows: DataFrame, choices: DataFrame, salt: str, key: str, weight: str = "weight") -> DataFrame:
-    """One of the choices (a small table: id, weight) for each row, by inverse distribution of a hashed uniform."""
-    if choices.count() > 10_000:
-        raise ValueError("too many choices for a broadcast range join")
+    """One of the choices (a table of up to 10,000 rows: id, weight) for each row, by inverse distribution of a hashed uniform.
+
+    A guide table makes it an equality join: the line of weights is cut into as many cells as there are choices, and a row meets the choices that reach into its
+    cell, two on average.
+    """
+    n = choices.count()
+    if n > 10_000:
+        raise ValueError("too many choices for a broadcast join")
     w = Window.orderBy("id")
-    c = choices.withColumn("_to", F.sum(weight).over(w)).withColumn("_from", F.col("_to") - F.col(weight))
-    total = choices.agg(F.sum(weight)).first()[0]
-    u = number(salted(salt, F.col(key)), 8) / float(1 << 32) * F.lit(float(total))
-    return rows.withColumn("_u", u).join(F.broadcast(c), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).drop("_u", "_from", "_to")
+    total = float(choices.agg(F.sum(weight)).first()[0] or 0)
+    cell = lambda x: F.least(F.floor(x * F.lit(n / total)), F.lit(n - 1)).cast("long")
+    c = choices.where(F.col(weight) > 0).withColumn("_to", F.sum(weight).over(w)).withColumn("_from", F.col("_to") - F.col(weight))
+    c = c.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
+    u = number(salted(salt, F.col(key)), 8) / float(1 << 32) * F.lit(total)
+    d = rows.withColumn("_u", u).withColumn("_cell", cell(F.col("_u")))
+    return d.join(F.broadcast(c), "_cell").where((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).drop("_u", "_from", "_to", "_cell")
+
+
+def capacity_report(records: DataFrame, template: str, structure: str, cap: int) -> DataFrame:
+    """What templates give under a cap on rows of one structure: template, drawn, structures, kept, refused, full (structures at the cap) and exhausted (all of them are full).
+
+    Counts of structures are summed up in the task that reads them, so a template with a third of all rows is no hot group.
+    """
+    per = records.groupBy(template, structure).agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy(template).agg(F.sum("n").alias("drawn"), F.count(F.lit(1)).alias("structures"), F.sum(F.least("n", F.lit(cap).cast("long"))).alias("kept"), F.sum((F.col("n") >= cap).cast("long")).alias("full"))
+    return out.select(template, "drawn", "structures", "kept", (F.col("drawn") - F.col("kept")).alias("refused"), "full", (F.col("full") == F.col("structures")).alias("exhausted"))
+
+
+def apportioned(templates: DataFrame, key: str, n: int, weight: str = "weight", capacity: str = "capacity") -> DataFrame:
+    """templates with `planned`: how many of n rows each gives, in proportion to its weight but never more than its capacity; what the full ones can't take goes to the others.
+
+    A template is full if all those that fill up before it (in the order of capacity / weight) and its own share at that level still fit into n. Parts of rows go
+    to the largest remainders (ties by key). Together they give n, or all capacity there is: the early stop. No template goes through the driver: the order is a running sum over sorted ranges.
+    """
+    t = templates.where((F.col(weight) > 0) & (F.col(capacity) > 0))
+    level = F.col(capacity) / F.col(weight).cast("double")
+    r = running(t.withColumn("_level", level), [], ["_level", key], "_at", {"_caps": F.col(capacity).cast("long"), "_weights": F.col(weight).cast("double")})
+    whole = float(t.agg(F.coalesce(F.sum(F.col(weight).cast("double")), F.lit(0.0))).first()[0])
+    full = F.col("_caps") + F.col("_level") * (F.lit(whole) - F.col("_weights")) <= F.lit(float(n))
+    r = written(r.withColumn("_full", full), "levels")
+    taken = r.where("_full").agg(F.coalesce(F.max("_caps"), F.lit(0)).alias("c"), F.coalesce(F.max("_weights"), F.lit(0.0)).alias("w")).first()
+    rest, left = n - taken.c, whole - taken.w
+    share = F.col(weight).cast("double") * F.lit(rest / left if left > 0 else 0.0)
+    r = r.withColumn("_share", F.when(F.col("_full"), F.col(capacity).cast("double")).otherwise(share)).withColumn("_floor", F.floor("_share"))
+    over = rest - int(r.where("not _full").agg(F.coalesce(F.sum("_floor"), F.lit(0))).first()[0])
+    open_ = running(r.where("not _full").withColumn("_part", F.col("_floor") - F.col("_share")), [], ["_part", key], "_rank").select(F.col(key).alias("_key"), "_rank")
+    out = r.join(open_, F.col(key) == F.col("_key"), "left").withColumn("planned", F.col("_floor") + F.coalesce((F.col("_rank") <= over).cast("long"), F.lit(0)))
+    out = templates.join(out.select(F.col(key).alias("_key"), "planned"), F.col(key) == F.col("_key"), "left")
+    return out.select(*templates.columns, F.coalesce("planned", F.lit(0)).alias("planned"))
+
+
+def sentence_ends(text: Column, entities: Column) -> Column:
+    """Places behind a sentence end and its white space that lie in no entity, and the text's end."""
+    ends = F.transform(find_all(text, r"[.!?](?U)\s+"), lambda m: m["end"])
+    free = F.filter(ends, lambda p: ~F.exists(entities, lambda e: (e["start"] < p) & (e["end"] > p)))
+    return F.array_distinct(F.array_append(free, F.length(text)))
+
+
+def with_insertions(text: Column, entities: Column, insertions: Column) -> Column:
+    """(text, entities: label, start, end): several texts put in at once.
+
+    insertions: at, text, entities (label, start, end in the inserted text); several at one place stand in the list's order. An entity that begins where something is put in comes after it;
+    one that an insertion would cut is an error. Spans move by the running sum of the lengths put in before them.
+    """
+    numbered = F.transform(insertions, lambda x, i: F.struct(x["at"].cast("int").alias("at"), i.alias("i"), x["text"].alias("text"), x["entities"].alias("entities")))
+    span = lambda e, by: F.struct(e["label"].alias("label"), (e["start"] + by).cast("int").alias("start"), (e["end"] + by).cast("int").alias("end"))
+
+    def put(ins):
+        def with_sums(sums):
+            cut = F.exists(entities, lambda e: F.exists(ins, lambda x: (x["at"] > e["start"]) & (x["at"] < e["end"])))
+            moved = F.transform(entities, lambda e: span(e, F.get(sums, F.size(F.filter(ins, lambda x: x["at"] <= e["start"])))))
+            new = F.flatten(F.transform(ins, lambda x, i: F.transform(x["entities"], lambda e: span(e, x["at"] + F.get(sums, i)))))
+            before = lambda i: F.coalesce(F.get(ins, i - 1)["at"], F.lit(0))
+            body = F.array_join(F.transform(ins, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["at"] - before(i)), x["text"])), "")
+            tail = F.substring(text, F.coalesce(F.try_element_at(ins, F.lit(-1))["at"], F.lit(0)) + 1, F.length(text))
+            whole = F.struct(F.concat(body, tail).alias("text"), F.array_sort(F.concat(moved, new), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])).alias("entities"))
+            return F.when(cut, F.raise_error(F.lit("an insertion cuts an entity")).cast("struct<text:string,entities:array<struct<label:string,start:int,end:int>>>")).otherwise(whole)
+
+        return let(F.aggregate(ins, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, F.lit(-1)) + F.length(x["text"]))), with_sums)
+
+    return let(F.array_sort(numbered), put)
 
 
 def filled(template: Column, values: Column) -> Column:

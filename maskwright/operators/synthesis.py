@@ -307,3 +307,30 @@ def record_fault(text: Column, entities: Column) -> Column:
     false = lambda label, ok: F.exists(entities, lambda e: (e["label"] == label) & ~ok(e["value"]))
     return F.coalesce(
         F.when(misplaced, "offset"), F.when(overlap, "overlap"), F.when(false("CF", checks.cf_ok), "tax code"), F.when(false("PIVA", checks.piva_ok), "VAT number"), F.when(false("IBAN", checks.iban_ok), "IBAN"))
+
+
+def injected_rows(pool: DataFrame, key: str, snippets: DataFrame, per_tag: int, seed: int, several: int = 1, lists: Lists | None = None) -> DataFrame:
+    """per_tag rows (tag, number, key, text, entities) for each tag: texts of the pool, dealt out in turn, with `several` filled snippets of the tag put in behind sentences.
+
+    pool: key, text, entities (label, start, end). snippets: tag, snippet (a template); of a tag's snippets each insertion draws one. The places are drawn among the text's sentence ends; where
+    there are fewer than `several`, places are used again.
+    """
+    from .dataset import round_robin, sentence_ends, with_insertions
+
+    listed = snippets.groupBy("tag").agg(F.sort_array(F.collect_list("snippet")).alias("_options"))
+    used = {r[0] for r in snippets.select(F.explode(F.regexp_extract_all("snippet", F.lit(r"\{(\w+)\}"), F.lit(1)))).distinct().collect()}
+    rows = snippets.select("tag").distinct().select("tag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_tag - 1).cast("long"))).alias("number"))
+    rows = rows.withColumn("_order", F.struct("tag", "number"))
+    rows = round_robin(rows, pool.select(F.col(key), "text", "entities"), "_order", key).drop("_order").join(F.broadcast(listed), "tag")
+    row = F.concat_ws(":", "tag", "number")
+    rows = rows.withColumn("_spots", sentence_ends(F.col("text"), F.col("entities")))
+    insertions = []
+    for k in range(several):
+        at = lambda what, size, k=k: F.get(F.col(what), F.pmod(F.xxhash64(F.lit(seed), row, F.lit(f"{what}{k}")), F.size(what)).cast("int"))
+        made = {s: f for s, f in generators(seed, row, F.lit(k), lists).items() if s in used}
+        rows = rows.withColumn(f"_filled{k}", rendered(F.concat(at("_options", 0), F.lit(" ")), made))
+        f = F.col(f"_filled{k}")
+        insertions.append(F.struct(at("_spots", 0).alias("at"), f["text"].alias("text"), F.transform(f["entities"], lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"))).alias("entities")))
+    plain = F.transform("entities", lambda e: F.struct(e["label"].alias("label"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end")))
+    rows = rows.withColumn("_whole", with_insertions(F.col("text"), plain, F.array(*insertions)))
+    return rows.select("tag", "number", key, "_whole.text", "_whole.entities")

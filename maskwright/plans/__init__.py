@@ -1,6 +1,6 @@
 """Named queries over the tables, with their SQL."""
 
-from . import datasets, detection, evaluation, selections
+from . import composition, datasets, detection, evaluation, selections
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "datasets", "detection", "evaluation", "selections"]
+__all__ = ["QUERIES", "SQL", "composition", "datasets", "detection", "evaluation", "selections"]
