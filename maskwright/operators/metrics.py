@@ -177,18 +177,57 @@ def latin_square(variants: list[str], rounds: int) -> list[tuple[int, int, str]]
     return [(r, p, variants[(p + r) % n]) for r in range(rounds) for p in range(n)]
 
 
+def rotation(rounds: DataFrame, variants: DataFrame, round_: str = "round", variant: str = "variant") -> DataFrame:
+    """(round, position, variant) for any tables of rounds and variants, each in order: round r has variant (r + position) mod n at each of n positions."""
+    n = variants.count()
+    v = running(variants.select(F.col(variant).alias("variant")), [], ["variant"], "_v").select((F.col("_v") - 1).alias("_v"), "variant")
+    r = running(rounds.select(F.col(round_).alias("round")), [], ["round"], "_r")
+    cells = r.select("round", (F.col("_r") - 1).alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("position")) if n else r.select("round", "_r", F.col("_r").alias("position")).limit(0)
+    return cells.withColumn("_v", (F.col("_r") + F.col("position")) % F.lit(max(n, 1))).join(v, "_v").select("round", "position", "variant")
+
+
 def schedule_gaps(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Cells (round, position, variant) that don't occur exactly once."""
     seen = actual.groupBy("round", "position", "variant").agg(F.count(F.lit(1)).alias("n"))
     return expected.join(seen, ["round", "position", "variant"], "left").na.fill(0, ["n"]).where("n <> 1")
 
 
-def regression_report(per_variant: DataFrame, failures: DataFrame, enabled: bool) -> DataFrame:
-    """One row for each variant: complete (all digests equal) and passed; without a policy nothing passes."""
-    failed = failures.groupBy("variant").agg(F.count(F.lit(1)).alias("n_failures"))
-    v = per_variant.groupBy("variant").agg((F.count_distinct("digest") == 1).alias("consistent"), F.bool_and("complete").alias("complete"), F.count(F.lit(1)).alias("runs"))
-    out = v.join(failed, "variant", "left").na.fill(0, ["n_failures"])
-    return out.withColumn("passed", F.lit(enabled) & F.col("consistent") & F.col("complete") & (F.col("n_failures") == 0))
+def regression_report(runs: DataFrame, evidence: DataFrame, policies: DataFrame, failures: DataFrame, golden: str) -> DataFrame:
+    """One row for each variant: verdict, reasons (in order), runs. It fails closed: only a variant with whole evidence, a policy and no failed gate has `passed`.
+
+    runs: variant, run, status, documents, digest (of its predictions). evidence: kind (validation, preprocessor, documents, ...), variant (null: for all), expected, actual; documents is compared with the runs'
+    counts. policies: variant, gate (a limit that applies to it). failures: variant, gate, as gate_report gives them (a view that one side lacks is a failure of gate `<view>.metrics_missing`).
+
+    Three values: `failed` if something was measured and is wrong (a run that didn't end, unlike digests or counts, a failed gate, predictions that differ between runs), else
+    `incomplete` if something that must be known is not (a null or missing digest, no evidence at all, no policy, no golden), else `passed`. The golden variant needs no policy.
+    """
+    word = lambda c, text: F.when(c, F.lit(text))
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    r = runs.groupBy("variant").agg(F.count(F.lit(1)).alias("runs"), n(~F.col("status").eqNullSafe(F.lit("ok"))).alias("not_ok"), F.count_distinct("digest").alias("digests"), n(F.col("digest").isNull()).alias("no_digest"), F.min("documents").alias("fewest"), F.max("documents").alias("most"), n(F.col("documents").isNull()).alias("uncounted"))
+    own = evidence.where("kind <> 'documents'")
+    every = r.select("variant")
+    shared = own.where("variant is null").drop("variant")
+    # evidence for all variants is counted once; what concerns one variant is joined to it
+    def told(rows, *by):
+        out = rows.groupBy(*by) if by else rows.groupBy()
+        return out.agg(F.count(F.lit(1)).alias("known"), n(F.col("expected") != F.col("actual")).alias("unlike"), n(F.col("expected").isNull() | F.col("actual").isNull()).alias("absent"))
+
+    common = told(shared).first()
+    wanted = evidence.where("kind = 'documents' and variant is null").agg(F.max("expected").cast("long")).first()[0]
+    e = told(own.where("variant is not null"), "variant")
+    p = policies.groupBy("variant").agg(F.count("gate").alias("policies"))
+    f = failures.groupBy("variant").agg(F.count(F.lit(1)).alias("failures"))
+    has_golden = not every.where(F.col("variant") == golden).isEmpty()
+    j = r.join(e, "variant", "left").join(p, "variant", "left").join(f, "variant", "left").na.fill(0, ["known", "unlike", "absent", "policies", "failures"])
+    wrong = F.array_compact(F.array(
+        word(F.col("not_ok") > 0, "a run did not end well"), word(F.col("digests") > 1, "runs differ"), word((F.col("unlike") + F.lit(common.unlike)) > 0, "unlike digests"),
+        word((F.col("fewest") != F.col("most")) | (F.col("fewest") != F.lit(wanted).cast("long")), "documents"), word(F.col("failures") > 0, "gates")))
+    unknown = F.array_compact(F.array(
+        word(F.lit(not has_golden), "no golden"), word(F.col("no_digest") > 0, "predictions without a digest"), word(F.col("known") + F.lit(common.known) == 0, "no evidence"), word(F.col("absent") + F.lit(common.absent) > 0, "missing digest"),
+        word(F.lit(wanted is None) | (F.col("uncounted") > 0), "documents unknown"), word((F.col("policies") == 0) & (F.col("variant") != F.lit(golden)), "no policy")))
+    out = j.select("variant", "runs", wrong.alias("_wrong"), unknown.alias("_unknown"))
+    verdict = F.when(F.size("_wrong") > 0, "failed").when(F.size("_unknown") > 0, "incomplete").otherwise("passed")
+    return out.select("variant", verdict.alias("verdict"), F.concat("_wrong", "_unknown").alias("reasons"), "runs")
 
 
 def cumulative(rows: DataFrame, ts: str, *by: str, until: Column | None = None) -> DataFrame:

@@ -163,18 +163,45 @@ def paired_full_outer(spark, sf_dir):
     return metrics.paired_checked(first, second, ("n", "quality"))
 
 
-@query("WITH r AS (SELECT unnest(range(0, 6)) AS round), p AS (SELECT unnest(range(0, 4)) AS position) SELECT round, position, substr('ABCD', CAST((round + position) % 4 AS INT) + 1, 1) AS variant FROM r, p")
+_ROTATION = "v AS (SELECT event_type AS variant, row_number() OVER (ORDER BY event_type) - 1 AS v FROM (SELECT DISTINCT event_type FROM events)), u AS (SELECT user_id AS round, row_number() OVER (ORDER BY user_id) - 1 AS r FROM (SELECT DISTINCT user_id FROM events)), p AS (SELECT round, r, unnest(range((SELECT count(*) FROM v))) AS position FROM u), f AS (SELECT round, position, variant FROM p JOIN v ON v = (r + position) % (SELECT count(*) FROM v))"
+
+
+def _rotation(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return metrics.rotation(e.select("user_id").distinct(), e.select("event_type").distinct(), "user_id", "event_type")
+
+
+@query(f"WITH {_ROTATION} SELECT * FROM f")
 def latin_square(spark, sf_dir):
-    return spark.createDataFrame(metrics.latin_square(list("ABCD"), 6), "round long, position long, variant string")
+    """Kinds of events rotated over the users."""
+    return _rotation(spark, sf_dir)
 
 
-@query("WITH r AS (SELECT unnest(range(0, 6)) AS round), p AS (SELECT unnest(range(0, 4)) AS position), f AS (SELECT round, position, substr('ABCD', CAST((round + position) % 4 AS INT) + 1, 1) AS variant FROM r, p) SELECT round, position, variant, CASE WHEN (round * 4 + position) % 5 = 0 THEN 0 ELSE 2 END AS n FROM f WHERE (round * 4 + position) % 5 = 0 OR (round * 4 + position) % 7 = 0")
+@query(f"WITH {_ROTATION}, a AS (SELECT user_id AS round, event_id % 5 AS position, event_type AS variant, count(*) AS n FROM events GROUP BY ALL) SELECT round, position, variant, coalesce(n, 0) AS n FROM f LEFT JOIN a USING (round, position, variant) WHERE coalesce(n, 0) <> 1")
 def schedule_complete(spark, sf_dir):
-    """Runs that miss every fifth cell of the schedule and repeat every seventh."""
-    full = spark.createDataFrame(metrics.latin_square(list("ABCD"), 6), "round long, position long, variant string")
-    cell = F.col("round") * 4 + F.col("position")
-    ran = full.where(cell % 5 != 0)
-    return metrics.schedule_gaps(full, ran.unionByName(ran.where(cell % 7 == 0))).select("round", "position", "variant", F.col("n").cast("int").alias("n"))
+    """Cells of that schedule which the events didn't meet exactly once."""
+    ran = table(spark, sf_dir, "events").select(F.col("user_id").alias("round"), (F.col("event_id") % 5).alias("position"), F.col("event_type").alias("variant"))
+    return metrics.schedule_gaps(_rotation(spark, sf_dir), ran).select("round", "position", "variant", "n")
+
+
+_RUN = "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'y' ELSE 'x' END"
+
+
+@query(f"""WITH r AS (SELECT 'v' || c_nationkey AS variant, count(*) AS runs, sum(CASE WHEN c_custkey % 97 = 5 THEN 1 ELSE 0 END) AS not_ok, count(DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN {_RUN} ELSE 'x' END) AS digests, sum(CASE WHEN c_nationkey % 2 = 0 AND c_custkey % 11 = 0 THEN 1 ELSE 0 END) AS no_digest FROM customer GROUP BY c_nationkey),
+j AS (SELECT *, CAST(substr(variant, 2) AS INT) AS k FROM r),
+w AS (SELECT variant, runs, list_filter([CASE WHEN not_ok > 0 THEN 'a run did not end well' END, CASE WHEN digests > 1 THEN 'runs differ' END, CASE WHEN k % 7 = 3 THEN 'unlike digests' END, CASE WHEN k % 5 = 4 THEN 'documents' END, CASE WHEN k % 6 = 5 THEN 'gates' END], lambda x: x IS NOT NULL) AS a,
+list_filter([CASE WHEN no_digest > 0 THEN 'predictions without a digest' END, CASE WHEN k % 7 = 5 THEN 'missing digest' END, CASE WHEN k % 4 = 2 THEN 'no policy' END], lambda x: x IS NOT NULL) AS b FROM j)
+SELECT variant, CASE WHEN len(a) > 0 THEN 'failed' WHEN len(b) > 0 THEN 'incomplete' ELSE 'passed' END AS verdict, array_to_string(list_concat(a, b), '; ') AS reasons, runs FROM w""")
+def regression_verdicts(spark, sf_dir):
+    """Nations as variants, customers as their runs, with evidence, policies and failures made from the tables' keys."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    name = lambda k: F.concat(F.lit("v"), F.col(k).cast("string")).alias("variant")
+    digest = F.when(F.col("c_nationkey") % 2 == 0, F.expr(_RUN)).otherwise("x")
+    runs = c.select(name("c_nationkey"), F.col("c_custkey").alias("run"), F.when(F.col("c_custkey") % 97 == 5, "stopped").otherwise("ok").alias("status"), F.when(F.col("c_nationkey") % 5 == 4, 6999).otherwise(7000).alias("documents"), digest.alias("digest"))
+    k = F.col("n_nationkey")
+    each = n.select(F.lit("validation").alias("kind"), name("n_nationkey"), F.lit("d").alias("expected"), F.when(k % 7 == 3, "e").when(k % 7 != 5, "d").alias("actual"))
+    evidence = each.unionByName(spark.createDataFrame([("documents", None, "7000", None), ("preprocessor", None, "p", "p")], "kind string, variant string, expected string, actual string"))
+    return metrics.regression_report(runs, evidence, n.where(k % 4 != 2).select(name("n_nationkey"), F.lit("min_micro_f1").alias("gate")), n.where(k % 6 == 5).select(name("n_nationkey"), F.lit("chars.metrics_missing").alias("gate")), "v0").withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS cumulative FROM events")

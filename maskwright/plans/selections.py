@@ -168,14 +168,18 @@ def subword_windows(spark, sf_dir):
 
 _DIGEST = "CAST('0x' || substr(sha256('0:' || doc_id), 1, 8) AS BIGINT) % 100"
 _KIND = "CAST('0x' || substr(sha256('0:' || doc_id || ':entity'), 1, 8) AS BIGINT) % 100 % 3"
-_TITLE = "upper(substr(w, 1, 1)) || lower(substr(w, 2))"
+# a sharp s has two capitals
+_UPPER = "upper(replace(w, 'ß', 'SS'))"
+_TITLE = "CASE WHEN w LIKE 'ß%' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END || lower(substr(w, 2))"
+_TOKEN = "CAST('0x' || substr(sha256('0:' || doc_id || ':' || (pos - 1)), 1, 8) AS BIGINT) % 100 % 3"
 
 
-@query(f"""WITH {_WORDS.replace("text, '", "replace(text, 'ß', 's'), '")}{_TYPED}, c AS (SELECT doc_id, {_DIGEST} AS r, {_KIND} AS k FROM documents)
-SELECT doc_id, string_agg(CASE WHEN r < 35 THEN lower(w) WHEN r < 45 THEN upper(w) WHEN label = 'O' THEN w WHEN k = 0 THEN lower(w) WHEN k = 1 THEN upper(w) ELSE {_TITLE} END, ' ' ORDER BY pos) AS recased FROM n JOIN c USING (doc_id) WHERE r < 45 OR r BETWEEN 53 AND 74 GROUP BY doc_id""")
+@query(f"""WITH {_WORDS}{_TYPED}, c AS (SELECT doc_id, {_DIGEST} AS r, {_KIND} AS k FROM documents),
+x AS (SELECT doc_id, pos, w, CASE WHEN r < 35 THEN 0 WHEN r < 45 THEN 1 WHEN r < 53 THEN {_TOKEN} WHEN r < 75 AND label <> 'O' THEN k ELSE 3 END AS how FROM n JOIN c USING (doc_id)),
+y AS (SELECT doc_id, string_agg(CASE how WHEN 0 THEN lower(w) WHEN 1 THEN {_UPPER} WHEN 2 THEN {_TITLE} ELSE w END, ' ' ORDER BY pos) AS recased FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(recased, '') AS recased FROM documents LEFT JOIN y USING (doc_id)""")
 def recase(spark, sf_dir):
-    """Documents that change as a whole or in their entities, without the letter whose capital differs between systems."""
-    d = _labels(spark, sf_dir, F.replace("text", F.lit("ß"), F.lit("s"))).withColumn("r", F.pmod(dataset.number(dataset.salted("0", F.col("doc_id"))), F.lit(100))).where("(r < 45 OR r BETWEEN 53 AND 74) AND size(words) > 0")
+    d = _labels(spark, sf_dir)
     return d.select("doc_id", F.array_join(bio.recased(F.col("words"), F.col("labels"), F.col("doc_id")), " ").alias("recased"))
 
 
@@ -197,6 +201,25 @@ def record_errors(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", records.record_error(body, entity, tokens, labels).alias("error"))
 
 
+_LINES = {
+    0: "to_json(named_struct('tokens', split('VAT ' || o_orderkey, ' '), 'bio_labels', array('O', 'B-PIVA'), 'source_text', 'VAT ' || o_orderkey))",
+    1: "to_json(named_struct('mbert_tokens', array('a', 'b', 'c'), 'mbert_token_classes', array('O', 'O', 'B-CITY'), 'language', 'en'))",
+    2: "to_json(named_struct('source_text', 'Lives in Roma, ' || o_orderkey, 'entities', array(named_struct('value', 'Roma', 'label', 'CITY', 'start', 9, 'end', 13)), 'language', 'it'))",
+    3: "'{\"tokens\": [\"a\"], \"bio_labels\": [\"O\", \"O\"]}'", 4: "'{\"tokens\": [' || o_orderkey", 5: "to_json(named_struct('text', o_orderkey))", 6: "'[1, 2]'", 7: "to_json(named_struct('tokens', array('a'), 'bio_labels', array('B-NOWHERE')))",
+}
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'token' WHEN 2 THEN 'spans' WHEN 0 THEN 'native' WHEN 3 THEN 'native' WHEN 7 THEN 'native' END AS dialect,
+CASE o_orderkey % 8 WHEN 3 THEN 'unlike lengths' WHEN 4 THEN 'not JSON' WHEN 5 THEN 'no known dialect' WHEN 6 THEN 'no known dialect' WHEN 7 THEN 'unknown label' END AS reason,
+CASE o_orderkey % 8 WHEN 0 THEN 'O B-PIVA' WHEN 1 THEN 'O O B-CITY' WHEN 2 THEN 'O O B-CITY O O' WHEN 3 THEN 'O O' WHEN 7 THEN 'B-NOWHERE' END AS labels, CASE WHEN o_orderkey % 8 IN (0, 2, 3, 7) THEN 'it' WHEN o_orderkey % 8 = 1 THEN 'en' END AS language FROM orders""")
+def mixed_dialects(spark, sf_dir):
+    """Lines of all dialects in one table, with broken and useless ones between them."""
+    k = F.col("o_orderkey") % 8
+    line = F.coalesce(*[F.when(k == n, F.expr(x)) for n, x in _LINES.items()])
+    d = records.parsed_lines(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "line")
+    return d.select("o_orderkey", "dialect", F.col("_reject_reason").alias("reason"), F.array_join("labels", " ").alias("labels"), "language")
+
+
 @query("SELECT count(*) AS n_rows, count(*) FILTER (doc_id % 9 = 0) AS n_incomplete, count(*) FILTER (doc_id % 4 = 0) AS n_misaligned FROM documents")
 def jsonl_shape(spark, sf_dir):
     d = table(spark, sf_dir, "documents").selectExpr("if(doc_id % 9 = 0, NULL, lang) AS language", "array(1, 2) AS tokens", "if(doc_id % 4 = 0, array(1), array(1, 1)) AS labels")

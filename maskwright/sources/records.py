@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterable
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.taxonomy import admitted
+from ..functions.text import tokens as words
+from ..operators.bio import span_to_bio
 
 TOKEN_DIALECT = "mbert_tokens array<string>, mbert_token_classes array<string>, language string, source_text string, masked_text string"
 NATIVE_DIALECT = "tokens array<string>, bio_labels array<string>, source_text string, entities array<struct<value:string,label:string,start:int,end:int>>, language string, template_id string, meta string"
@@ -38,8 +41,7 @@ def checked(rows: DataFrame, reason: Column, mode: str) -> DataFrame:
         return out
     if mode == "permissive":
         return out.where(F.col("_reject_reason").isNull()).drop("_reject_reason")
-    fail = F.raise_error(F.concat(F.lit("rejected row: "), F.col("_reject_reason"))).cast("boolean")
-    return out.where(F.when(F.col("_reject_reason").isNull(), F.lit(True)).otherwise(fail)).drop("_reject_reason")  # a filter: no choice of columns drops it
+    return _strict(out).drop("_reject_reason")  # a filter: no choice of columns drops it
 
 
 def record_error(text: Column, entities: Column, tokens: Column, labels: Column) -> Column:
@@ -111,6 +113,45 @@ def read_jsonl(spark: SparkSession, path: str, dialect: str = "native", language
     return rows.withColumn("_order", F.sha2(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})), 256)).orderBy("_order").limit(limit).drop("_order")
 
 
+_ENTITIES = "array<struct<value:string,label:string,start:int,end:int>>"
+
+
+def parsed_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines of JSON in any mix of the three dialects, each parsed once and read by its own fields: the other columns and line, dialect, tokens, labels, language, source_text, entities, template_id, _reject_reason.
+
+    A line with source_text and entities is of the spans dialect unless it has tokens and bio_labels too; its tokens and labels follow from its spans. A line that isn't JSON, or has the
+    fields of no dialect, has no dialect; a field of another type counts as missing.
+    """
+    keep = [c for c in lines.columns if c != column]
+    d = lines.select(*keep, F.col(column).alias("line"), F.try_parse_json(F.col(column)).alias("_v"))
+    get = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    has = lambda *names: functools.reduce(lambda a, b: a & b, [get(n, "variant").isNotNull() & ~F.coalesce(F.is_variant_null(get(n, "variant")), F.lit(False)) for n in names])
+    dialect = F.when(has("tokens", "bio_labels"), "native").when(has("mbert_tokens", "mbert_token_classes"), "token").when(has("source_text", "entities"), "spans")
+    d = d.withColumn("dialect", dialect).withColumns({"source_text": get("source_text", "string"), "entities": get("entities", _ENTITIES)})
+    own = F.col("dialect")
+    spans = own == "spans"
+    pieces = words(F.col("source_text"))
+    tokens = F.when(own == "native", get("tokens", "array<string>")).when(own == "token", get("mbert_tokens", "array<string>")).when(spans, F.transform(pieces, lambda t: t["value"]))
+    labels = F.when(own == "native", get("bio_labels", "array<string>")).when(own == "token", get("mbert_token_classes", "array<string>")).when(spans, span_to_bio(pieces, F.col("entities")))
+    d = d.withColumns({"tokens": tokens, "labels": labels, "language": F.when(own.isNotNull(), F.coalesce(get("language", "string"), F.when(own == "token", "?").otherwise("it"))), "template_id": get("template_id", "string")})
+    reason = F.coalesce(F.when(F.col("_v").isNull(), F.lit("not JSON")), F.when(own.isNull(), F.lit("no known dialect")), reject_reason(F.col("tokens"), F.col("labels")))
+    return d.withColumn("_reject_reason", reason).drop("_v")
+
+
+def read_mixed(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of files whose lines may be of any dialect. rejects: file, line, _reject_reason; strict fails on the first of them instead. Empty lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = parsed_lines(lines)
+    if strict:
+        parsed = _strict(parsed)
+    return parsed.where(F.col("_reject_reason").isNull()).drop("_reject_reason", "line", "file"), parsed.where(F.col("_reject_reason").isNotNull()).select("file", "line", "_reject_reason")
+
+
+def _strict(parsed: DataFrame) -> DataFrame:
+    fail = F.raise_error(F.concat(F.lit("rejected row: "), F.col("_reject_reason"))).cast("boolean")
+    return parsed.where(F.when(F.col("_reject_reason").isNull(), F.lit(True)).otherwise(fail))
+
+
 def read_span_parquet(spark: SparkSession, path: str, text: str = "unmasked_text", spans: str = "span_labels") -> DataFrame:
     """Parquet whose spans are a literal list of [start, end, 'LABEL_n']."""
     return spark.read.parquet(path).select(F.col(text).alias("source_text"), literal_spans(F.col(spans)).alias("entities"))

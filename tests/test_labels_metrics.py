@@ -125,10 +125,27 @@ def test_schedule_and_report(spark):
     cells = metrics.latin_square(list("AB"), 2)
     full = spark.createDataFrame(cells, "round int, position int, variant string")
     assert metrics.schedule_gaps(full, full).count() == 0 and metrics.schedule_gaps(full, full.limit(3)).count() == 1
-    runs = spark.createDataFrame([("A", "d1", True), ("A", "d1", True), ("B", "d1", True), ("B", "d2", True)], "variant string, digest string, complete boolean")
-    none = spark.createDataFrame([], "variant string")
-    assert {r.variant: r.passed for r in metrics.regression_report(runs, none, True).collect()} == {"A": True, "B": False}
-    assert not any(r.passed for r in metrics.regression_report(runs, none, False).collect())
+    r = metrics.rotation(spark.createDataFrame([(k,) for k in (7, 3, 5)], "round int"), spark.createDataFrame([(k,) for k in "BAC"], "variant string")).collect()
+    assert sorted(map(tuple, r)) == [(k, p, "ABC"[(i + p) % 3]) for i, k in enumerate((3, 5, 7)) for p in range(3)]
+
+
+def test_regression_report_fails_closed(spark):
+    def told(runs, evidence, policies=(("B", "g"),), failures=(), golden="A"):
+        d = spark.createDataFrame
+        out = metrics.regression_report(d(runs, "variant string, run int, status string, documents int, digest string"), d(evidence, "kind string, variant string, expected string, actual string"), d(list(policies), "variant string, gate string"), d(list(failures), "variant string, gate string"), golden)
+        return {r.variant: (r.verdict, r.reasons) for r in out.collect()}
+
+    runs = [("A", 1, "ok", 5, "x"), ("B", 1, "ok", 5, "y"), ("B", 2, "ok", 5, "y")]
+    evidence = [("validation", None, "v", "v"), ("documents", None, "5", None)]
+    assert told(runs, evidence) == {"A": ("passed", []), "B": ("passed", [])}
+    assert told(runs, [("validation", None, "v", None), *evidence[1:]])["B"] == ("incomplete", ["missing digest"])
+    assert told(runs, evidence, policies=())["B"] == ("incomplete", ["no policy"])
+    assert told(runs, evidence, failures=[("B", "words.metrics_missing")])["B"] == ("failed", ["gates"])
+    assert told(runs[1:], evidence)["B"] == ("incomplete", ["no golden"])
+    assert told(runs, [])["A"] == ("incomplete", ["no evidence", "documents unknown"])
+    assert told(runs, [*evidence, ("preprocessor", "B", "p", "q")]) == {"A": ("passed", []), "B": ("failed", ["unlike digests"])}
+    odd = [("A", 1, "ok", 4, None), ("B", 1, "stopped", 5, "y"), ("B", 2, "ok", None, "z")]
+    assert told(odd, evidence) == {"A": ("failed", ["documents", "predictions without a digest"]), "B": ("failed", ["a run did not end well", "runs differ", "documents unknown"])}
 
 
 def test_slots_and_names(spark):

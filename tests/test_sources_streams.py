@@ -57,3 +57,22 @@ def test_windowed_counts(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 3,0) AS ts, 'k' AS kind FROM range(10)").write.parquet(src)
     stream = spark.readStream.schema("ts timestamp, kind string").parquet(src)
     assert sorted(r.n for r in _drain(windowed_counts(stream, "ts", "kind", "10 minutes"), "t3", "complete")) == [3, 3, 4]
+
+
+def test_a_file_of_mixed_dialects(spark, tmp_path):
+    import json
+
+    good = [
+        {"tokens": ["VAT", "1"], "bio_labels": ["O", "B-PIVA"], "source_text": "VAT 1", "template_id": 7}, {"mbert_tokens": ["a"], "mbert_token_classes": ["O"]}, {"source_text": "In Roma.", "entities": [{"value": "Roma", "label": "CITY", "start": 3, "end": 7}], "language": "fr"},
+        {"tokens": ["x"], "bio_labels": ["O"], "source_text": "x", "entities": [], "mbert_tokens": None}]
+    bad = ["{", '{"tokens": 5, "bio_labels": ["O"]}', '{"tokens": ["a"]}', '"text"', '{"mbert_tokens": [], "mbert_token_classes": []}']
+    path = tmp_path / "m.jsonl"
+    path.write_text("\n".join([*map(json.dumps, good), "", *bad]))
+    rows, rejects = records.read_mixed(spark, str(path))
+    got = sorted((r.dialect, r.tokens, r.labels, r.language, r.template_id) for r in rows.collect())
+    assert got == [("native", ["VAT", "1"], ["O", "B-PIVA"], "it", "7"), ("native", ["x"], ["O"], "it", None), ("spans", ["In", "Roma", "."], ["O", "B-CITY", "O"], "fr", None), ("token", ["a"], ["O"], "?", None)]
+    assert sorted((r.line, r._reject_reason) for r in rejects.collect()) == sorted(zip(bad, ["not JSON", "missing arrays", "no known dialect", "no known dialect", "no tokens"], strict=True))
+    with pytest.raises(Exception, match="rejected row"):
+        records.read_mixed(spark, str(path), strict=True)[0].collect()
+    path.write_text("\n".join(map(json.dumps, good)))
+    assert records.read_mixed(spark, str(path), strict=True)[0].count() == 4
