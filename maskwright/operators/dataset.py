@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import unfolded
 from ..functions.taxonomy import final_label
 from ..functions.text import WORD, bare_word, collapse, find_all, let, name_pairs, slots
-from ..sources.scratch import written
+from ..sources.scratch import release, written
 from .scan import running
 
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTVWXYZ"
@@ -127,27 +127,27 @@ def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def stratified(rows: DataFrame, n: int, floors: dict[str, int], tags: str, strata: list[str], salt: str, key: str) -> DataFrame:
     """n rows: floors of tags first (the rarest tag first, rows already chosen count), then stratum quotas by share, then a top-up; all in salted order.
 
-    One pass for each floor, as each depends on the ones before; the rest are window ranks.
+    Choices are made on a written table of key, tags and strata. One pass over it for each floor, as each depends on the ones before; strata are ranked in two phases. What is
+    chosen is written, so plans don't grow; whole rows are fetched in the end. key must be unique.
     """
-    order = salted(salt, F.col(key))
-    base = rows.withColumn("_order", order)
-    seen = {r.t: r.n for r in rows.select(F.explode(F.array_distinct(tags)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = base.limit(0)
+    base = written(rows.select(key, *[c for c in (tags, *strata) if c != key], salted(salt, F.col(key)).alias("_order")), "strata")
+    seen = {r.t: r.n for r in base.select(F.explode(F.array_distinct(tags)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = written(base.limit(0), "floors")
     for tag in sorted((t for t in floors if seen.get(t)), key=lambda t: (seen[t], t)):
         have = chosen.where(F.array_contains(tags, tag)).count()
         if have < floors[tag]:
             rest = base.where(F.array_contains(tags, tag)).join(chosen.select(key), key, "left_anti")
-            chosen = chosen.unionByName(rest.orderBy("_order", key).limit(floors[tag] - have))
-    total = rows.count()
-    sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
+            before, chosen = chosen, written(chosen.unionByName(rest.orderBy("_order", key).limit(floors[tag] - have)), "floors")
+            release(before)
+    total = base.count()
+    sizes = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
     taken = chosen.groupBy(*strata).agg(F.count(F.lit(1)).alias("_taken"))
     quota = sizes.join(taken, strata, "left").select(*strata, F.greatest(F.lit(0), F.bround(F.lit(n) * F.col("_size") / F.lit(max(1, total)), 0).cast("long") - F.coalesce("_taken", F.lit(0))).alias("_quota"))
-    rest = base.join(chosen.select(key), key, "left_anti").join(quota, strata)
-    w = Window.partitionBy(*strata).orderBy("_order", key)
-    ranked = rest.withColumn("_rank", F.row_number().over(w))
+    ranked = running(base.join(chosen.select(key), key, "left_anti"), strata, ["_order", key], "_rank").join(quota, strata)
     priority = F.when(F.col("_rank") <= F.col("_quota"), 1).otherwise(2)
-    everything = chosen.withColumn("_priority", F.lit(0)).unionByName(ranked.withColumn("_priority", priority).drop("_rank", "_quota"))
-    return everything.orderBy("_priority", "_order", key).limit(n).drop("_priority", "_order")
+    everything = chosen.select(key, "_order", F.lit(0).alias("_priority")).unionByName(ranked.select(key, "_order", priority.alias("_priority")))
+    kept = running(everything, [], ["_priority", "_order", key], "_n").where(F.col("_n") <= n)
+    return rows.join(kept.select(key), key, "left_semi")
 
 
 def round_robin(rows: DataFrame, pool: DataFrame, order: str, pool_order: str, most: int = 100_000) -> DataFrame:

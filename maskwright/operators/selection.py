@@ -1,7 +1,7 @@
 """Selection of records for targeted training: unique skeletons, balanced variants, protected floors, matched controls.
 
 Rows have record_id, skeleton and whatever the selections ask for. Every pick follows a salted order, skips records and
-skeletons that were picked before, and holds at most as many rows as were asked for; only picks (ids and skeletons) go to the driver.
+skeletons that were picked before, and holds at most as many rows as were asked for. Picks are written tables of ids and skeletons; only their counts go to the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dataset import first_by, salted
+from ..sources.scratch import release, written
+from .cover import cover, distinct_skeletons, without
+from .dataset import salted
+from .scan import running
 
 PICK = "record_id string, skeleton string, reason string, focus string, level string"
 LEVELS = ("exact-length-and-focus", "focus-only", "length-only", "uniform-fallback")
@@ -22,14 +25,12 @@ class Picks:
 
     def __init__(self, rows: DataFrame, forbidden: DataFrame | None = None):
         self.rows = rows.withColumn("record_id", F.col("record_id").cast("string"))
-        self.forbidden, self.made = forbidden, []
+        self.made: DataFrame | None = None
+        keys = [F.col(k).cast("string").alias(k) for k in ("record_id", "skeleton")]
+        self.allowed = self.rows if forbidden is None else written(without(self.rows, forbidden.select(*keys), "record_id", "skeleton"), "allowed")
 
     def free(self) -> DataFrame:
-        out = self.rows
-        for gone in ([self.forbidden] if self.forbidden is not None else []) + ([self.frame()] if self.made else []):
-            for key in ("record_id", "skeleton"):
-                out = out.join(gone.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_anti")
-        return out
+        return without(self.allowed, self.made, "record_id", "skeleton")
 
     def take(self, n: int, salt: str, reason: str, focus: str, where: Column | None = None, level: str | None = None, all_or_error: bool = True) -> int:
         """Picks n rows with unlike skeletons in salted order; fewer only if all_or_error is off."""
@@ -39,14 +40,26 @@ class Picks:
             return 0
         pool = self.free() if where is None else self.free().where(where)
         pool = pool.select("record_id", "skeleton", salted(salt, F.col("record_id")).alias("_order"))
-        got = first_by(pool, ["skeleton"], F.col("_order"), F.col("record_id")).orderBy("_order", "record_id").limit(n).collect()
-        if all_or_error and len(got) < n:
-            raise ValueError(f"{salt}: {n} records wanted, {len(got)} free")
-        self.made += [(r.record_id, r.skeleton, reason, focus, level) for r in got]
-        return len(got)
+        first = running(distinct_skeletons(pool, "record_id", "skeleton"), [], ["_order", "record_id"], "_n").where(F.col("_n") <= n)
+        got = first.select("record_id", "skeleton", *[F.lit(v).cast("string").alias(k) for k, v in (("reason", reason), ("focus", focus), ("level", level))])
+        before, self.made = self.made, written(got if self.made is None else self.made.unionByName(got), "picks")
+        taken = self.made.count() - (before.count() if before is not None else 0)
+        if before is not None:
+            release(before)
+        if all_or_error and taken < n:
+            raise ValueError(f"{salt}: {n} records wanted, {taken} free")
+        return taken
+
+    def cover(self, floors: dict[str, int], salt: str, column: str = "tags", reason: str = "cover") -> int:
+        """Picks rows that meet the floors of several tags at once (see cover.cover); the number of rows picked."""
+        got = cover(self.free(), "record_id", "skeleton", column, floors, salt)
+        got = got.select("record_id", "skeleton", F.lit(reason).alias("reason"), F.concat_ws("+", "features").alias("focus"), F.lit(None).cast("string").alias("level"))
+        taken = got.count()
+        self.made = written(got if self.made is None else self.made.unionByName(got), "picks")
+        return taken
 
     def frame(self) -> DataFrame:
-        return self.rows.sparkSession.createDataFrame(self.made, PICK)
+        return self.made if self.made is not None else self.rows.sparkSession.createDataFrame([], PICK)
 
 
 def balanced(picks: Picks, n: int, variants: tuple[str, ...], salt: str, column: str = "variant", focus: str = "DOCID") -> None:
@@ -66,6 +79,14 @@ def replay(picks: Picks, n: int, floor: int, protected: Iterable[str], salt: str
     picks.take(n - floor * len(tags), f"{salt}:general", "replay-general", "GENERAL")
 
 
+def replay_with_floors(picks: Picks, n: int, floors: dict[str, int], salt: str, column: str = "features") -> None:
+    """Rows that meet the floors of features (identifier family, surface, context, ...) together, then any rows, n in all."""
+    taken = picks.cover(floors, f"{salt}:floors", column, "replay-floors")
+    if taken > n:
+        raise ValueError(f"the floors take {taken} rows of {n}")
+    picks.take(n - taken, f"{salt}:general", "replay-general", "GENERAL")
+
+
 def control(picks: Picks, quotas: dict[tuple[str, str], int], salt: str) -> None:
     """As many rows as quotas say for each (length_bin, focus): alike in both, else in focus, else in length, else any."""
     for (length, focus), quota in sorted(quotas.items()):

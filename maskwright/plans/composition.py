@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataset, synthesis
+from ..operators import cover, dataset, synthesis
 from .registry import query, table
 
 _MIX = "m AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('mix:' || c_custkey), c_custkey) AS r, count(*) OVER () AS n FROM customer), k AS (SELECT c_custkey, CASE WHEN r <= floor(n * 0.4) THEN 'positive' WHEN r <= floor(n * 0.4) + floor(n * 0.3) THEN 'hard_negative' ELSE 'mixed' END AS category FROM m)"
@@ -68,3 +68,29 @@ def validation_build(spark, sf_dir):
     forms = F.create_map(*[F.lit(x) for pair in {"CF": "[A-Z]{6}[0-9A-Z]{9}[A-Z]", "PIVA": "[0-9]{11}", "CATASTO": "[0-9]{1,3}", "DOCID": "[0-9]+(/20[0-9]{2})?", "PROVINCE": "[A-Z]{2}"}.items() for x in pair])
     ok = F.forall("entities", lambda e: (e["label"] == F.col("tag")) & F.regexp_like(F.substring("text", e["start"] + 1, e["end"] - e["start"]), F.concat(F.lit("^("), F.element_at(forms, e["label"]), F.lit(")$"))))
     return d.select("tag", "number", "doc_id", F.size("entities").alias("n_entities"), ok.alias("well_formed"))
+
+
+_FEATURES = "[CASE o_custkey % 9 WHEN 0 THEN 'numeric' WHEN 1 THEN 'passport' ELSE 'driving' END, CASE o_orderkey % 7 WHEN 0 THEN 'grouped' ELSE 'compact' END, CASE WHEN o_orderkey % 50 = 3 THEN 'decoy' ELSE 'plain' END]"
+_FLOORS = {"numeric": 120, "passport": 40, "grouped": 90, "decoy": 60}
+
+
+def _cover_pass(n: int, level: int) -> str:
+    """The rows of one pass: those for which at least `level` of the features that are short ask."""
+    return f"""
+, f{n} AS (SELECT b.k, b.o, x.f FROM b, unnest(b.features) AS x(f) JOIN s{n} ON s{n}.f = x.f WHERE b.k NOT IN (SELECT k FROM t{n}) AND s{n}.short > 0)
+, g{n} AS (SELECT k, o, f FROM f{n} QUALIFY count(*) OVER (PARTITION BY k) >= {level})
+, a{n} AS (SELECT g.k, row_number() OVER (PARTITION BY g.f ORDER BY g.o, g.k) <= s.short AS asks FROM g{n} g JOIN s{n} s ON s.f = g.f)
+, t{n + 1} AS MATERIALIZED (SELECT k FROM t{n} UNION ALL SELECT k FROM a{n} GROUP BY k HAVING count(*) FILTER (asks) >= {level})
+, s{n + 1} AS MATERIALIZED (SELECT w.f, w.n - (SELECT count(*) FROM b JOIN t{n + 1} t ON t.k = b.k WHERE list_contains(b.features, w.f)) AS short FROM w)"""
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT o_orderkey AS k, sha256('cov:' || o_orderkey) AS o, {_FEATURES} AS features FROM orders)
+, w(f, n) AS (VALUES {", ".join(f"('{f}', {n})" for f, n in _FLOORS.items())}), t0(k) AS (SELECT o_orderkey FROM orders WHERE false), s0 AS (SELECT f, n AS short FROM w)
+{_cover_pass(0, 2)}{_cover_pass(1, 2)}{_cover_pass(2, 2)}{_cover_pass(3, 1)} SELECT k AS o_orderkey FROM t4""")
+def cover_floors(spark, sf_dir):
+    """Orders that meet floors of four features together, those that serve two at once first."""
+    o = table(spark, sf_dir, "orders")
+    feature = lambda c, cases, other: F.coalesce(*[F.when(c == v, n) for v, n in cases], F.lit(other))
+    features = F.array(feature(F.col("o_custkey") % 9, ((0, "numeric"), (1, "passport")), "driving"), feature(F.col("o_orderkey") % 7, ((0, "grouped"),), "compact"), feature(F.col("o_orderkey") % 50, ((3, "decoy"),), "plain"))
+    rows = o.select("o_orderkey", F.col("o_orderkey").cast("string").alias("skeleton"), features.alias("features"))
+    return cover.cover(rows, "o_orderkey", "skeleton", "features", _FLOORS, "cov", levels=(2, 1)).select("o_orderkey")
