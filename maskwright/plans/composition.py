@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cover, dataset, synthesis
+from ..streaming.stateful import low_runs
 from .registry import query, table
 
 _MIX = "m AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('mix:' || c_custkey), c_custkey) AS r, count(*) OVER () AS n FROM customer), k AS (SELECT c_custkey, CASE WHEN r <= floor(n * 0.4) THEN 'positive' WHEN r <= floor(n * 0.4) + floor(n * 0.3) THEN 'hard_negative' ELSE 'mixed' END AS category FROM m)"
@@ -94,3 +95,12 @@ def cover_floors(spark, sf_dir):
     features = F.array(feature(F.col("o_custkey") % 9, ((0, "numeric"), (1, "passport")), "driving"), feature(F.col("o_orderkey") % 7, ((0, "grouped"),), "compact"), feature(F.col("o_orderkey") % 50, ((3, "decoy"),), "plain"))
     rows = o.select("o_orderkey", F.col("o_orderkey").cast("string").alias("skeleton"), features.alias("features"))
     return cover.cover(rows, "o_orderkey", "skeleton", "features", _FLOORS, "cov", levels=(2, 1)).select("o_orderkey")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, value, coalesce(value < 30, false) AS low FROM events),
+e AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM s)
+SELECT user_id, event_id FROM e WHERE low QUALIFY row_number() OVER (PARTITION BY user_id, ended ORDER BY ts, event_id) = 2""")
+def low_sample_runs(spark, sf_dir):
+    """Users' second low event in a row; any other event starts anew."""
+    d = low_runs(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", 30.0)
+    return d.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ _MADE: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. On a local master without it the warehouse folder serves; on a cluster its lack is an error."""
+    """The folder named in spark.checkpoint.dir. Where that is unset on a local master (one machine: tests), a temporary folder is set; on a cluster its lack is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir")
+        base = tempfile.mkdtemp(prefix="maskwright-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 

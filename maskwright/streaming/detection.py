@@ -1,18 +1,12 @@
-"""Detection on streams: the same column expressions, windowed counts with late data, a dictionary that lasts over batches."""
+"""Detection on streams: the same column expressions, windowed counts with late data. What needs state of its own is in stateful.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rewrite import analyse
 
-DICTIONARY = "conv_id long, label string, value string, ph string"
-
-
 def analysed(stream: DataFrame, text: str = "text", **options) -> DataFrame:
     """analyse() on a stream: stateless, nothing is shuffled. Grouped IBANs and long candidate lists work as in batches."""
     return analyse(stream, text, **options)
@@ -21,21 +15,3 @@ def analysed(stream: DataFrame, text: str = "text", **options) -> DataFrame:
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     return stream.withWatermark(ts, late).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
-
-
-def _numbered(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    known = dict(zip(*state.get, strict=True)) if state.exists else {}
-    new = []
-    for pdf in batches:
-        for label, value in zip(pdf["label"], pdf["value"], strict=True):
-            name = f"{label}:{' '.join(value.split()).lower()}"
-            if name not in known:
-                known[name] = f"[{label}_{1 + sum(k.split(':', 1)[0] == label for k in known)}]"
-                new.append((key[0], label, value, known[name]))
-    state.update((list(known), list(known.values())))
-    yield pd.DataFrame(new, columns=["conv_id", "label", "value", "ph"])
-
-
-def lasting_dictionary(entities: DataFrame) -> DataFrame:
-    """Placeholders numbered over all turns of a conversation: entities streams (conv_id, label, value); emits each new entry once."""
-    return entities.groupBy("conv_id").applyInPandasWithState(_numbered, DICTIONARY, "names array<string>, phs array<string>", "append", "NoTimeout")

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from maskwright.sources import records
-from maskwright.streaming.detection import analysed, lasting_dictionary, windowed_counts
+from maskwright.streaming.detection import analysed, windowed_counts
+from maskwright.streaming.stateful import lasting_dictionary, low_runs
 
 
 def test_dialects_and_modes(spark, tmp_path):
@@ -76,3 +77,34 @@ def test_a_file_of_mixed_dialects(spark, tmp_path):
         records.read_mixed(spark, str(path), strict=True)[0].collect()
     path.write_text("\n".join(map(json.dumps, good)))
     assert records.read_mixed(spark, str(path), strict=True)[0].count() == 4
+
+
+def _runs(spark, stream, path, table):
+    """What a stream adds to a table in one run over all there is; a later call goes on from the checkpoint."""
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/{table}-state").option("path", f"{path}/{table}").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    return spark.read.parquet(f"{path}/{table}")
+
+
+def test_state_lasts_over_restarts_and_agrees_with_the_batch(spark, tmp_path):
+    values = {"a": [5, 1, 1, 1, 7, 1, 2, None, 0, 0], "b": [1, 9, 1, 9, 1, 1, 1, 1, 1, 1]}
+    rows = [(k, i, float(v) if v is not None else None) for k, vs in values.items() for i, v in enumerate(vs)]
+    d = spark.createDataFrame(rows, "k string, id long, v double").selectExpr("k", "id", "timestamp_seconds(id) AS ts", "v")
+    src = str(tmp_path / "src")
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema(d.schema).parquet(src)
+    for part in ("id < 3", "id BETWEEN 3 AND 5", "id > 5"):  # a run of low samples goes over the cuts
+        d.where(part).coalesce(1).write.mode("append").parquet(src)
+        got = _runs(spark, low_runs(stream, "k", "ts", "v", "id", 3.0), str(tmp_path), "low")
+    want = [("a", 2), ("a", 6), ("a", 9), ("b", 5)]
+    assert sorted((r.key, r.id) for r in got.collect()) == want == sorted((r.key, r.id) for r in low_runs(d.repartition(5), "k", "ts", "v", "id", 3.0).collect())
+
+
+def test_numbers_of_a_dictionary_go_on_after_a_restart(spark, tmp_path):
+    src = str(tmp_path / "src")
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema("conv_id long, label string, value string").parquet(src)
+    for part in ([(1, "EMAIL", "a@b.it"), (1, "CITY", "Roma"), (2, "EMAIL", "a@b.it")], [(1, "EMAIL", "A@B.it"), (1, "EMAIL", "c@d.it"), (1, None, "x")], [(1, "CITY", "roma "), (1, "CITY", "Bari"), (2, "CITY", "Bari")]):
+        spark.createDataFrame(part, "conv_id long, label string, value string").coalesce(1).write.mode("append").parquet(src)
+        got = _runs(spark, lasting_dictionary(stream), str(tmp_path), "names")
+    assert sorted((r.conv_id, r.value, r.ph) for r in got.collect()) == [(1, "Bari", "[CITY_2]"), (1, "Roma", "[CITY_1]"), (1, "a@b.it", "[EMAIL_1]"), (1, "c@d.it", "[EMAIL_2]"), (2, "Bari", "[CITY_1]"), (2, "a@b.it", "[EMAIL_1]")]
