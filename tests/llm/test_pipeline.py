@@ -85,3 +85,29 @@ def test_run_takes_all_stages(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in _corpus()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
+
+
+def test_repeated_and_null_ids_clashing_columns_and_a_long_text(spark, tmp_path):
+    """The same texts stay as if the rows had ids of their own in the same order."""
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10_000)) for _ in range(60_000))
+    rows = [(i // 3 if i % 4 else None, t) for i, (_, t) in enumerate(_corpus())] + [(7, long)]
+    rows += rows[:9] + [(None, rows[20][1]), (5, rows[30][1])]
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t or ""), n % 3, "x", 1.5, None, True) for n, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int, text_hash string, component_id double, _id string, kept boolean")
+    hashes = [r[0] for r in spark.createDataFrame([(n, t or "") for n, (_, t) in enumerate(rows)], "n int, t string").orderBy("n").selectExpr("xxhash64(t)").collect()]
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0, hashes[n]))
+    plain = spark.createDataFrame([(k, rows[n][1], "en", "s", len(rows[n][1] or "")) for k, n in enumerate(order)], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        texts = []
+        for which, now in (("odd", odd), ("plain", plain)):
+            stage(spark, now, "").write.parquet(str(tmp_path / f"{which}{k}"))
+            out = spark.read.parquet(str(tmp_path / f"{which}{k}"))
+            assert out.columns == now.columns
+            texts.append(sorted(r.text or "" for r in out.collect()))
+        odd, plain = (spark.read.parquet(str(tmp_path / f"{w}{k}")) for w in ("odd", "plain"))
+        assert texts[0] == texts[1], name
+        sizes.append(len(texts[0]))
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] and odd.where("row is null or kept is null").count() == 0
+    if pytest.importorskip("public_tokenizers"):
+        assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() >= sizes[3]
