@@ -79,6 +79,17 @@ def coalesced(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(SPANS), step)
 
 
+def production_spans(spans: Column, text: Column) -> Column:
+    """A model's spans as they are shown: trimmed, grown to whole words, overlapping ones joined, touching ones of one label too. No patterns come first here.
+
+    Of spans that begin together the longest names the union, of equally long ones the label that sorts first. A span outside the text, or an empty one, is an error.
+    """
+    wrong = F.exists(spans, lambda e: (e["start"] < 0) | (e["end"] > F.length(text)) | (e["end"] <= e["start"]))
+    safe = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a span outside the text")).cast(SPANS)).otherwise(spans)
+    by_label = lambda s: F.transform(F.array_sort(F.transform(s, lambda e, i: F.struct(e["label"].alias("a"), i.alias("i"), e.alias("e")))), lambda x: x["e"])  # noqa: E731  the later sort keeps this order among equals
+    return coalesced(by_label(extended(trimmed(safe, text), text)))
+
+
 def fused(cands: Column, text: Column) -> Column:
     return coalesced(extended(trimmed(greedy(cands), text), text))
 

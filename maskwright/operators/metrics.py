@@ -92,6 +92,21 @@ def paired(gold: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     return o.groupBy(label.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def paired_documents(docs: DataFrame, gold: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Documents of two systems on the same gold: (outcome, n) of which are exact, and of which has fewer span errors; each group of outcomes adds up to all documents (doc_id)."""
+    parts = None
+    for flag, side in (("g", gold), ("a", first), ("b", second)):
+        x = side.select(*KEY, *[F.lit(int(f == flag)).alias(f) for f in "gab"])
+        parts = x if parts is None else parts.unionByName(x)
+    spans = parts.groupBy(*KEY).agg(*[F.max(f).alias(f) for f in "gab"])
+    errors = spans.groupBy("doc_id").agg(*[F.sum((F.col("g") != F.col(f)).cast("long")).alias(f) for f in "ab"])
+    d = docs.select("doc_id").distinct().join(errors, "doc_id", "left").na.fill(0, ["a", "b"])
+    a, b = F.col("a"), F.col("b")
+    exact = F.when((a == 0) & (b == 0), "both_exact").when(a == 0, "only_first_exact").when(b == 0, "only_second_exact").otherwise("neither_exact")
+    fewer = F.when(a < b, "first_fewer_errors").when(b < a, "second_fewer_errors").otherwise("equal_errors")
+    return d.select(F.explode(F.array(exact, fewer)).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def paired_checked(first: DataFrame, second: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows of two runs joined by doc_id; a document that one lacks, or unlike values of columns, is an error."""
     a = first.select("doc_id", *[F.col(c).alias(f"{c}_1") for c in columns], F.lit(True).alias("has_1"))

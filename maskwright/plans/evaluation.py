@@ -84,6 +84,16 @@ def paired_outcomes(spark, sf_dir):
     return metrics.paired(_gold(spark, sf_dir), _pred(spark, sf_dir), _pred(spark, sf_dir, 2))
 
 
+@query(f"""WITH {_GOLD}, {_pred_sql()}, {_pred_sql('pred2', 2)}, u AS (SELECT *, 1 AS g, 0 AS a, 0 AS b FROM gold UNION ALL SELECT *, 0, 1, 0 FROM pred UNION ALL SELECT *, 0, 0, 1 FROM pred2),
+o AS (SELECT doc_id, type, start, stop, max(g) AS g, max(a) AS a, max(b) AS b FROM u GROUP BY ALL),
+e AS (SELECT doc_id, count(*) FILTER (g <> a) AS x, count(*) FILTER (g <> b) AS y FROM o GROUP BY doc_id), d AS (SELECT coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM orders LEFT JOIN e ON doc_id = o_orderkey)
+SELECT CASE WHEN x = 0 AND y = 0 THEN 'both_exact' WHEN x = 0 THEN 'only_first_exact' WHEN y = 0 THEN 'only_second_exact' ELSE 'neither_exact' END AS outcome, count(*) AS n FROM d GROUP BY 1
+UNION ALL SELECT CASE WHEN x < y THEN 'first_fewer_errors' WHEN y < x THEN 'second_fewer_errors' ELSE 'equal_errors' END, count(*) FROM d GROUP BY 1""")
+def paired_document_outcomes(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return metrics.paired_documents(docs, _gold(spark, sf_dir), _pred(spark, sf_dir), _pred(spark, sf_dir, 2))
+
+
 _P2 = _PER.replace("per AS", "per2 AS").replace(" o AS", " o2 AS").replace("FROM o ", "FROM o2 ").replace("FROM p)", "FROM p2)").replace("*, true AS y FROM p)", "*, true AS y FROM p2)")
 
 

@@ -278,6 +278,17 @@ def redact_dictionary(spark, sf_dir):
     return d.select("doc_id", F.size("found").cast("long").alias("n"), taken.cast("long").alias("chars"), F.size(F.array_distinct(F.transform("found", lambda s: s["ph"]))).cast("long").alias("n_values"))
 
 
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS o, substr('BAC', CAST(l_suppkey % 3 AS INT) + 1, 1) AS label, CAST((l_linenumber - 1) * 10 + l_partkey % 3 AS INT) AS a, CAST((l_linenumber - 1) * 10 + 5 + l_suppkey % 4 AS INT) AS b FROM lineitem)
+SELECT doc_id, min(least(label, 'B')) AS label, CAST((o - 1) * 10 + 1 AS INT) AS start, CAST((o - 1) * 10 + 8 AS INT) AS "end" FROM s GROUP BY doc_id, o""")
+def model_spans(spark, sf_dir):
+    """Two spans on each seven-letter word, cut at different letters and with labels of their own: they grow to the word, and the label that sorts first names it."""
+    at = lambda label, start, end: f"named_struct('label', {label}, 'start', CAST((l_linenumber - 1) * 10 + {start} AS INT), 'end', CAST((l_linenumber - 1) * 10 + {end} AS INT), 'score', 0.9D, 'validated', false, 'source', 'model', 'ord', CAST(l_linenumber AS INT))"
+    named, second = "substr('BAC', CAST(l_suppkey % 3 AS INT) + 1, 1)", "'B'"
+    pair = F.expr(f"array({at(named, 'l_partkey % 3', '5 + l_suppkey % 4')}, {at(second, '3', '6')})")
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.flatten(F.collect_list(pair)).alias("c"))
+    return unfolded(d, fuse.production_spans(F.col("c"), F.lit(" abcdefg  " * 8)), "doc_id").select("doc_id", "label", "start", "end")
+
+
 @query("SELECT c_custkey, 'To ' || c_name || 'and B C ' || '.' AS restored FROM customer")
 def restore_compat(spark, sf_dir):
     """Without brackets a name also takes the white space around it; inside brackets white space goes."""

@@ -174,3 +174,14 @@ def test_numbering_of_long_lists_equals_that_of_short_ones(spark):
             if first:
                 counts[label] = names[k] = counts.get(label, 0) + 1
             assert (got.n, got.first, got.ph) == (names[k], first, f"[{label}_{names[k]}]")
+
+
+def test_model_spans_are_trimmed_grown_and_joined(spark):
+    kind = detect.SPANS
+    full = lambda rows: [(lab, a, b, 0.9, False, "model", i) for i, (lab, a, b) in enumerate(rows)]
+    cases = [("Ada Bo scrive", [("N", 3, 6), ("N", 0, 3)], [("N", 0, 3), ("N", 4, 6)]), ("abcdef xy", [("Z", 0, 3), ("A", 2, 6), ("B", 7, 9)], [("A", 0, 6), ("B", 7, 9)]), ("ab-cd", [("X", 0, 2), ("X", 2, 5)], [("X", 0, 5)]), ("a   b", [("X", 1, 4)], []), ("", [], [])]
+    d = spark.createDataFrame([(i, t, full(c)) for i, (t, c, _) in enumerate(cases)], f"i int, t string, c {kind}")
+    got = {r.i: [(e.label, e.start, e.end) for e in r.s] for r in d.select("i", fuse.production_spans(F.col("c"), F.col("t")).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+    with pytest.raises(Exception, match="outside"):
+        spark.createDataFrame([("ab", full([("X", 0, 3)]))], f"t string, c {kind}").select(fuse.production_spans(F.col("c"), F.col("t"))).collect()
