@@ -4,12 +4,12 @@
    places are led to the cover by one common shift below `period`, so two equal windows of `length` words hold equal anchors at one common offset.
 2. Anchors meet by hash. One that occurs once ends there: windows near it can only be repeated through other anchors. Each task tells those that
    repeat among its own texts apart first and sends one row for them, so an anchor of any number of places costs each batch of text one row.
-3. Around each shared anchor the match is extended: all windows of `length` words that hold the anchor are hashed to 128 bits in the texts that
+3. Around each shared anchor the match is extended: all windows of `length` words that hold the anchor are hashed to 96 bits in the texts that
    have it, and meet by hash in the same way, whatever group they came from: a frequent anchor's windows are dealt over all tasks.
 4. The windows that meet another are merged to stretches of each document, and their words are cut out.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D, compared as they are. A word's hash is a polynomial of its bytes (of BLAKE2 from LONG bytes on).
-Two windows count as equal if 128 bits of hash agree.
+Two windows count as equal if 96 bits of hash agree (with 10^12 windows, a false pair has odds of about one in 100,000).
 
 Memory: a block holds about ROWS_PER_BLOCK anchors or windows; a task holds FLUSH_BYTES of text, or one longer text with 24 bytes a word.
 
@@ -49,7 +49,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 _ANCHOR = (("ah", "<u8"), ("id", "<i8"), ("s0", "<i4"), ("many", "u1"))
-_WINDOW = (("ah", "<u8"), ("rh", "<u8"), ("id", "<i8"), ("s0", "<i4"), ("many", "u1"))
+_WINDOW = (("ah", "<u8"), ("rh", "<u4"), ("id", "<i8"), ("s0", "<i4"), ("many", "u1"))
 _AT = (("id", "<i8"), ("s0", "<i4"))
 
 
@@ -265,6 +265,7 @@ def _windows(length: int, blocks: int, buckets: int):
             start = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             d = np.searchsorted(begin, start, "right") - 1
             h = [window_keys(k, length, i)[start] if start.size else np.zeros(0, np.uint64) for i, k in enumerate(keys)]
+            h[1] = (h[1] >> np.uint64(32)).astype(np.uint32)
             yield sum(map(len, texts[at : at + counts.size])), (*h, ids[at + d], start - begin[d])
 
     def run(batches):
