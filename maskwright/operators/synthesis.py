@@ -135,7 +135,7 @@ def _org(s: Stream, lists: Lists) -> Column:
     form = F.when(style < 45, form).when(style < 60, F.upper(form)).when(style < 75, F.lower(form)).otherwise(F.replace(form, F.lit("."), F.lit("")))
     kind = s.below(100, "kind")
     name = F.when(kind < 45, F.concat_ws(" ", stem, form)).when(kind < 60, F.concat_ws(" ", s.pick(lists.kinds, "sort"), stem)).when(kind < 72, F.concat(s.pick(lists.surnames, "a"), F.lit(" & "), s.pick(lists.surnames, "b")))
-    name = name.when(kind < 84, F.concat_ws(" ", s.symbols("ABCDEFGHILMNOPRSTUVZ", 3, "acronym"), form)).otherwise(stem)
+    name = name.when(kind < 84, F.concat_ws(" ", s.symbols(checks.SYMBOLS[10:], 3, "acronym"), form)).otherwise(stem)
     return _pieces((name, "ORG"))
 
 

@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from .sweep import _payload
 
+# fixed values: letters and digits that a cut value needs, and what may stand between two characters of a word
 CUT = 4
-SLICE_VALUES, SLICE_BYTES, SLICES = 100_000, 16 << 20, 16
 BREAK = r"(?:[­‐-]?[ \t]*\n[ \t]*)?"
+
+SLICE_VALUES, SLICE_BYTES, SLICES = 100_000, 16 << 20, 16
 SPAN = T.StructType([T.StructField("ph", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
