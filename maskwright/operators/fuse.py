@@ -90,8 +90,8 @@ def production_spans(spans: Column, text: Column) -> Column:
     return coalesced(by_label(extended(trimmed(safe, text), text)))
 
 
-def fused(cands: Column, text: Column) -> Column:
-    return coalesced(extended(trimmed(greedy(cands), text), text))
+def fused(cands: Column, text: Column, grow: bool = True) -> Column:
+    return coalesced(extended(trimmed(greedy(cands), text), text)) if grow else greedy(cands)
 
 
 # ------------------------------------------------------------ the Arrow form
@@ -152,7 +152,7 @@ def islands(start: np.ndarray, end: np.ndarray, label: np.ndarray) -> tuple[np.n
     return order, s, reach
 
 
-def fuse_list(cands: pa.StructArray, text: str) -> pa.StructArray:
+def fuse_list(cands: pa.StructArray, text: str, grow: bool = True) -> pa.StructArray:
     """The same for one document, in O(k log k + characters)."""
     col = {f.name: cands.field(i) for i, f in enumerate(cands.type)}
     start, end = (np.asarray(col[c], np.int64) for c in ("start", "end"))
@@ -161,6 +161,8 @@ def fuse_list(cands: pa.StructArray, text: str) -> pa.StructArray:
     rank = np.lexsort((start - end, -np.asarray(col["score"]), -firm, -np.asarray(col["validated"].cast(pa.int8()))))  # stable: equals stay in input order
     kept = np.sort(chosen(rank, start, end, len(text)))
     kept = kept[np.argsort(start[kept], kind="stable")]
+    if not grow:
+        return cands.take(pa.array(kept))
     left, s, e = CharMap(text).fit(start[kept], end[kept]) if text else (kept[:0],) * 3
     kept = kept[left]
     order, s, e = islands(s, e, label[kept])
@@ -169,22 +171,25 @@ def fuse_list(cands: pa.StructArray, text: str) -> pa.StructArray:
     return pa.StructArray.from_arrays([new.get(f.name, out.field(i)) for i, f in enumerate(out.type)], fields=list(out.type))
 
 
-def merge(docs: DataFrame, text: str = "text", column: str = "candidates", threshold: int | None = THRESHOLD) -> DataFrame:
-    """docs with a column `entities`. Lists longer than the threshold take the Arrow form, which is sent nothing of other rows; None leaves it out."""
+def merge(docs: DataFrame, text: str = "text", column: str = "candidates", threshold: int | None = THRESHOLD, grow: bool = True) -> DataFrame:
+    """docs with a column `entities`. Lists longer than the threshold take the Arrow form, which is sent nothing of other rows; None leaves it out.
+
+    Without grow the chosen candidates stay as they are: neither trimmed nor grown to whole words nor joined.
+    """
     cands = F.coalesce(F.col(column), F.array().cast(SPANS))
     if threshold is None:
-        return docs.withColumn("entities", fused(cands, F.col(text)))
+        return docs.withColumn("entities", fused(cands, F.col(text), grow))
 
     @F.arrow_udf(SPANS)
     def arrow_form(c: pa.Array, t: pa.Array) -> pa.Array:
-        fused_lists = [fuse_list(x.values, y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(c, t, strict=True)]
+        fused_lists = [fuse_list(x.values, y.as_py(), grow) if x.is_valid and y.is_valid else None for x, y in zip(c, t, strict=True)]
         ends = np.cumsum([0, *(0 if x is None else len(x) for x in fused_lists)])
         values = [x for x in fused_lists if x is not None]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(values) if values else pa.array([], c.type.value_type), type=c.type, mask=pa.array([x is None for x in fused_lists], pa.bool_()))
 
     many = F.size(cands) > threshold
     long = arrow_form(F.when(many, cands), F.when(many, F.col(text)))
-    return docs.withColumn("entities", F.when(many, long).otherwise(fused(cands, F.col(text))))
+    return docs.withColumn("entities", F.when(many, long).otherwise(fused(cands, F.col(text), grow)))
 
 
 def merge_long(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -115,15 +115,16 @@ def counts(kept: Column, field: str) -> Column:
     return F.transform(F.array_sort(rows), lambda r: F.struct(r["v"].alias("value"), (-r["m"]).alias("n")))
 
 
-def analyse(docs: DataFrame, text: str = "text", labels: Iterable[str] | None = None, excluded: Iterable[str] = (), reversible: bool = True, grouped: bool = True, model: str | None = None) -> DataFrame:
+def analyse(docs: DataFrame, text: str = "text", labels: Iterable[str] | None = None, excluded: Iterable[str] = (), reversible: bool = True, grouped: bool = True, model: str | None = None, grow: bool = True) -> DataFrame:
     """The whole path in one plan without a shuffle: detect, exclude, fuse, number, render.
 
-    model names an array column (SPANS) of candidates from elsewhere; they come before the patterns' among equals.
+    model names an array column (SPANS) of candidates from elsewhere; they come before the patterns' among equals. Without grow a match inside a word
+    stays as it is, the rest of the word with it; by default the whole word is replaced.
     """
     out = detect(docs, text, labels, grouped)
     if model:
         out = out.withColumn("candidates", F.concat(F.coalesce(F.col(model), F.array().cast(SPANS)), "candidates"))
-    out = merge(out.withColumn("candidates", exclude(F.col("candidates"), excluded)), text)
+    out = merge(out.withColumn("candidates", exclude(F.col("candidates"), excluded)), text, grow=grow)
     out = out.withColumn("entities", with_placeholders(F.col("entities"), F.col(text)))
     kept, t = F.col("entities"), F.col(text)
     cols = {
