@@ -155,12 +155,16 @@ def noisy(value: Column) -> Column:
     return (F.length(alnum) < 2) | alnum.rlike("^[0-9]{2}$")
 
 
-def value_pattern(value: Column) -> Column:
-    """A pattern for a value as it may be printed: whole words, any white space, hyphenated line breaks."""
+def value_pattern(value: Column, cut: Column | None = None) -> Column:
+    """A pattern for a value as it may be printed: whole words, any white space, hyphenated line breaks.
+
+    cut (left, right) says on which sides it was cut out of a word: there no word boundary is needed.
+    """
     quoted = F.regexp_replace(F.trim(value), r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
     spaced = F.regexp_replace(quoted, r"\s+", r"\\s+")
     broken = F.regexp_replace(spaced, r"(\p{L})(?=\p{L})", r"$1(?:-\\s*\\n\\s*)?")
-    return F.concat(F.lit(r"(?U)(?<!\w)"), broken, F.lit(r"(?!\w)"))
+    edge = lambda side, boundary: F.lit(boundary) if cut is None else F.when(cut[side], "").otherwise(boundary)
+    return F.concat(F.lit("(?U)"), edge("left", r"(?<!\w)"), broken, edge("right", r"(?!\w)"))
 
 
 def redacted(text: Column, mapping: Column, mask: str = "█") -> Column:
@@ -181,9 +185,17 @@ def substituted(text: Column, patterns: list[str], mask: str) -> Column:
     return out
 
 
-def residual(text: Column, mapping: Column) -> Column:
-    """Placeholders whose value can still be found."""
-    left = F.filter(F.map_entries(mapping), lambda e: ~noisy(e["value"]) & F.regexp_like(text, value_pattern(e["value"])))
+def cut_sides(kept: Column, text: Column) -> Column:
+    """Placeholder to (left, right): whether a word character stands right before or behind its first occurrence."""
+    left = lambda e: (e["start"] > 0) & F.substring(text, e["start"], F.lit(1)).rlike(r"(?U)\w")
+    right = lambda e: F.substring(text, e["end"] + 1, F.lit(1)).rlike(r"(?U)\w")
+    return F.map_from_entries(F.transform(F.filter(kept, lambda e: e["first"]), lambda e: F.struct(e["ph"].alias("ph"), F.struct(left(e).alias("left"), right(e).alias("right")).alias("cut"))))
+
+
+def residual(text: Column, mapping: Column, cut: Column | None = None) -> Column:
+    """Placeholders whose value can still be found: as whole words, or inside words on the sides that cut_sides() names."""
+    sides = lambda e: None if cut is None else F.element_at(cut, e["key"])
+    left = F.filter(F.map_entries(mapping), lambda e: ~noisy(e["value"]) & F.regexp_like(text, value_pattern(e["value"], sides(e))))
     return F.array_sort(F.transform(left, lambda e: e["key"]))
 
 

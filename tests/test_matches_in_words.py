@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["anonymize_text", "anonymize_typeonly", "exclude_tags", "irreversible", "merge_greedy", "ph_assign", "ph_dictionary", "stats_by_label", "segments_count"])
+@pytest.mark.parametrize("name", ["anonymize_text", "anonymize_typeonly", "exclude_tags", "irreversible", "merge_greedy", "ph_assign", "ph_dictionary", "residual_check", "stats_by_label", "segments_count"])
 def test_query_gives_the_rows_of_its_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
