@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.taxonomy import final_label
-from ..functions.text import block_sums, let, prefix_sum
+from ..functions.text import let
 
 TRIPLES = "array<struct<type:string,start:int,end:int>>"
 
@@ -67,20 +70,20 @@ def canonical_text(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def canonical_offsets(tokens: Column) -> Column:
-    """(start, end) of each token in the text of tokens joined by spaces."""
-
-    def spans(sizes):
-        def with_blocks(blocks):
-            def one(t, i):
-                start = prefix_sum(sizes, blocks, i)
-                return F.struct(start.alias("start"), (start + F.length(t)).alias("end"))
+@F.arrow_udf(returnType=T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _joined_offsets(sizes: pa.Array) -> pa.Array:
+    """Running sums of each list's sizes, with one space between: one cumulative sum over all lists of a batch."""
+    n = np.asarray(sizes.flatten(), np.int64)
+    first = np.asarray(sizes.offsets, np.int64) - sizes.offsets[0].as_py()
+    upto = np.r_[0, np.cumsum(n + 1)]
+    start = upto[:-1] - np.repeat(upto[first[:-1]], np.diff(first))
+    rows = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(start + n, pa.int32())], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows, mask=sizes.is_null())
 
-            return F.transform(tokens, one)
 
-        return let(block_sums(sizes), with_blocks)
-
-    return let(F.transform(tokens, lambda t: F.length(t) + 1), spans)
+def canonical_offsets(tokens: Column) -> Column:
+    """(start, end) of each token in the text of tokens joined by spaces; only the tokens' lengths leave the JVM."""
+    return _joined_offsets(F.transform(tokens, F.length))
 
 
 def word_to_char_spans(spans: Column, offsets: Column) -> Column:
