@@ -40,6 +40,22 @@ def test_quantiles_equal_the_formula(spark, aqe):
     assert got == {g: (len(v), [_linear(v, p) for p in probs]) for g, v in groups.items() if v}
 
 
+@pytest.mark.parametrize("sorted_values", [0, 150, 10**6])
+def test_sorted_groups_and_histograms_agree(spark, sorted_values):
+    random.seed(3)
+    rows = [(random.choice(["hot"] * 30 + ["a", None]), random.choice([random.gauss(0, 1e3), -0.0, None])) for _ in range(3000)]
+    probs = [0.0, 0.1, 0.5, 0.999]
+    got = {r.g: (r.n, r.quantiles) for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], probs, sorted_values).collect()}
+    groups = {g: [v for h, v in rows if h == g and v is not None] for g, _ in rows}
+    assert got == {g: (len(v), [_linear(v, p) for p in probs]) for g, v in groups.items()}
+
+
+def test_small_groups_take_one_sort(spark, monkeypatch):
+    monkeypatch.setattr("maskwright.operators.quantiles._refined", None)
+    d = spark.createDataFrame([(i % 50, float(i)) for i in range(1000)], "g int, v double")
+    assert {r.g: r.quantiles for r in quantiles(d, "v", ["g"], [0.0, 1.0]).collect()} == {g: [float(g), 950.0 + g] for g in range(50)}
+
+
 def test_other_types_and_odd_values(spark):
     d = spark.createDataFrame([(i, datetime.date(2020, 1, 1 + i % 3), f"{i}.25") for i in range(101)], "i int, d date, s string").withColumn("m", F.col("s").cast("decimal(10,2)"))
     assert quantiles(d, "i", [], [0.25]).first().quantiles == [25.0] and quantiles(d, "m", [], [0.5]).first().quantiles == [50.25]
