@@ -35,7 +35,7 @@ def span_to_bio(tokens: Column, entities: Column, first_contained: bool = False)
 
 
 def type_of(label: Column) -> Column:
-    return F.when(label == "O", F.lit(None)).otherwise(F.regexp_replace(label, "^[BI]-", ""))
+    return F.when(label == "O", F.lit(None)).when(label.startswith("B-") | label.startswith("I-"), F.substring(label, F.lit(3), F.length(label))).otherwise(label)
 
 
 def normalised(labels: Column, legacy: bool = False) -> Column:
@@ -96,7 +96,7 @@ def aligned_words(word_ids: Column, labels: Column) -> Column:
     def label(w, i):
         own = F.get(labels, w)
         again = F.coalesce(F.get(word_ids, i - 1) == w, F.lit(False))
-        return F.when(w.isNull(), F.lit(None)).otherwise(F.when(again, F.regexp_replace(own, "^B-", "I-")).otherwise(own))
+        return F.when(w.isNull(), F.lit(None)).otherwise(F.when(again & own.startswith("B-"), F.concat(F.lit("I"), F.substring(own, F.lit(2), F.length(own)))).otherwise(own))
 
     return F.transform(word_ids, label)
 

@@ -168,14 +168,20 @@ def label_tokens(docs: DataFrame, tokens: str = "tokens", entities: str = "entit
             nt, ne = (np.diff(np.asarray(b.column(c).offsets)) for c in ("tokens", "entities"))
             (ts, te), (names, es, ee) = b.column("tokens").flatten().flatten(), b.column("entities").flatten().flatten()
             ts, te, es, ee, names = *(np.asarray(x, np.int64) for x in (ts, te, es, ee)), names.to_pylist()
-            t0, e0, out = np.cumsum(nt) - nt, np.cumsum(ne) - ne, []
-            for i in range(nt.size):
+            # names at 2 * i + 1 (I-) and 2 * i + 2 (B-), O at 0; the labels of a batch are one take of them
+            known = pa.array(["O", *(p + x for x in dict.fromkeys(names) if x is not None for p in ("I-", "B-"))], pa.string())
+            at = {x: 2 * i + 1 for i, x in enumerate(x for x in dict.fromkeys(names) if x is not None)}
+            code = np.array([at.get(x, -2) for x in names], np.int64)
+            t0, e0, out = np.cumsum(nt) - nt, np.cumsum(ne) - ne, np.zeros(ts.size, np.int64)
+            for i in np.flatnonzero((nt > 0) & (ne > 0)).tolist():
                 x, y = slice(t0[i], t0[i] + nt[i]), slice(e0[i], e0[i] + ne[i])
                 owner, earlier = token_labels(ts[x], te[x], es[y], ee[y])
-                begins = ~earlier if first_contained or not ne[i] else ts[x] == es[y][owner]
-                own = names[y]
-                out.append(["O" if o < 0 else ("B-" if f else "I-") + own[o] for o, f in zip(owner.tolist(), begins.tolist(), strict=True)])
-            yield pa.record_batch([b.column("row"), pa.array(out, pa.list_(pa.string()))], ["row", "labels"])
+                begins = ~earlier if first_contained else ts[x] == es[y][owner]
+                out[x] = np.where(owner < 0, 0, code[y][owner] + begins)
+            if (out < 0).any():
+                raise ValueError("an entity without a label")
+            labels = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(nt)], pa.int32()), known.take(pa.array(out)))
+            yield pa.record_batch([b.column("row"), labels], ["row", "labels"])
 
     schema = d.select("row").schema.add("labels", T.ArrayType(T.StringType()))
     return d.mapInArrow(run, schema).select("row.*", "labels")
