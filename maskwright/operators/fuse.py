@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .detect import SOFT, SPAN, SPANS
 
 THRESHOLD = 400
@@ -42,10 +43,12 @@ def trimmed(spans: Column, text: Column) -> Column:
     """White space at the ends goes, and with it spans of nothing else."""
 
     def trim(e):
-        v = F.substring(text, e["start"] + 1, e["end"] - e["start"])
-        left = F.length(F.regexp_replace(v, r"(?U)^\s+", ""))
-        right = F.length(F.regexp_replace(v, r"(?U)\s+$", ""))
-        return _with(e, e["end"] - left, e["start"] + right)
+        def cut(v):
+            left = F.length(F.regexp_replace(v, r"(?U)^\s+", ""))
+            right = F.length(F.regexp_replace(v, r"(?U)\s+$", ""))
+            return F.when(F.coalesce(v.rlike(r"(?U)^\s|\s$"), F.lit(True)), _with(e, e["end"] - left, e["start"] + right)).otherwise(_with(e, e["start"], e["end"]))
+
+        return let(F.substring(text, e["start"] + 1, e["end"] - e["start"]), cut)
 
     return F.filter(F.transform(spans, trim), lambda e: e["start"] < e["end"])
 
@@ -53,13 +56,16 @@ def trimmed(spans: Column, text: Column) -> Column:
 def extended(spans: Column, text: Column) -> Column:
     """Edges inside a word move to its ends."""
     word = r"[\p{L}\p{N}_]"
+    run = lambda t: F.length(F.regexp_extract(t, f"^{word}*", 0))
+    at = lambda place: F.substring(text, place, F.lit(1)).rlike(word)
 
     def grow(e):
-        size = e["end"] - e["start"]
-        v = F.substring(text, e["start"] + 1, size)
-        before, after = F.substring(text, F.lit(1), e["start"]), F.substring(text, e["end"] + 1, F.length(text))
-        left = F.when(v.rlike(f"^{word}"), F.length(F.regexp_extract(before, f"({word}*)$", 1))).otherwise(0)
-        right = F.when(v.rlike(f"{word}$"), F.length(F.regexp_extract(after, f"^({word}*)", 1))).otherwise(0)
+        # the two characters at an edge tell whether it is inside a word; only then the word's rest is looked for, backwards from the left edge
+        some = e["end"] > e["start"]
+        inside_left = some & (e["start"] > 0) & at(e["start"]) & at(e["start"] + 1)
+        inside_right = some & at(e["end"]) & at(e["end"] + 1)
+        left = F.when(inside_left, run(F.reverse(F.substring(text, F.lit(1), e["start"])))).otherwise(0)
+        right = F.when(inside_right, run(F.substring(text, e["end"] + 1, F.length(text)))).otherwise(0)
         return _with(e, e["start"] - left, e["end"] + right)
 
     return F.transform(spans, grow)

@@ -259,8 +259,9 @@ def stray_names_found(spark, sf_dir):
 SELECT doc_id, CAST((o - 1) * 10 + 1 AS INT) AS start, CAST((o - 1) * 10 + 8 AS INT) AS "end" FROM s WHERE a < (o - 1) * 10 + 8""")
 def merge_trim_extend(spark, sf_dir):
     """Spans on text of seven-letter words between blanks (ten characters a word): trimmed, then grown to the whole word."""
-    line = F.struct(F.lit("X").alias("label"), F.expr("CAST((l_linenumber - 1) * 10 + l_partkey % 3 AS INT)").alias("start"), F.expr("CAST((l_linenumber - 1) * 10 + 5 + l_suppkey % 4 AS INT)").alias("end"), F.lit(0.9).alias("score"), F.lit(False).alias("validated"), F.lit("model").alias("source"), F.col("l_linenumber").cast("int").alias("ord"))
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("c"))
+    line = F.expr("struct(CAST(l_linenumber AS INT) AS o, CAST(l_partkey % 3 AS INT) AS a, CAST(l_suppkey % 4 AS INT) AS b)")  # what is shuffled; spans are made of it afterwards
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("l"))
+    d = d.withColumn("c", F.expr("transform(l, x -> named_struct('label', 'X', 'start', (x.o - 1) * 10 + x.a, 'end', (x.o - 1) * 10 + 5 + x.b, 'score', 0.9D, 'validated', false, 'source', 'model', 'ord', x.o))"))
     t = F.lit(" abcdefg  " * 8)
     grown = fuse.extended(fuse.trimmed(F.array_sort("c", lambda a, b: a["start"] - b["start"]), t), t)
     return unfolded(d, grown, "doc_id").select("doc_id", "start", "end")
@@ -282,10 +283,10 @@ def redact_dictionary(spark, sf_dir):
 SELECT doc_id, min(least(label, 'B')) AS label, CAST((o - 1) * 10 + 1 AS INT) AS start, CAST((o - 1) * 10 + 8 AS INT) AS "end" FROM s GROUP BY doc_id, o""")
 def model_spans(spark, sf_dir):
     """Two spans on each seven-letter word, cut at different letters and with labels of their own: they grow to the word, and the label that sorts first names it."""
-    at = lambda label, start, end: f"named_struct('label', {label}, 'start', CAST((l_linenumber - 1) * 10 + {start} AS INT), 'end', CAST((l_linenumber - 1) * 10 + {end} AS INT), 'score', 0.9D, 'validated', false, 'source', 'model', 'ord', CAST(l_linenumber AS INT))"
-    named, second = "substr('BAC', CAST(l_suppkey % 3 AS INT) + 1, 1)", "'B'"
-    pair = F.expr(f"array({at(named, 'l_partkey % 3', '5 + l_suppkey % 4')}, {at(second, '3', '6')})")
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.flatten(F.collect_list(pair)).alias("c"))
+    at = lambda label, start, end: f"named_struct('label', {label}, 'start', (x.o - 1) * 10 + {start}, 'end', (x.o - 1) * 10 + {end}, 'score', 0.9D, 'validated', false, 'source', 'model', 'ord', x.o)"
+    line = F.expr("struct(CAST(l_linenumber AS INT) AS o, CAST(l_partkey % 3 AS INT) AS a, CAST(l_suppkey % 4 AS INT) AS b, CAST(l_suppkey % 3 AS INT) AS k)")  # what is shuffled; spans are made of it afterwards
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("l"))
+    d = d.withColumn("c", F.expr(f"""flatten(transform(l, x -> array({at("substr('BAC', x.k + 1, 1)", 'x.a', '5 + x.b')}, {at("'B'", '3', '6')})))"""))
     return unfolded(d, fuse.production_spans(F.col("c"), F.lit(" abcdefg  " * 8)), "doc_id").select("doc_id", "label", "start", "end")
 
 
