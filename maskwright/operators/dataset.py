@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import unfolded
 from ..functions.taxonomy import final_label
-from ..functions.text import WORD, bare_word, collapse, find_all, let, name_pairs, slots
+from ..functions.text import collapse, find_all, let, slots
 from ..sources.scratch import release, written
+from .names import name_rows, small_words
 from .scan import running
 
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTVWXYZ"
@@ -263,17 +264,14 @@ def filled(template: Column, values: Column) -> Column:
     return F.struct(text.alias("text"), F.transform(names, entity).alias("entities"))
 
 
-def common_words(corpus: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
-    """word: the words that stand in lower case in `least` texts of a corpus at least. A capitalised word that also occurs in lower case is no name by its form."""
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
-    lower = lambda w: F.array_distinct(F.transform(F.filter(F.transform(w, bare_word), lambda x: x.rlike(r"^\p{Ll}")), F.lower))
-    seen = corpus.select(F.explode_outer(let(words, lower)).alias("word")).where("word is not null")
-    return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+def common_words(corpus: DataFrame, text: str = "text", least: int = 1, ascii_slots: bool = False) -> DataFrame:
+    """word: the words that stand in lower case in `least` texts of a corpus at least, slots left out. A capitalised word that also occurs in lower case is no name by its form."""
+    return small_words(corpus, text, least > 1, ascii_slots).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word")
 
 
-def stray_name_rows(templates: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
+def stray_name_rows(templates: DataFrame, key: str, text: str, common: DataFrame, ascii_slots: bool = False) -> DataFrame:
     """key, a, b: the names in templates, by anti-joins with a table of common words of any size."""
-    pairs = unfolded(templates, name_pairs(F.col(text)), key)
+    pairs = name_rows(templates, key, text, ascii_slots)
     for side in ("second", "first"):
         pairs = pairs.join(common, F.lower(side) == F.col("word"), "left_anti")
     return pairs.select(key, "a", "b")

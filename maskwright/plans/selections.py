@@ -252,7 +252,7 @@ SELECT doc_id, a, b FROM p WHERE nb AND NOT regexp_matches(a, '[.:;!?]$') AND lo
 def stray_names_found(spark, sf_dir):
     """Names by form in the documents; words that also stand in lower case somewhere in them are common."""
     d = table(spark, sf_dir, "documents")
-    return dataset.stray_name_rows(d, "doc_id", "text", dataset.common_words(d))
+    return dataset.stray_name_rows(d, "doc_id", "text", dataset.common_words(d, ascii_slots=True), ascii_slots=True)
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS o, CAST((l_linenumber - 1) * 10 + l_partkey % 3 AS INT) AS a, CAST((l_linenumber - 1) * 10 + 5 + l_suppkey % 4 AS INT) AS b FROM lineitem)
